@@ -12,7 +12,7 @@ from quantspan.functions.prices import iso_utc
 from quantspan.functions.text import chain_step
 from quantspan.plans.blocks import carry_in
 from quantspan.plans.fold import ordered_fold
-from quantspan.schemas import AUDIT_LOG, DOMAINS
+from quantspan.schemas import AUDIT_LOG, DOMAINS, columns
 
 ZERO_HASH = "0" * 64
 BLOCK = 65_536
@@ -170,7 +170,7 @@ def replay(events: DataFrame) -> DataFrame:
         "chain_id",
         F.col("seq").alias("id"),
         F.timestamp_millis("ts_ms").alias("ts"),
-        *[c if c != "payload_json" else F.col("payload").alias(c) for c in AUDIT_LOG.names[2:]],
+        *[c if c != "payload_json" else F.col("payload").alias(c) for c in columns(AUDIT_LOG)[2:]],
     )
 
 

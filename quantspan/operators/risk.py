@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quantspan.config import RiskLimits
 from quantspan.functions.prices import apply_sizing
@@ -175,9 +174,3 @@ def evaluate_signals(
         frame = attach_kill_switch(frame, kill)
     return risk_verdict(frame, limits)
 
-
-DECISION_TYPE = T.StructType.fromDDL(
-    "signal_id STRING, verdict STRING, reasons ARRAY<STRING>, approved_size_contracts INT, "
-    "checks_performed MAP<STRING,BOOLEAN>, consecutive_losses INT, requires_human_confirm BOOLEAN, "
-    "human_confirm_reason STRING"
-)
