@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspan.operators.sharpe import with_moments
+from quantspan.operators.sharpe import sharpe_of
 
 MAX_PARTITIONS = 20
 
@@ -19,13 +19,54 @@ def half_masks(n_partitions: int) -> F.Column:
     )
 
 
+def _block_arrays(moments: DataFrame, n_partitions: int) -> DataFrame:
+    """Cells merged to arrays n, mean and m2 with one entry per block."""
+    blocks = F.sequence(F.lit(0), F.lit(n_partitions - 1))
+    of = lambda b: F.filter("cells", lambda x: x["blk"] == b)
+    rows = moments.select("sleeve_id", "config_id", F.transform(blocks, of).alias("per"))
+    total = lambda cells, term: F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + term(x))
+    rows = rows.withColumn("bn", F.transform("per", lambda p: total(p, lambda x: x["n"].cast("double"))))
+    rows = rows.withColumn("bs", F.transform("per", lambda p: total(p, lambda x: x["n"] * x["mean"])))
+    rows = rows.withColumn("bm", F.transform(F.arrays_zip("bs", "bn"), lambda z: z["bs"] / z["bn"]))
+    spread = lambda p, m: total(p, lambda x: x["m2"] + x["n"] * (x["mean"] - m) * (x["mean"] - m))
+    rows = rows.withColumn("b2", F.transform(F.arrays_zip("per", "bm"), lambda z: spread(z["per"], z["bm"])))
+    return rows.drop("per", "bs")
+
+
 def _is_oos(moments: DataFrame, n_partitions: int) -> DataFrame:
-    """In-sample and out-of-sample Sharpe per (sleeve, config, mask)."""
-    rows = moments.select("sleeve_id", "config_id", "cells", F.explode(half_masks(n_partitions)).alias("mask"))
-    inside = lambda x: F.shiftright(F.col("mask"), 0).bitwiseAND(F.pow(F.lit(2), x["blk"]).cast("int")) != 0
-    rows = with_moments(rows, F.filter("cells", inside)).withColumnRenamed("sharpe", "is_sharpe")
-    rows = with_moments(rows.drop("n", "mean", "m2"), F.filter("cells", lambda x: ~inside(x)))
-    return rows.select("sleeve_id", "config_id", "mask", "is_sharpe", F.col("sharpe").alias("oos_sharpe"))
+    """In-sample and out-of-sample Sharpe per (sleeve, config, mask).
+
+    Cells are merged to one (n, mean, m2) per block first. A mask then adds up its blocks' terms,
+    written out one by one so that they compile into plain arithmetic.
+    """
+    rows = _block_arrays(moments, n_partitions)
+    at = lambda name, b: F.get(F.col(name), F.lit(b))
+    flat = rows.select(
+        "sleeve_id",
+        "config_id",
+        *[at(name, b).alias(f"{name}{b}") for name in ("bn", "bm", "b2") for b in range(n_partitions)],
+        F.explode(half_masks(n_partitions)).alias("mask"),
+    )
+    out = flat
+    for side in ("is", "oos"):
+        wanted = 0 if side == "oos" else 1
+
+        def added(term, wanted=wanted):
+            bit = lambda b: F.getbit("mask", F.lit(b)) == wanted
+            return sum((F.when(bit(b), term(b)).otherwise(0.0) for b in range(n_partitions)), F.lit(0.0))
+
+        out = out.withColumn(f"{side}_n", added(lambda b: F.col(f"bn{b}")))
+        out = out.withColumn(
+            f"{side}_mean", added(lambda b: F.col(f"bn{b}") * F.col(f"bm{b}")) / F.col(f"{side}_n")
+        )
+        gap = lambda b, side=side: F.col(f"bm{b}") - F.col(f"{side}_mean")
+        out = out.withColumn(
+            f"{side}_m2", added(lambda b, gap=gap: F.col(f"b2{b}") + F.col(f"bn{b}") * gap(b) * gap(b))
+        )
+    sharpe = lambda side: sharpe_of(F.col(f"{side}_n"), F.col(f"{side}_mean"), F.col(f"{side}_m2"))
+    return out.select(
+        "sleeve_id", "config_id", "mask", sharpe("is").alias("is_sharpe"), sharpe("oos").alias("oos_sharpe")
+    )
 
 
 def cscv_logits(moments: DataFrame, n_partitions: int = 10) -> DataFrame:

@@ -29,7 +29,7 @@ from quantspan.session import fresh_path, materialize, prepare
 from quantspan.sources.bars import bars_from_events
 from quantspan.sources.logs import append_log, read_log
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes
-from quantspan.sources.tables import insert_absent, latest_per_key, upsert
+from quantspan.sources.tables import insert_absent, latest_per_key, spread, upsert
 from quantspan.streaming import stateful
 
 BASE_PRICE = 1000.0
@@ -47,6 +47,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table, spread over all cores where costly row work follows."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def bars(spark: SparkSession, folder: str, staged: bool = True) -> DataFrame:
     """Hourly bars; written once where an operator reads them more than once."""
     df = bars_from_events(table(spark, folder, "events"), base_price=BASE_PRICE)
@@ -68,7 +73,9 @@ def money(cents: Column) -> Column:
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     k = c("o_orderkey")
     entry = F.round(c("o_totalprice") * 100).cast("long")
-    rows = table(spark, folder, "orders").select(
+    rows = wide_table(
+        spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"
+    ).select(
         k.alias("k"),
         k.cast("string").alias("signal_id"),
         c("o_custkey").alias("account_id"),
@@ -208,7 +215,7 @@ def sleeves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return wide_table(spark, folder, "documents", "doc_id", "source", "lang", "text").select(
         c("source").alias("chain_id"), "doc_id", F.timestamp_seconds(c("doc_id") * 60).alias("ts"), "lang", "text"
     )
 
@@ -257,7 +264,7 @@ def rule_events(spark: SparkSession, folder: str) -> DataFrame:
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     d = c("doc_id")
     name = lambda x: F.concat(F.lit("DOC-"), x.cast("string"))
-    return table(spark, folder, "documents").select(
+    return wide_table(spark, folder, "documents", "doc_id", "source", "lang", "text").select(
         F.concat("source", F.lit("/"), d.cast("string"), F.lit(".md")).alias("path"),
         name(d).alias("id_key"),
         F.concat(F.lit("doc "), d.cast("string")).alias("title"),
@@ -296,7 +303,7 @@ def note_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("]]\n"),
         c("text"),
     )
-    return table(spark, folder, "documents").select(
+    return wide_table(spark, folder, "documents", "doc_id", "source", "lang", "text").select(
         F.concat(c("source"), F.lit("/DEC-"), number, F.lit("-"), d.cast("string"), F.lit(".md")).alias("path"),
         text.alias("text"),
     )
