@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspan.plans.blocks import match_keys
+from quantspan.session import materialize
 
 
 def exact_percentile(
@@ -18,6 +19,7 @@ def exact_percentile(
     out: str,
     accuracy: int = 10_000,
     small: int = 50_000,
+    stage: bool = True,
 ) -> DataFrame:
     """Linearly interpolated percentile per group, exact, without holding a group in memory.
 
@@ -25,7 +27,8 @@ def exact_percentile(
     bounded sketch brackets the wanted ranks, values below the bracket are only counted, and
     the exact ranks are read off the few values inside it. Groups of up to ``small`` rows are
     bracketed by their whole range. A bracket that misses its ranks raises an error instead of
-    giving a wrong value.
+    giving a wrong value. The brackets, one row per group, are written first (``stage``): their
+    size is known then, and the input is not shuffled to meet them while they are few.
     """
     eps = 2.0 / accuracy
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("__v"))
@@ -39,6 +42,8 @@ def exact_percentile(
         F.when(F.col("__n") > small, F.col("__q")[0]).alias("__lo"),
         F.when(F.col("__n") > small, F.col("__q")[1]).alias("__hi"),
     )
+    if stage:
+        bracket = materialize(bracket, "brackets")
     low = F.col("__lo").isNotNull() & (F.col("__v") < F.col("__lo"))
     keep = F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))
     counted = (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.prices import iso_utc
-from quantspan.functions.text import chain_step
+from quantspan.functions.text import canonical_json, chain_step
 from quantspan.plans.blocks import carry_in
 from quantspan.plans.fold import ordered_fold
 from quantspan.schemas import AUDIT_LOG, DOMAINS, columns
@@ -74,9 +74,20 @@ def link_events(events: DataFrame, order: list[str], row_key: str, existing: Dat
 
 
 def append_events(
-    events: DataFrame, order: list[str], row_key: str, existing: DataFrame | None = None, ts: str = "ts"
+    events: DataFrame,
+    order: list[str],
+    row_key: str,
+    existing: DataFrame | None = None,
+    ts: str = "ts",
+    canonical: bool = False,
 ) -> DataFrame:
-    """Linked events in the event-log columns, ready for the log sink."""
+    """Linked events in the event-log columns, ready for the log sink.
+
+    ``canonical`` puts JSON payloads made by expressions into canonical form first (sorted keys,
+    ASCII, the number format of the log), so that other readers compute the same hash.
+    """
+    if canonical:
+        events = events.withColumn("payload", canonical_json("payload"))
     links = link_events(events, order, row_key, existing)
     rows = events.withColumn("row_key", F.col(row_key).cast("string"))
     return rows.join(links, ["chain_id", "row_key"]).select(

@@ -141,11 +141,25 @@ def kill_switch_state(commands: DataFrame) -> DataFrame:
     return last.select("switch_id", on.alias("triggered"), F.when(on, F.col("reason")).alias("reason"), "actor", "ts")
 
 
-def daily_counters(trades: DataFrame, key: str = "sleeve_id") -> DataFrame:
-    """Trades and PnL of the same UTC day before each trade, reset at midnight."""
-    day = Window.partitionBy(key, "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+def daily_counters(trades: DataFrame, key: str = "sleeve_id", seconds: int = 3600) -> DataFrame:
+    """Trades and PnL of the same UTC day before each trade, reset at midnight.
+
+    Counted inside short buckets of the day; earlier buckets come in as totals.
+    """
+    rows = trades.withColumn("day", F.to_date("ts")).withColumn("__b", time_bucket("ts", seconds))
+    carried = carry_in(
+        rows,
+        [key, "day"],
+        "__b",
+        {"__n": F.count(F.lit(1)), "__s": F.sum("pnl")},
+        {"__n0": F.sum("__n"), "__s0": F.sum("__s")},
+    )
+    inside = Window.partitionBy(key, "day", "__b").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__n1", F.count(F.lit(1)).over(inside)).withColumn("__s1", F.sum("pnl").over(inside))
+    zero = F.lit(0)
     return (
-        trades.withColumn("day", F.to_date("ts"))
-        .withColumn("trades_today", F.count(F.lit(1)).over(day))
-        .withColumn("daily_pnl", F.coalesce(F.sum("pnl").over(day), F.lit(0.0)))
+        match_keys(rows, carried, [key, "day", "__b"])
+        .withColumn("trades_today", F.coalesce("__n0", zero) + F.col("__n1"))
+        .withColumn("daily_pnl", F.coalesce("__s0", zero) + F.coalesce("__s1", zero))
+        .drop("__b", "__n0", "__s0", "__n1", "__s1")
     )

@@ -87,12 +87,14 @@ def strategy_returns(
     opposite while rolling volatility exceeds its median over the whole series. With ``align``
     every config keeps the tail all lookbacks share and ``t`` counts from its start. The median
     needs further passes over the rolling features, so they are written once (``stage``).
-    Output: sleeve_id (the instrument), config_id, t, ts, ret.
+    Output: sleeve_id (the instrument), config_id, t, ts, ret, n_obs (length of the series).
     """
     features = rolling_features(bars, lookbacks, seconds, block)
     if stage:
         features = materialize(features, "features")
     median = exact_percentile(features, ["instrument", "lookback"], "vol", 0.5, "median_vol")
+    if stage:
+        median = materialize(median, "medians")
     rows = match_keys(features, median, ["instrument", "lookback"])
     fade = F.coalesce(F.col("prev_vol") > F.col("median_vol"), F.lit(False))
     position = F.coalesce(F.when(fade, -F.col("prev_mom")).otherwise(F.col("prev_mom")), F.lit(0.0))
@@ -107,6 +109,7 @@ def strategy_returns(
             "t",
             "ts",
             (position * F.col("ret")).alias("ret"),
+            (F.col("n") - skip).alias("n_obs"),
         )
     )
 

@@ -28,9 +28,9 @@ def cell_moments(panel: DataFrame, n_groups: int, n_blocks: int) -> DataFrame:
     """One row per (sleeve, config) with the array of its cells' moments.
 
     The array has at most ``n_groups + n_blocks - 1`` entries. Sums are taken map-side first, so
-    a hot sleeve or config only sends its cells.
+    a hot sleeve or config only sends its cells. A panel that carries its ``n_obs`` needs no join.
     """
-    sized = panel.join(series_length(panel), "sleeve_id")
+    sized = panel if "n_obs" in panel.columns else panel.join(series_length(panel), "sleeve_id")
     cells = (
         sized.select(
             "sleeve_id",

@@ -54,7 +54,8 @@ def run_validation(
     """One metrics row per sleeve of a (sleeve_id, config_id, t, ret) panel.
 
     The panel is read for its length, its moments and the candidates' drawdown; with ``stage``
-    it is written once instead of being derived three times.
+    it is written once instead of being derived three times. The candidates, one row per sleeve,
+    are written too, so that selecting their returns is a broadcast while they are few.
     """
     if stage:
         panel = materialize(panel, "panel")
@@ -62,6 +63,8 @@ def run_validation(
     if stage:
         moments = materialize(moments, "moments")
     dsr = dsr_table(moments, candidates)
+    if stage:
+        dsr = materialize(dsr, "dsr")
     chosen = dsr.select("sleeve_id", "config_id")
     paths = (
         path_sharpes(moments.join(chosen, ["sleeve_id", "config_id"], "left_semi"), n_groups, k_test)

@@ -446,14 +446,14 @@ SELECT signal_id, verdict, CASE WHEN verdict = 'REJECT' THEN 0 ELSE cut END AS a
     "asof_gates": f"""WITH {TRADES}, {EQUITY}
 SELECT id, t.sleeve_id, strftime(g.ts, '%Y-%m-%d') AS gate_day, gate_level, sizing_mult
 FROM trades t ASOF LEFT JOIN gates g ON t.sleeve_id = g.sleeve_id AND t.ts >= g.ts""",
-    "asof_ticks": """SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
+    "asof_ticks": """SELECT p.event_id, p.user_id, coalesce(v.event_id, -1) AS view_id, v.value AS view_value
 FROM events p LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts
 WHERE p.event_type = 'purchase'
 QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC NULLS LAST, v.event_id DESC) = 1""",
     "chain_links": f"WITH RECURSIVE {CHAIN} SELECT chain_id, doc_id, seq, prev_hash, chain_hash FROM links",
     "chain_verify": f"""WITH RECURSIVE {CHAIN},
 c AS (SELECT *, CASE WHEN doc_id % 113 = 5 THEN 'payload_hash' WHEN doc_id % 127 = 9 THEN 'prev_hash' END AS bad FROM links)
-SELECT chain_id, count(*) AS n_events, min(seq) FILTER (bad IS NOT NULL) AS first_bad, count(bad) = 0 AS ok,
+SELECT chain_id, count(*) AS n_events, coalesce(min(seq) FILTER (bad IS NOT NULL), -1) AS first_bad, count(bad) = 0 AS ok,
        arg_min(bad, seq) FILTER (bad IS NOT NULL) AS first_failure, arg_max(chain_hash, seq) AS tip FROM c GROUP BY 1""",
     "log_round_trip": "SELECT source AS chain_id, count(*) AS n_events, true AS ok FROM documents GROUP BY 1",
     "audit_agreement": """SELECT source AS chain_id, count(*) AS log_n, count(*) AS table_n, true AS log_ok, true AS table_ok, true AS agree
@@ -468,9 +468,7 @@ n AS (SELECT id, made, made - 1 AS k, CASE WHEN acc0 > made THEN acc0 END AS acc
 SELECT id, 'order ' || k AS title, CASE WHEN coalesce(acc, -1) > coalesce(sup, -1) THEN 'accepted' WHEN sup IS NOT NULL THEN 'superseded' ELSE 'proposed' END AS status,
        'clerk ' || (k % 13) AS owner, strftime(TIMESTAMP '1970-01-01' + to_seconds(k), '%Y-%m-%d %H:%M:%S') AS created,
        CASE WHEN sup IS NOT NULL THEN 'DEC-' || ((sup - 1) % 997) END AS superseded_by, sha256(k::VARCHAR) AS content_hash,
-       greatest(made, coalesce(acc, 0), coalesce(sup, 0)) AS audit_id FROM n""".replace(
-        "'clerk ' || (k % 13) AS owner", "'clerk ' || (k % 13) AS owner"
-    ).replace("'DEC-' || ((sup - 1) % 997)", "'DEC-' || ((sup - 1) % 997)"),
+       greatest(made, coalesce(acc, 0), coalesce(sup, 0)) AS audit_id FROM n""",
     "rule_replay": f"""WITH e AS (
   SELECT o_orderkey AS k, 'rule_' || (o_custkey % 991) AS id, o_orderkey + 1 AS seq,
          CASE WHEN o_orderkey % 3 = 1 THEN 'deactivate' ELSE 'create' END AS op,
@@ -527,7 +525,7 @@ WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000
     "recent_trades": f"""WITH {TRADES}
 SELECT id AS trade_id, instrument, side, size_target AS size, status, status = 'vetoed' AS vetoed, trim(coalesce(veto_reason, '')) AS reason,
        {_TS} FROM (SELECT * FROM trades ORDER BY ts DESC, id LIMIT 50)""",
-    "sleeve_cards": f"WITH {CARDS} SELECT sleeve_id, name, track, status, dsr, pbo, max_dd_pct, sharpe_mean, n_paths, verdict FROM cards",
+    "sleeve_cards": f"WITH {CARDS} SELECT sleeve_id, name, track, status, dsr, pbo, max_dd_pct, sharpe_mean, coalesce(n_paths, -1) AS n_paths, verdict FROM cards",
     "equity_state": f"WITH {STATE} SELECT * FROM state",
     "rule_view": f"""WITH {SIGNALS}, {RULES} SELECT id AS rule_id, CASE WHEN block THEN 'instrument_block' ELSE 'event_window' END AS rule_type,
        instrument, action FROM rules WHERE active""",

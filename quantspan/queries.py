@@ -393,7 +393,7 @@ def sharpe_stats(spark, folder):
 
 @query
 def cpcv_roles(spark, folder):
-    index = panel(spark, folder).where("config_id = 0").select("sleeve_id", "t")
+    index = panel(spark, folder).where("config_id = 0").select("sleeve_id", "t", "n_obs")
     return cpcv_splits(index, purge_pct=0.02).select("sleeve_id", *whole("combo_id", "t"), "role")
 
 
@@ -572,7 +572,7 @@ def asof_ticks(spark, folder):
     )
     left = ev.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
     df = asof_join(left, views, ["user_id"], "ts", "view_ts", 7 * 86_400, right_tie=["view_id"])
-    return df.select("event_id", "user_id", "view_id", "view_value")
+    return df.select("event_id", "user_id", F.coalesce("view_id", F.lit(-1)).alias("view_id"), "view_value")
 
 
 @query
@@ -591,7 +591,8 @@ def chain_verify(spark, folder):
     edited = links.withColumn(
         "computed_hash", F.when(c("doc_id") % 113 == 5, F.sha2("payload_hash", 256)).otherwise(c("payload_hash"))
     ).withColumn("prev_hash", F.when(c("doc_id") % 127 == 9, F.sha2("prev_hash", 256)).otherwise(c("prev_hash")))
-    return chain.verify_log(edited, "seq").select("chain_id", *whole("n_events", "first_bad"), "ok", "first_failure", "tip")
+    df = chain.verify_log(edited, "seq").fillna({"first_bad": -1})
+    return df.select("chain_id", *whole("n_events", "first_bad"), "ok", "first_failure", "tip")
 
 
 @query
@@ -781,7 +782,7 @@ def recent_trades(spark, folder):
 
 @query
 def sleeve_cards(spark, folder):
-    df = reports.sleeve_cards(sleeves(spark, folder), backtests(spark, folder))
+    df = reports.sleeve_cards(sleeves(spark, folder), backtests(spark, folder)).fillna({"n_paths": -1})
     return df.select("sleeve_id", "name", "track", "status", "dsr", "pbo", "max_dd_pct", "sharpe_mean", *whole("n_paths"), "verdict")
 
 

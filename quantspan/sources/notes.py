@@ -33,12 +33,7 @@ def parse_notes(texts: DataFrame, path: str = "path", text: str = "text") -> Dat
 
 def read_note_texts(spark: SparkSession, root: str) -> DataFrame:
     """Recursive scan of ``*.md`` as (path relative to the root, text)."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
-    )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     base = root.rstrip("/").split("://")[-1]
     full = F.col("_metadata.file_path")
     relative = F.substring(full, F.instr(full, F.lit(base)) + len(base) + 1, F.length(full))
