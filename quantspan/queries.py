@@ -162,7 +162,8 @@ def daily_pnl(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def equity(spark: SparkSession, folder: str) -> DataFrame:
-    rows = gates.equity_from_pnl(daily_pnl(spark, folder), F.lit(START_CENTS).cast("long"))
+    pnl = materialize(daily_pnl(spark, folder), "pnl")
+    rows = gates.equity_from_pnl(pnl, F.lit(START_CENTS).cast("long"))
     return rows.withColumn("equity", c("equity") / 100.0)
 
 
@@ -558,7 +559,7 @@ def size_multipliers(spark, folder):
 @query
 def asof_gates(spark, folder):
     rows = trades(spark, folder).select("id", "sleeve_id", "track", c("ts").alias("created_at"))
-    state = gates.gate_history(equity(spark, folder))
+    state = materialize(gates.gate_history(equity(spark, folder)), "gates")
     df = risk.attach_gate(rows, state, seconds=30 * 86_400)
     return df.select("id", "sleeve_id", F.date_format("gate_ts", "yyyy-MM-dd").alias("gate_day"), "gate_level", "sizing_mult")
 
