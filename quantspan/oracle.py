@@ -547,6 +547,11 @@ b AS (SELECT *, greatest(0.25, 2.0 * sd) AS dist,
 SELECT instrument, d AS pos, CASE WHEN sgn = 1 THEN 'LONG' ELSE 'SHORT' END AS direction, round(dclose, 2) AS entry_price,
        round(dclose - sgn * dist, 2) AS stop_loss, round(dclose + 2.5 * sgn * dist, 2) AS take_profit_1,
        round(dist * 4.0, 2) AS risk_per_contract_usd FROM b""",
+    "replay_invariants": f"""WITH {BARS},
+n AS (SELECT instrument, count(*) AS n FROM bars GROUP BY 1)
+SELECT instrument || '|' || p AS sleeve_id, (n - 2 - w) // s + 1 AS n_decisions, 0::BIGINT AS n_unfilled, 0::BIGINT AS n_busy_days,
+       0::BIGINT AS n_ungated, 0::BIGINT AS n_bad_vetoes
+FROM n, (VALUES ('slow', 100, 25), ('fast', 60, 10)) g(p, w, s)""",
     "stream_bars": f"""WITH {BARS} SELECT instrument, {_TS}, open, high, low, close, volume FROM bars
 WHERE bars.ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""",
     "stream_gates": f"""WITH {EQUITY} SELECT sleeve_id, {_TS}, current_dd_pct, gate_level, sizing_mult, previous_level,

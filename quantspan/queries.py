@@ -864,6 +864,27 @@ def replay_summary(spark, folder):
     return replay.run_summary(_backtest(spark, folder)[1])
 
 
+@query
+def replay_invariants(spark, folder):
+    """Per strategy: its decisions, and the rows that break a rule of the replay (all zero)."""
+    rows, walked = _backtest(spark, folder)
+    trades_ = materialize(replay.trades_of(rows, walked), "trades")
+    key = ["sleeve_id"]
+    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    fills = replay.executions_of(trades_).join(trades_.select(c("id").alias("trade_id"), "sleeve_id"), "trade_id", "left")
+    busy = trades_.where("status = 'filled'").groupBy("sleeve_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("k"))
+    gated = walked.where("kind = 'decision' and status = 'filled' and (gate_level = 'halt' or size < 1)")
+    out = count(trades_, "n_decisions")
+    for df, name in (
+        (quality.unfilled_executions(fills, trades_), "n_unfilled"),
+        (busy.where("k > 3"), "n_busy_days"),
+        (gated, "n_ungated"),
+        (trades_.where("status = 'vetoed' and (veto_reason is null or size_target <> 0)"), "n_bad_vetoes"),
+    ):
+        out = out.join(count(df, name), "sleeve_id", "left")
+    return out.fillna(0)
+
+
 @query
 def stream_bars(spark, folder):
     events = table(spark, folder, "events")

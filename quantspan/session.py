@@ -16,6 +16,9 @@ SETTINGS = {
 }
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def build_session(app: str = "quantspan", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators expect (UTC, adaptive plans, Arrow)."""
     builder = SparkSession.builder.appName(app)
@@ -38,12 +41,12 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local runs,
-    tests) a temporary folder is taken and recorded in the session, so that later calls agree.
+    tests) a temporary folder is taken, one per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch.get(spark.sparkContext.applicationId)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_scratch[spark.sparkContext.applicationId] = root
     return root
 
 
