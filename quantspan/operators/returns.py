@@ -30,7 +30,7 @@ def bar_returns(bars: DataFrame, keys: Sequence[str] = ("instrument",), seconds:
     before = F.coalesce("__lag", "__before")
     return (
         prev.withColumn("log_ret", F.log("close") - F.log(before))
-        .withColumn("simple_ret", F.coalesce(F.col("close") / before - 1, F.lit(0.0)))
+        .withColumn("simple_ret", F.coalesce(F.try_divide(F.col("close"), before) - 1, F.lit(0.0)))
         .drop("__b", "__lag", "__before")
     )
 
@@ -46,7 +46,7 @@ def rolling_features(bars: DataFrame, lookbacks: Sequence[int], seconds: int = D
     pos = positioned(bars.select("instrument", "ts", "close"), seconds=seconds, total="n")
     rows = with_halo(pos, "pos", deep, block)
     w = Window.partitionBy("instrument", "blk").orderBy("pos")
-    rows = rows.withColumn("ret", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
+    rows = rows.withColumn("ret", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)))
     per = []
     for lb in lookbacks:
         full = F.col("pos") >= lb - 1
@@ -135,7 +135,7 @@ def max_drawdown(
     equity = F.col("g0") * F.col("eq")
     peak = F.greatest(F.col("peak0"), F.col("g0") * F.max("eq").over(inside))
     return (
-        joined.withColumn("dd", (peak - equity) / peak)
+        joined.withColumn("dd", F.try_divide(peak - equity, peak))
         .groupBy(*keys)
         .agg(F.max("dd").alias("max_dd"))
     )

@@ -67,7 +67,7 @@ def merged_mean(cells: Column) -> tuple[Column, Column]:
 
 def sharpe_of(n: Column, mean: Column, m2: Column) -> Column:
     """mean / sample deviation; 0 for fewer than two values or a constant series."""
-    sd = F.sqrt(m2 / (n - 1))
+    sd = F.sqrt(F.try_divide(m2, n - 1))
     flat = F.lit(1e-12) * F.greatest(F.abs(mean), F.lit(1e-300))
     return F.when((n > 1) & (sd > flat), mean / sd).otherwise(F.lit(0.0))
 
@@ -105,7 +105,7 @@ def config_stats(moments: DataFrame) -> DataFrame:
         "config_id",
         n.cast("long").alias("n_obs"),
         F.col("mean"),
-        F.coalesce(F.when(n > 1, F.sqrt(m2 / (n - 1))), F.lit(0.0)).alias("std"),
+        F.coalesce(F.sqrt(F.try_divide(m2, n - 1)), F.lit(0.0)).alias("std"),
         "sharpe",
         F.when((n > 2) & (m2 > 0), F.sqrt(n) * F.col("m3") / F.pow(m2, F.lit(1.5))).otherwise(0.0).alias("skew"),
         F.when((n > 3) & (m2 > 0), n * F.col("m4") / (m2 * m2)).otherwise(3.0).alias("kurt"),

@@ -157,6 +157,14 @@ def test_returns_and_drawdown_across_blocks(spark):
     assert abs(max_drawdown(panel, block=37).first()["max_dd"] - ((peak - eq) / peak).max()) < 1e-12
 
 
+def test_zero_price_and_total_loss_do_not_stop_the_job(spark):
+    bars = spark.createDataFrame([("A", i, float(c)) for i, c in enumerate((1, 0, 2))], "instrument string, s long, close double")
+    rows = bar_returns(bars.select("instrument", F.timestamp_seconds("s").alias("ts"), "close")).orderBy("ts").collect()
+    assert [r.simple_ret for r in rows] == [0.0, -1.0, 0.0]
+    panel = spark.createDataFrame([("s", 0, 0, -1.0), ("s", 0, 1, 0.1)], "sleeve_id string, config_id int, t long, ret double")
+    assert max_drawdown(panel).first()["max_dd"] is None
+
+
 def test_first_bar_loss_is_no_drawdown(spark):
     panel = spark.createDataFrame([("s", 0, 0, -0.5), ("s", 0, 1, 0.1)], "sleeve_id string, config_id int, t long, ret double")
     assert max_drawdown(panel).first()["max_dd"] == 0.0
