@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, token_output
+from quantspan.llm import bpe, decontamination, substring_dedup, token_output
 from quantspan.llm.text import map_batches, table
 from quantspan.session import fresh_path
 
@@ -66,3 +66,70 @@ def op3_orc_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return read.join(token_output.starts(files), "part").select(
         "doc_id", (c("before") + c("first")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each text without word windows that an earlier document holds."""
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", substring_dedup.n_removed().alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that occur in benchmark items, and the items."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_hits(docs, table(spark, folder, "benchmark"))
+    hit = decontamination.n_hit().cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op4_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS body
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT body, min(doc_id) AS d FROM starts GROUP BY body),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT s.doc_id, s.i FROM starts s JOIN firsts f ON s.body = f.body WHERE f.d < s.doc_id), range(13) t(k)),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+  SELECT e.doc_id, string_agg(e.x, ' ' ORDER BY e.p) AS body, count(*) AS n
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p WHERE g.p IS NULL GROUP BY e.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+ORACLE["op5_decontamination"] = r"""
+WITH lower_d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+lower_b AS (
+  SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower_d),
+b AS (SELECT item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lower_b),
+sought AS (
+  SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS body FROM (
+    SELECT item_id, w[i:i + 9] AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM b)
+    UNION ALL SELECT item_id, w FROM b WHERE len(w) BETWEEN 1 AND 9)),
+sizes AS (SELECT DISTINCT n FROM sought),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS body
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)),
+found AS (SELECT p.doc_id, p.i, p.n, s.item_id FROM places p JOIN sought s ON p.n = s.n AND p.body = s.body),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
