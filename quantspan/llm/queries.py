@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, substring_dedup, token_output
-from quantspan.llm.text import map_batches, table
+from quantspan.llm import bpe, decontamination, substring_dedup, token_output, toxicity
+from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
 c = F.col
@@ -133,3 +133,17 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
   sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document, by models of the labelled documents that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    scored = toxicity.add_scores(docs, model)
+    return scored.select(
+        "doc_id",
+        (crc_bucket(c("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        c("toxicity").alias("score"),
+        (c("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

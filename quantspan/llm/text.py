@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from quantspan.session import prepare
 
 #: Rows and bytes of one Arrow batch, which is what a Python worker holds at a time.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 BATCH_BYTES = str(16 << 20)
 #: Distinct words a worker keeps hashes or ids of before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def text_session(spark: SparkSession) -> SparkSession:
