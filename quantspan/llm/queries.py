@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, substring_dedup, token_output, toxicity
+from quantspan.llm import bpe, decontamination, line_dedup, substring_dedup, token_output, toxicity
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -147,3 +147,27 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         c("toxicity").alias("score"),
         (c("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each document, how many of them are later repeats, and what is left."""
+    kept = line_dedup.remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE["op2_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM d),
+pairs AS (
+  SELECT doc_id, p, x || chr(10) || lead(x) OVER w AS body FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+firsts AS (SELECT body, min((doc_id, p)) AS place FROM pairs WHERE body IS NOT NULL GROUP BY body),
+gone AS (
+  SELECT DISTINCT doc_id, p + k AS p
+  FROM (SELECT a.doc_id, a.p FROM pairs a JOIN firsts f ON a.body = f.body WHERE f.place < (a.doc_id, a.p)), range(2) t(k)),
+kept AS (
+  SELECT e.doc_id, count(*) AS n, string_agg(e.x, chr(10) ORDER BY e.p) AS body
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p WHERE g.p IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, len(d.l) AS n_lines, len(d.l) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
