@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, line_dedup, substring_dedup, token_output, toxicity
+from quantspan.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, token_output, toxicity
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -171,3 +171,32 @@ kept AS (
 SELECT d.doc_id, len(d.l) AS n_lines, len(d.l) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+
+@query
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents linked by a similarity of 0.85 and more of their sets of three words."""
+    near = minhash.Near(shingle=3, percent=85)
+    groups = minhash.near_groups(table(spark, folder, "documents"), near)
+    return groups.select("doc_id", "n_shingles", "component_id", (c("doc_id") == c("component_id")).alias("kept"))
+
+
+ORACLE["op6_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.b, w.doc_id)) AS component_id,
+  w.doc_id = least(w.doc_id, coalesce(l.b, w.doc_id)) AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN lowest l ON l.a = w.doc_id
+"""
