@@ -242,14 +242,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """``docs`` without the runs of words that occur in items; documents covered beyond ``max_coverage`` go."""
     covered = F.try_divide(n_hit(), F.col("n_words"))
     found = find_hits(docs, items, window).where(F.coalesce(covered, F.lit(0.0)) <= max_coverage)
+    names = docs.columns
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = batch.columns[: len(docs.columns)]
+        columns = batch.columns[: len(names)]
         runs = batch.column("hit_spans").to_pylist()
         if any(runs):
             texts = batch.column("text").to_pylist()
             cuts = [cut_words(t, [(s["start"], s["end"]) for s in own]) if own else t for t, own in zip(texts, runs, strict=True)]
-            columns[docs.columns.index("text")] = pa.array(cuts, pa.string())
-        return pa.RecordBatch.from_arrays(columns, docs.columns)
+            columns[names.index("text")] = pa.array(cuts, pa.string())
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return map_batches(found, cut, docs.schema)
