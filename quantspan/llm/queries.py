@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, line_dedup, minhash, substring_dedup, token_output, toxicity
+from quantspan.llm import bpe, decontamination, language, line_dedup, minhash, substring_dedup, token_output, toxicity
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -200,3 +200,13 @@ SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.b, w
   w.doc_id = least(w.doc_id, coalesce(l.b, w.doc_id)) AS kept
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN lowest l ON l.a = w.doc_id
 """
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, by profiles of those that are not held out."""
+    docs = table(spark, folder, "documents")
+    profiles = language.fit(language.training(docs).select("text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), profiles)
+    held_out = crc_bucket(c("doc_id"), language.FOLDS) == language.HELD_OUT
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
