@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, language, line_dedup, minhash, substring_dedup, token_output, toxicity
+from quantspan.llm import bpe, decontamination, language, line_dedup, minhash, quality, substring_dedup, token_output, toxicity
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -210,3 +210,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = language.predict(docs.select("doc_id", "text"), profiles)
     held_out = crc_bucket(c("doc_id"), language.FOLDS) == language.HELD_OUT
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document: the posterior of its heuristics, and a scorer trained on these."""
+    scored = quality.score_quality(table(spark, folder, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "weak_label", c("quality").alias("score"), (c("quality") >= quality.KEEP).cast("int").alias("predicted"))
