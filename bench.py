@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,8 +31,7 @@ HEADLINE = (
     "bm25_scores",
     "retrieval_ranked",
     "note_fields",
-    "regime_states",
-    "replay_summary",
+    "baseline_signals",
     "stream_gates",
 )
 
@@ -45,6 +45,7 @@ def main() -> None:
         **{
             "spark.sql.shuffle.partitions": cpus,
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="spark-"),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.sql.files.maxPartitionBytes": "32m",
         },

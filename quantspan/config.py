@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Names and defaults of the limits, by rule.
 @dataclass(frozen=True)
 class RiskLimits:
     system_mode: str = "A"
@@ -12,7 +13,6 @@ class RiskLimits:
     max_daily_trades: int = 3
     max_consecutive_losses: int = 3
     min_trade_approval_usd: float = 1000.0
-    apex_ai_allowed: bool = False
     topstep_ai_allowed: bool = True
 
 

@@ -17,26 +17,21 @@ def daily_pnl_pct(pnl: Column, start: Column) -> Column:
     return F.when(start != 0, pnl / start * 100).otherwise(F.lit(0.0))
 
 
+# From which drawdown a gate level holds, and its size multiplier; below them all is normal.
+GATE_LADDER = ((0.20, "halt", 0.0), (0.15, "dd15", 0.125), (0.10, "dd10", 0.25), (0.05, "dd5", 0.5))
+NORMAL, NORMAL_MULT = "normal", 1.0
+
+
 def drawdown_level(dd: Column) -> Column:
     """Gate level of a drawdown given as a fraction; negative drawdown counts as none."""
-    return (
-        F.when(dd >= 0.20, F.lit("halt"))
-        .when(dd >= 0.15, F.lit("dd15"))
-        .when(dd >= 0.10, F.lit("dd10"))
-        .when(dd >= 0.05, F.lit("dd5"))
-        .otherwise(F.lit("normal"))
-    )
+    steps = [F.when(dd >= floor, F.lit(level)) for floor, level, _ in GATE_LADDER]
+    return F.coalesce(*steps, F.lit(NORMAL))
 
 
 def sizing_mult(level: Column) -> Column:
-    """The size multiplier of each gate level."""
-    return (
-        F.when(level == "halt", 0.0)
-        .when(level == "dd15", 0.125)
-        .when(level == "dd10", 0.25)
-        .when(level == "dd5", 0.5)
-        .otherwise(1.0)
-    )
+    """The size multiplier of a gate level."""
+    steps = [F.when(level == name, F.lit(mult)) for _, name, mult in GATE_LADDER]
+    return F.coalesce(*steps, F.lit(NORMAL_MULT))
 
 
 def apply_sizing(size: Column, mult: Column) -> Column:

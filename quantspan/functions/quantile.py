@@ -18,34 +18,36 @@ def exact_percentile(
     p: float,
     out: str,
     accuracy: int = 10_000,
-    small: int = 50_000,
     stage: bool = True,
 ) -> DataFrame:
     """Linearly interpolated percentile per group, exact, without holding a group in memory.
 
     The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a
     bounded sketch brackets the wanted ranks, values below the bracket are only counted, and
-    the exact ranks are read off the few values inside it. Groups of up to ``small`` rows are
-    bracketed by their whole range. A bracket that misses its ranks raises an error instead of
-    giving a wrong value. The brackets, one row per group, are written first (``stage``): their
+    the exact ranks are read off the few values inside it. A
+    bracket is as wide as the sketch errs and two ranks at least, so a small group's is its whole
+    range. One that misses its ranks raises an error instead of giving a wrong value. The brackets, one row per group, are written first (``stage``): their
     size is known then, and the input is not shuffled to meet them while they are few.
     """
-    eps = 2.0 / accuracy
+    widths = sorted({2.0 / accuracy, *(w for w in (1e-3, 1e-2, 1e-1, 1.0) if w > 2.0 / accuracy)})
+    bounds = [x for w in widths for x in (max(0.0, p - w), min(1.0, p + w))]
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).alias("__v"))
     bracket = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("__q"),
+        F.percentile_approx("__v", bounds, accuracy).alias("__q"),
     )
+    wide_enough = [F.when(F.col("__n") * w >= 2, 2 * k) for k, w in enumerate(widths)]
+    at_width = F.coalesce(*wide_enough, F.lit(2 * len(widths) - 2))
     bracket = bracket.select(
         *keys,
         "__n",
-        F.when(F.col("__n") > small, F.col("__q")[0]).alias("__lo"),
-        F.when(F.col("__n") > small, F.col("__q")[1]).alias("__hi"),
+        F.col("__q")[at_width].alias("__lo"),
+        F.col("__q")[at_width + 1].alias("__hi"),
     )
     if stage:
         bracket = materialize(bracket, "brackets")
-    low = F.col("__lo").isNotNull() & (F.col("__v") < F.col("__lo"))
-    keep = F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))
+    low = F.col("__v") < F.col("__lo")
+    keep = F.col("__v") <= F.col("__hi")
     counted = (
         match_keys(rows, bracket, keys, "inner")
         .where(keep)

@@ -1,22 +1,14 @@
-"""Rolling regime labels from the shape of delay-embedded returns, and the signal on them."""
+"""Rolling windows, their delay embedding and volatility label, features of diagrams, and the signal on labels."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantspan.functions.prices import regime_label, shift_posterior
-from quantspan.functions.topology import bottleneck, bottleneck_h0, diagrams
 from quantspan.operators.costs import spec_columns
 from quantspan.plans.blocks import DAY
 from quantspan.sources.bars import positioned
 
-CLASSIFIER = "tda_v1"
-
 
 def decision_windows(bars: DataFrame, warmup: int = 100, step: int = 25, seconds: int = DAY) -> DataFrame:
     """One row per decision bar with the closes of the ``warmup`` bars before it.
@@ -81,37 +73,6 @@ def embedded_windows(windows: DataFrame, split: float = 0.5, dim: int = 3, delay
     )
 
 
-_KEEP = ["instrument", "pos"]
-_DIAGRAM = "array<struct<birth:double,death:double>>"
-_SHAPE_SCHEMA = (
-    f"instrument string, pos long, ref_h0 {_DIAGRAM}, ref_h1 {_DIAGRAM}, cur_h0 {_DIAGRAM}, cur_h1 {_DIAGRAM}, "
-    "bottleneck_h0 double, bottleneck_h1 double"
-)
-
-
-def _cloud(cell: object) -> np.ndarray:
-    return np.array([np.asarray(p, dtype=float) for p in cell])
-
-
-def _bars(pairs: np.ndarray) -> list[dict[str, float]]:
-    return [{"birth": float(b), "death": float(d)} for b, d in pairs]
-
-
-def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for ref, cur in zip(batch["ref"], batch["cur"]):
-            r0, r1 = diagrams(_cloud(ref))
-            c0, c1 = diagrams(_cloud(cur))
-            h0 = [np.column_stack([np.zeros(len(x)), x]) for x in (r0, c0)]
-            rows.append(
-                (_bars(h0[0]), _bars(r1), _bars(h0[1]), _bars(c1), bottleneck_h0(r0, c0), bottleneck(r1, c1))
-            )
-        names = ["ref_h0", "ref_h1", "cur_h0", "cur_h1", "bottleneck_h0", "bottleneck_h1"]
-        shapes = pd.DataFrame(rows, columns=names, index=batch.index)
-        yield pd.concat([batch[_KEEP], shapes], axis=1)
-
-
 def diagram_features(h0: Column, h1: Column, prefix: str = "") -> list[Column]:
     """Mean, variance and entropy of the lifetimes (loops if there are any), counts, longest loop."""
     life = lambda d: F.transform(d, lambda x: x["death"] - x["birth"])
@@ -135,47 +96,22 @@ def diagram_features(h0: Column, h1: Column, prefix: str = "") -> list[Column]:
     ]
 
 
-def regime_labels(
-    windows: DataFrame, threshold: float = 0.02, split: float = 0.5, dim: int = 3, delay: int = 1
-) -> DataFrame:
-    """Label, divergence and features per decision window.
+def _steps(closes: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(closes) - 1), lambda i: F.get(closes, i) - F.get(closes, i - 1))
 
-    Windows and clouds are built by Spark and the features are expressions over the returned
-    diagrams; only the diagrams and their distances are computed in Python, window by window.
-    """
-    clouds = embedded_windows(windows, split, dim, delay).select(*_KEEP, "ref", "cur")
-    shaped = clouds.mapInPandas(_shapes, _SHAPE_SCHEMA)
-    d = F.col("bottleneck_h0") + F.col("bottleneck_h1")
-    return shaped.select(
-        "instrument",
-        "pos",
-        d.alias("d_topo"),
-        "bottleneck_h0",
-        "bottleneck_h1",
-        regime_label(d, threshold).alias("regime_label"),
-        shift_posterior(d).alias("p_shift"),
-        *diagram_features(F.col("cur_h0"), F.col("cur_h1")),
-        *diagram_features(F.col("ref_h0"), F.col("ref_h1"), "ref_"),
-    )
 
+def _spread(values: Column) -> Column:
+    """Population standard deviation of an array."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = total(values) / F.size(values)
+    return F.sqrt(total(F.transform(values, lambda x: (x - mean) * (x - mean))) / F.size(values))
 
-def regime_rows(labels: DataFrame, windows: DataFrame) -> DataFrame:
-    """State-table rows; the id is a hash of classifier, instrument and time."""
-    rows = labels.join(windows.select("instrument", "pos", "ts"), ["instrument", "pos"])
-    p = F.col("p_shift")
-    features = [
-        "mu", "var", "persistence_entropy", "n_h0", "n_h1", "max_lifetime_h1", "d_topo", "bottleneck_h0", "bottleneck_h1",
-    ]
-    pairs = [x for f in features for x in (F.lit(f), F.col(f).cast("double"))]
-    return rows.select(
-        F.sha2(F.concat_ws("|", F.lit(CLASSIFIER), "instrument", F.unix_micros("ts").cast("string")), 256).alias("id"),
-        "ts",
-        "instrument",
-        F.lit(CLASSIFIER).alias("classifier"),
-        "regime_label",
-        F.create_map(F.lit("shift"), p, F.lit("stable"), F.round(1 - p, 6)).alias("posterior"),
-        F.create_map(*pairs).alias("features"),
-    )
+
+def volatility_labels(windows: DataFrame, lookback: int = 20) -> DataFrame:
+    """Windows with ``regime_label``: ``shift`` where the last ``lookback`` closes spread more than all."""
+    recent = F.slice("closes", F.greatest(F.size("closes") - lookback, F.lit(0)) + 1, F.lit(lookback))
+    wilder = _spread(_steps(recent)) > _spread(_steps(F.col("closes")))
+    return windows.withColumn("regime_label", F.when(wilder, "shift").otherwise("stable"))
 
 
 # reward/risk, confidence and size of the baseline signal.

@@ -87,10 +87,11 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
             frame = frame.withColumn(name, F.lit(None).cast(kind))
     rows = apply_rules(frame, limits)
     no_text = F.array().cast("array<string>")
-    ids = F.coalesce("rule_ids", no_text)
+    ids = F.coalesce(F.array_distinct("rule_ids"), no_text)
     vetoes = F.coalesce("vetoes", no_text)
     gated = c("gate_level").isNotNull()
-    cut = F.floor(approved_size() * F.coalesce("ontology_mult", F.lit(1.0)) + F.lit(1e-9)).cast("int")
+    # the product of the multipliers as the decimal it stands for, so that truncation sees no binary error
+    cut = F.floor(approved_size() * F.coalesce(F.round("ontology_mult", 12).cast("decimal(20,12)"), F.lit(1).cast("decimal(20,12)"))).cast("int")
     rows = (
         rows.withColumn("size_", apply_sizing(cut, c("sizing_mult")))
         .withColumn("hard_failed", F.size("failures") > 0)

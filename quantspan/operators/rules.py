@@ -35,16 +35,19 @@ def rr_floor() -> Column:
     return F.coalesce(F.create_map(*pairs)[c("setup_type")], F.lit(RR_DEFAULT))
 
 
+def _or_none(count: str) -> Column:
+    """A count of the account that nothing was recorded for is none, if there is an account at all."""
+    return F.when(c("firm").isNotNull(), F.coalesce(c(count), F.lit(0)))
+
+
 def _max_daily_trades(lim: RiskLimits):
-    return c("trades_today") < lim.max_daily_trades, F.format_string(
-        f"daily trade limit (%d/{lim.max_daily_trades})", c("trades_today")
-    )
+    done = _or_none("trades_today")
+    return done < lim.max_daily_trades, F.format_string(f"daily trade limit (%d/{lim.max_daily_trades})", done)
 
 
 def _max_consecutive_losses(lim: RiskLimits):
-    return c("consecutive_losses") < lim.max_consecutive_losses, F.format_string(
-        "%d losses in a row", c("consecutive_losses")
-    )
+    lost = _or_none("consecutive_losses")
+    return lost < lim.max_consecutive_losses, F.format_string("%d losses in a row", lost)
 
 
 def _max_daily_loss(lim: RiskLimits):
@@ -56,9 +59,8 @@ def _max_daily_loss(lim: RiskLimits):
 
 def _trailing_dd_buffer(lim: RiskLimits):
     room = c("max_drawdown_threshold_usd").cast("double") * DD_BUFFER
-    return c("current_drawdown_usd").cast("double") < room, F.format_string(
-        "drawdown %.2f within the buffer of %.2f", c("current_drawdown_usd").cast("double"), room
-    )
+    drawdown = _or_none("current_drawdown_usd").cast("double")
+    return drawdown < room, F.format_string("drawdown %.2f within the buffer of %.2f", drawdown, room)
 
 
 def _risk_reward_minimum(lim: RiskLimits):
@@ -119,12 +121,16 @@ def apply_rules(
 ) -> DataFrame:
     """Add ``failures`` (messages in rule order) and ``checks`` (rule → passed).
 
-    Every rule is evaluated on every row, in one projection. ``rules`` can hold further rules.
+    Every rule is evaluated on every row, in one projection. ``rules`` can hold further rules. A rule
+    that cannot be decided, for want of a value, has failed.
     The time-of-day rule looks at ``evaluated_at``, which defaults to ``created_at``.
     """
     if "evaluated_at" not in frame.columns:
         frame = frame.withColumn("evaluated_at", c("created_at"))
-    built = {name: rule(limits) for name, rule in rules.items()}
+    built = {}
+    for name, rule in rules.items():
+        passed, message = rule(limits)
+        built[name] = F.coalesce(passed, F.lit(False)), message
     messages = [
         F.when(~passed, F.concat(F.lit(f"[{name}] "), F.coalesce(msg, F.lit("failed"))))
         for name, (passed, msg) in built.items()

@@ -180,7 +180,7 @@ sig AS (
 acct AS (
   SELECT c_custkey AS account_id,
          CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'APEX' WHEN 'BUILDING' THEN 'TOPSTEP'
-           WHEN 'FURNITURE' THEN 'LUCID' ELSE 'ZENITHSTONE_LIVE' END AS firm,
+           WHEN 'FURNITURE' THEN 'LUCID' ELSE 'OWN_LIVE' END AS firm,
          round(c_acctbal * 100)::BIGINT * 10 AS equity_c, round(c_acctbal * 100)::BIGINT - 450000 AS pnl_c,
          c_custkey % 5 AS trades_today, c_custkey % 4 AS losses, c_custkey * 37 % 160000 AS dd_c,
          CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 40 END AS consistency
@@ -311,6 +311,16 @@ cards AS (
          CASE WHEN dsr IS NULL OR pbo IS NULL THEN 'PENDING' WHEN dsr > 0 AND pbo < 0.5 THEN 'GO' ELSE 'NO-GO' END AS verdict
   FROM reg FULL JOIN last_bt USING (sleeve_id))"""
 
+# the same over two tracks, one of which mirrors the other
+TRACK_GATES = (
+    EQUITY.replace("AS equity FROM pnl)", """AS equity FROM pnl),
+tracks AS (SELECT sleeve_id, 'B' AS track, ts, equity FROM eq
+  UNION ALL SELECT sleeve_id, 'A', ts, 400000.0::DOUBLE - equity FROM eq)""")
+    .replace("max(equity) OVER (PARTITION BY sleeve_id ORDER BY ts) AS peak_equity FROM eq", "max(equity) OVER (PARTITION BY sleeve_id, track ORDER BY ts) AS peak_equity FROM tracks")
+    .replace("SELECT sleeve_id, ts, round(dd, 6)", "SELECT sleeve_id, track, ts, round(dd, 6)")
+    .replace("lag(gate_level) OVER (PARTITION BY sleeve_id ORDER BY ts)", "lag(gate_level) OVER (PARTITION BY sleeve_id, track ORDER BY ts)")
+)
+
 STATE = f"""{EQUITY},
 e1 AS (SELECT * FROM ddc ORDER BY ts DESC, sleeve_id DESC LIMIT 1),
 g1 AS (SELECT * FROM gates ORDER BY ts DESC, sleeve_id DESC LIMIT 1),
@@ -480,7 +490,8 @@ SELECT id, strftime(TIMESTAMP '1970-01-01' + to_seconds(k), '%Y-%m-%d %H:%M:%S')
        (k % 60)::DOUBLE AS pre_min, CASE WHEN off THEN stopped ELSE made END AS audit_id, NOT off AS active FROM n""",
     "rejected_rules": """SELECT 'rule_' || (o_custkey % 991) AS id, 'approve' AS action, count(*) AS n FROM orders
 WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 <> 1 GROUP BY 1""",
-    "rule_requests": """WITH s AS (SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_'), 1, 48) AS b FROM documents)
+    "rule_requests": """WITH f AS (SELECT doc_id, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS b FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(b) > 48 THEN substr(b, 1, 48) || '_' || substr(sha256(text), 1, 8) ELSE b END AS b FROM f)
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'rule_' || CASE WHEN b = '' THEN 'unnamed' ELSE b END END AS id,
        CASE WHEN doc_id % 3 = 0 THEN 'action must restrict: approve' ELSE '' END AS error FROM s""",
     "bm25_scores": f"WITH {BM25} SELECT query_id, path, {_r(6, 'score')} FROM bm",
@@ -507,8 +518,8 @@ SELECT n.path, id_key, 'doc ' || n.doc_id AS title, n.source AS folder, n.lang |
   CASE WHEN doc_id % 11 = 0 THEN 'invalid id: ' || id_key END,
   CASE WHEN status = 'draft' THEN 'invalid status: draft' END,
   CASE WHEN doc_id % 11 = 0 THEN 'id is not the file name prefix' END) AS problems FROM note""",
-    "fk_orphans": """SELECT o_custkey, count(*) AS n_rows FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""",
+    "fk_orphans": """WITH o AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS o_custkey FROM orders)
+SELECT o_custkey, count(*) AS n_rows FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""",
     "unique_violations": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "constraint_checks": """WITH n AS (SELECT count_if(o_orderstatus = 'P')::BIGINT AS p, count_if(o_orderkey % 9 = 0)::BIGINT AS s,
                    count_if(o_orderstatus <> 'P')::BIGINT AS r FROM orders)
@@ -518,10 +529,10 @@ UNION ALL SELECT 'reason_present', r FROM n""",
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""",
     "latest_orders": """SELECT o_custkey, o_orderkey, o_totalprice FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
-    "upserted_accounts": """WITH n AS (SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    "upserted_accounts": """WITH n AS (SELECT o_custkey * 2 AS id, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1)
 SELECT id, v FROM n UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT id FROM n)""",
     "absent_customers": """SELECT c_custkey AS id, c_name FROM customer
-WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)""",
+WHERE c_custkey NOT IN (SELECT o_custkey * 2 FROM orders)""",
     "recent_trades": f"""WITH {TRADES}
 SELECT id AS trade_id, instrument, side, size_target AS size, status, status = 'vetoed' AS vetoed, trim(coalesce(veto_reason, '')) AS reason,
        {_TS} FROM (SELECT * FROM trades ORDER BY ts DESC, id LIMIT 50)""",
@@ -541,20 +552,17 @@ e AS (SELECT *, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM s WINDOW w AS
 SELECT instrument, d AS pos, idx, part, round(x, 8) AS x0, round(x1, 8) AS x1, round(x2, 8) AS x2 FROM e WHERE x2 IS NOT NULL""",
     "baseline_signals": f"""WITH {WINDOWS},
 recent AS (SELECT *, close - lag(close) OVER (PARTITION BY instrument, d ORDER BY i) AS step FROM win WHERE i >= 80),
+every AS (SELECT instrument, d, close - lag(close) OVER (PARTITION BY instrument, d ORDER BY i) AS step FROM win),
+overall AS (SELECT instrument, d, stddev_pop(step) AS sd_all FROM every GROUP BY 1, 2),
 a AS (SELECT instrument, d, dclose, arg_min(close, i) AS c0, stddev_pop(step) AS sd FROM recent GROUP BY 1, 2, 3),
 b AS (SELECT *, greatest(0.25, 2.0 * sd) AS dist,
-        CASE WHEN CASE WHEN (d // 25) % 2 = 1 THEN dclose - c0 < 0 ELSE dclose - c0 >= 0 END THEN 1 ELSE -1 END AS sgn FROM a)
+        CASE WHEN CASE WHEN sd > sd_all THEN dclose - c0 < 0 ELSE dclose - c0 >= 0 END THEN 1 ELSE -1 END AS sgn
+      FROM a JOIN overall USING (instrument, d))
 SELECT instrument, d AS pos, CASE WHEN sgn = 1 THEN 'LONG' ELSE 'SHORT' END AS direction, round(dclose, 2) AS entry_price,
        round(dclose - sgn * dist, 2) AS stop_loss, round(dclose + 2.5 * sgn * dist, 2) AS take_profit_1,
        round(dist * 4.0, 2) AS risk_per_contract_usd FROM b""",
-    "replay_invariants": f"""WITH {BARS},
-n AS (SELECT instrument, count(*) AS n FROM bars GROUP BY 1)
-SELECT instrument || '|' || p AS sleeve_id, (n - 2 - w) // s + 1 AS n_decisions, 0::BIGINT AS n_unfilled, 0::BIGINT AS n_busy_days,
-       0::BIGINT AS n_ungated, 0::BIGINT AS n_bad_vetoes
-FROM n, (VALUES ('slow', 100, 25), ('fast', 60, 10)) g(p, w, s)""",
-    "stream_bars": f"""WITH {BARS} SELECT instrument, {_TS}, open, high, low, close, volume FROM bars
-WHERE bars.ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""",
-    "stream_gates": f"""WITH {EQUITY} SELECT sleeve_id, {_TS}, current_dd_pct, gate_level, sizing_mult, previous_level,
+    "stream_bars": f"""WITH {BARS} SELECT instrument, {_TS}, open, high, low, close, volume FROM bars""",
+    "stream_gates": f"""WITH {TRACK_GATES} SELECT sleeve_id, track, {_TS}, current_dd_pct, gate_level, sizing_mult, previous_level,
        coalesce(previous_level, 'normal') <> gate_level AS tripped FROM gates""",
-    "stream_unique": "SELECT l_suppkey::VARCHAR AS sleeve_id, count(DISTINCT l_shipdate) AS n_points FROM lineitem GROUP BY 1",
+    "stream_unique": "SELECT l_suppkey::VARCHAR AS sleeve_id, track, count(DISTINCT l_shipdate) AS n_points FROM lineitem, (VALUES ('A'), ('B')) t(track) GROUP BY 1, 2",
 }

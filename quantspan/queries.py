@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
 from quantspan.functions.text import query_tokens
-from quantspan.operators import chain, gates, ontology, quality, regime, replay, reports, retrieval, risk, rules
+from quantspan.operators import chain, gates, ontology, quality, regime, reports, retrieval, risk, rules
 from quantspan.operators.bars import bar_quality
 from quantspan.operators.bma import bma_weights
 from quantspan.operators.costs import calibrate, order_cost
@@ -113,7 +113,7 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(c("c_mktsegment") == "AUTOMOBILE", "APEX")
         .when(c("c_mktsegment") == "BUILDING", "TOPSTEP")
         .when(c("c_mktsegment") == "FURNITURE", "LUCID")
-        .otherwise("ZENITHSTONE_LIVE")
+        .otherwise("OWN_LIVE")
         .alias("firm"),
         money(bal * 10).alias("equity_usd"),
         F.lit(50000).cast("decimal(20,6)").alias("starting_balance_usd"),
@@ -127,7 +127,8 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signal_frame(spark: SparkSession, folder: str) -> DataFrame:
-    return signals(spark, folder).join(accounts(spark, folder), "account_id")
+    """Signals with their account; one without an account stays, and no rule passes it."""
+    return signals(spark, folder).join(accounts(spark, folder), "account_id", "left")
 
 
 def injected_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -522,7 +523,7 @@ def trade_day_counters(spark, folder):
 
 @query
 def signal_validity(spark, folder):
-    rows = signals(spark, folder).withColumn("target_account", F.lit("ZENITHSTONE_LIVE"))
+    rows = signals(spark, folder).withColumn("target_account", F.lit("OWN_LIVE"))
     df = rules.signal_problems(rows)
     return df.select("signal_id", F.array_join("problems", ",").alias("problems"))
 
@@ -721,10 +722,10 @@ def note_checks(spark, folder):
 
 @query
 def fk_orphans(spark, folder):
-    rich = table(spark, folder, "customer").where("c_acctbal > 0")
-    return quality.orphan_keys(table(spark, folder, "orders"), "o_custkey", rich, "c_custkey").select(
-        "o_custkey", *whole("n_rows")
-    )
+    """Orders whose customer is missing, after every seventh has been given another key."""
+    moved = F.when(c("o_orderkey") % 7 == 0, c("o_custkey") + 1_000_000_000).otherwise(c("o_custkey"))
+    rows = table(spark, folder, "orders").withColumn("o_custkey", moved)
+    return quality.orphan_keys(rows, "o_custkey", table(spark, folder, "customer"), "c_custkey").select("o_custkey", *whole("n_rows"))
 
 
 @query
@@ -758,18 +759,17 @@ def latest_orders(spark, folder):
 
 @query
 def upserted_accounts(spark, folder):
-    """Customers upserted with the total of their latest order."""
+    """Customers upserted with the total of the latest order under twice their key: some are there, some new."""
     base = table(spark, folder, "customer").select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"))
-    new = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(
-        c("o_custkey").alias("id"), c("o_totalprice").alias("v"), "o_orderkey"
-    )
+    new = table(spark, folder, "orders").select((c("o_custkey") * 2).alias("id"), c("o_totalprice").alias("v"), "o_orderkey")
     newest = latest_per_key(new, ["id"], ["o_orderkey"]).drop("o_orderkey")
     return upsert(base, newest, ["id"])
 
 
 @query
 def absent_customers(spark, folder):
-    base = table(spark, folder, "orders").where("o_totalprice > 100000").select(c("o_custkey").alias("id"))
+    """Customers that no order has under twice their key."""
+    base = table(spark, folder, "orders").select((c("o_custkey") * 2).alias("id"))
     new = table(spark, folder, "customer").select(c("c_custkey").alias("id"), "c_name")
     return insert_absent(base, new, ["id"])
 
@@ -827,78 +827,36 @@ def takens_points(spark, folder):
     return rows.select("instrument", *whole("pos", "idx"), "part", *[F.round(c("v")[i], 8).alias(f"x{i}") for i in range(3)])
 
 
-@query
-def regime_states(spark, folder):
-    df = regime.regime_labels(regime.decision_windows(bars(spark, folder)))
-    return df.select(
-        "instrument", *whole("pos"), "regime_label", "p_shift", *whole("n_h0", "n_h1"),
-        *rounded(8, "d_topo", "bottleneck_h0", "bottleneck_h1", "mu", "var", "persistence_entropy", "max_lifetime_h1"),
-    )
-
-
 @query
 def baseline_signals(spark, folder):
-    """Signals with the regime taken as shifted on every other decision."""
-    w = regime.decision_windows(bars(spark, folder)).withColumn(
-        "regime_label", F.when(F.expr("(pos div 25) % 2") == 1, "shift").otherwise("stable")
-    )
-    df = regime.regime_signals(w)
+    """Signals that fade momentum where a window has become wilder."""
+    df = regime.regime_signals(regime.volatility_labels(regime.decision_windows(bars(spark, folder))))
     return df.select(
         "instrument", *whole("pos"), "direction", *rounded(2, "entry_price", "stop_loss", "take_profit_1", "risk_per_contract_usd")
     )
 
 
-def _backtest(spark, folder):
-    grid = [replay.ReplayParams("slow"), replay.ReplayParams("fast", warmup=60, step=10, lookback=15)]
-    return replay.run_backtests(bars(spark, folder), grid)
-
-
-@query
-def replay_trades(spark, folder):
-    df = replay.trades_of(*_backtest(spark, folder))
-    return df.select("id", "sleeve_id", when_text(), "side", "size_target", "entry_target", "status", "veto_reason")
-
-
-@query
-def replay_summary(spark, folder):
-    return replay.run_summary(_backtest(spark, folder)[1])
-
-
-@query
-def replay_invariants(spark, folder):
-    """Per strategy: its decisions, and the rows that break a rule of the replay (all zero)."""
-    rows, walked = _backtest(spark, folder)
-    trades_ = materialize(replay.trades_of(rows, walked), "trades")
-    key = ["sleeve_id"]
-    count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
-    fills = replay.executions_of(trades_).join(trades_.select(c("id").alias("trade_id"), "sleeve_id"), "trade_id", "left")
-    busy = trades_.where("status = 'filled'").groupBy("sleeve_id", F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("k"))
-    gated = walked.where("kind = 'decision' and status = 'filled' and (gate_level = 'halt' or size < 1)")
-    out = count(trades_, "n_decisions")
-    for df, name in (
-        (quality.unfilled_executions(fills, trades_), "n_unfilled"),
-        (busy.where("k > 3"), "n_busy_days"),
-        (gated, "n_ungated"),
-        (trades_.where("status = 'vetoed' and (veto_reason is null or size_target <> 0)"), "n_bad_vetoes"),
-    ):
-        out = out.join(count(df, name), "sleeve_id", "left")
-    return out.fillna(0)
-
-
 @query
 def stream_bars(spark, folder):
     events = table(spark, folder, "events")
     stream = stateful.file_stream(spark, folder, events.schema, "events.parquet").withColumn("ts", c("ts").cast("timestamp"))
-    path = stateful.run_to_table(stateful.stream_bars(stream, base_price=BASE_PRICE, delay="0 seconds"), "stream_bars")
-    return spark.read.parquet(path).select("instrument", when_text(), "open", "high", "low", "close", "volume")
+    path = stateful.run_to_latest(stateful.stream_bars(stream, base_price=BASE_PRICE), "stream_bars")
+    df = stateful.latest(spark, path, ["instrument", "ts"])
+    return df.select("instrument", when_text(), "open", "high", "low", "close", "volume")
+
+
+#: The equity curve comes in files of these spans of time, one after the other.
+SPANS = ("ts < '1994-07-01'", "ts >= '1994-07-01' and ts < '1996-07-01'", "ts >= '1996-07-01'")
 
 
 def _stream_equity(spark, folder):
-    """The equity curve written as files in time order, and read back as a stream."""
-    df = equity(spark, folder).select("sleeve_id", "track", "ts", "equity")
-    path = fresh_path(spark, "equity")
-    df.write.parquet(path)
-    return stateful.file_stream(spark, path, df.schema)
+    """The equity curve and its mirror image as a second track, in files of later and later spans of time."""
+    df = materialize(equity(spark, folder).select("sleeve_id", "track", "ts", "equity"), "equity")
+    mirrored = df.select("sleeve_id", F.lit("A").alias("track"), "ts", (F.lit(2 * START_CENTS / 100.0) - c("equity")).alias("equity"))
+    both, path = df.union(mirrored), fresh_path(spark, "equity")
+    for span in SPANS:
+        both.where(span).repartition(2, "sleeve_id", "track").write.mode("append").parquet(path)
+    return stateful.file_stream(spark, path, df.schema, per_trigger=2)
 
 
 @query
@@ -906,12 +864,12 @@ def stream_gates(spark, folder):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_STORE)
     path = stateful.run_to_table(stateful.stream_gates(_stream_equity(spark, folder)), "stream_gates")
     df = spark.read.parquet(path)
-    return df.select("sleeve_id", when_text(), "current_dd_pct", "gate_level", "sizing_mult", "previous_level", "tripped")
+    return df.select("sleeve_id", "track", when_text(), "current_dd_pct", "gate_level", "sizing_mult", "previous_level", "tripped")
 
 
 @query
 def stream_unique(spark, folder):
     """Two copies of every equity point come in, one goes out."""
     stream = _stream_equity(spark, folder)
-    path = stateful.run_to_table(stateful.stream_unique_equity(stream.union(stream)), "stream_unique")
-    return spark.read.parquet(path).groupBy("sleeve_id").agg(F.count(F.lit(1)).alias("n_points"))
+    path = stateful.run_to_table(stateful.stream_unique_equity(stream.union(stream), delay="3650 days"), "stream_unique")
+    return spark.read.parquet(path).groupBy("sleeve_id", "track").agg(F.count(F.lit(1)).alias("n_points"))

@@ -108,7 +108,7 @@ DOMAINS = {
     "rule_action": ("veto", "size_down"),
     "setup_type": ("SETUP_1", "SETUP_2", "SETUP_3", "SCALP_EMA", "NEWS_DRIVEN"),
     "direction": ("LONG", "SHORT"),
-    "firm": ("APEX", "TOPSTEP", "LUCID", "ZENITHSTONE_LIVE"),
+    "firm": ("APEX", "TOPSTEP", "LUCID", "OWN_LIVE"),
     "verdict": ("APPROVE", "REJECT", "APPROVE_PENDING_HUMAN"),
     "order_type": ("MARKET", "LIMIT", "STOP", "STOP_LIMIT"),
     "order_status": ("PENDING", "SUBMITTED", "PARTIAL", "FILLED", "CANCELED", "REJECTED"),

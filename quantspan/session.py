@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,11 +41,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local runs,
-    tests) a temporary folder is taken, one per application.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a session within one process
+    (tests, benchmarks) takes a temporary folder; on any other master a folder of one machine would be
+    read incompletely, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or _local_scratch.get(spark.sparkContext.applicationId)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         _local_scratch[spark.sparkContext.applicationId] = root
     return root

@@ -9,7 +9,7 @@ from quantspan.operators.returns import bar_returns, max_drawdown, strategy_retu
 from quantspan.sources.bars import (
     BarError,
     bars_from_events,
-    canonical_name,
+    bar_names,
     first_source,
     map_proxies,
     read_bars,
@@ -31,7 +31,7 @@ def test_alias_and_unsorted_csv(spark, tmp_path):
     rows = read_bars(spark, path).orderBy("ts").collect()
     assert [r.close for r in rows] == [10.0, 2.5, 3.5]
     assert {r.instrument for r in rows} == {"X"}
-    assert canonical_name(" Adj Close ") == "close"
+    assert list(bar_names([" Adj Close "])) == ["close"]
 
 
 def test_last_duplicate_wins(spark, tmp_path):

@@ -49,18 +49,22 @@ def test_exact_percentile(spark, p):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 4000, p=[0.8, 0.19, 0.01]), "v": rng.normal(size=4000).round(2)})
     df = spark.createDataFrame(pdf).repartition(4)
-    for small in (0, 50_000):  # bracketed by the sketch, and by the whole range
-        if small == 0 and p not in (0.5,):
-            continue
-        got = exact_percentile(df, ["k"], "v", p, "q", small=small if small else 1000).toPandas().set_index("k")["q"]
-        want = pdf.groupby("k")["v"].quantile(p)
-        assert np.allclose(got.loc[want.index], want, atol=1e-12)
+    got = exact_percentile(df, ["k"], "v", p, "q").toPandas().set_index("k")["q"]
+    want = pdf.groupby("k")["v"].quantile(p)
+    assert np.allclose(got.loc[want.index], want, atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 20, 41])
+def test_exact_percentile_of_few(spark, n):
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    for p in (0.05, 0.5, 0.95):
+        assert np.isclose(exact_percentile(df, ["k"], "v", p, "q").first()["q"], np.percentile(np.arange(n) ** 2.0, 100 * p))
 
 
 def test_percentile_brackets_large_groups(spark):
     df = spark.range(200_000).select(F.lit(1).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("v"))
     want = df.agg(F.percentile("v", 0.5)).first()[0]
-    assert exact_percentile(df, ["k"], "v", 0.5, "q", small=1000).first()["q"] == want
+    assert exact_percentile(df, ["k"], "v", 0.5, "q").first()["q"] == want
 
 
 def test_asof_matches_pandas(spark):

@@ -1,84 +1,17 @@
-"""Topology helpers, rolling regimes, signals and the replay."""
-
-from itertools import combinations
+"""Rolling windows, features, labels and signals."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantspan.config import RiskLimits
-from quantspan.functions import topology
-from quantspan.operators import quality, regime, replay
-from quantspan.schemas import RULES
+from quantspan.operators import regime
 from quantspan.sources.bars import synthetic_bars
 
 
-def brute_h1(dist):
-    """Textbook boundary reduction over all edges and triangles."""
-    n = len(dist)
-    edges = sorted((dist[i, j], i, j) for i, j in combinations(range(n), 2))
-    rank = {(i, j): k for k, (_, i, j) in enumerate(edges)}
-    tri = sorted(
-        (max(dist[i, j], dist[i, k], dist[j, k]), 1 << rank[(i, j)] | 1 << rank[(i, k)] | 1 << rank[(j, k)])
-        for i, j, k in combinations(range(n), 3)
-    )
-    low, out = {}, []
-    for death, col in tri:
-        while col and col.bit_length() in low:
-            col ^= low[col.bit_length()]
-        if col:
-            low[col.bit_length()] = col
-            birth = edges[col.bit_length() - 1][0]
-            if death > birth:
-                out.append((birth, death))
-    return np.array(sorted(out)).reshape(-1, 2)
-
-
-@pytest.mark.parametrize("n,ring", [(4, True), (9, False), (20, True), (26, False)])
-def test_h1_matches_boundary_reduction(n, ring):
-    rng = np.random.default_rng(n)
-    angle = rng.uniform(0, 2 * np.pi, n)
-    pts = np.c_[np.cos(angle), np.sin(angle), 0.05 * rng.normal(size=n)] if ring else rng.normal(size=(n, 3))
-    dist = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
-    deaths, h1 = topology.diagrams(pts)
-    assert len(deaths) == n - 1 and h1.shape == brute_h1(dist).shape
-    assert np.allclose(h1, brute_h1(dist))
-
-
-def test_circle_has_one_long_loop():
-    angle = np.linspace(0, 2 * np.pi, 24, endpoint=False)
-    _, h1 = topology.diagrams(np.c_[np.cos(angle), np.sin(angle)])
-    assert (h1[:, 1] - h1[:, 0]).max() > 1.0
-
-
-def test_bottleneck_small_cases():
-    a, b = np.array([[0.0, 1.0], [0.0, 0.2]]), np.array([[0.0, 0.9]])
-    assert abs(topology.bottleneck(a, b) - 0.1) < 1e-12
-    assert topology.bottleneck(np.empty((0, 2)), a) == 0.5
-    assert topology.bottleneck(np.empty((0, 2)), np.empty((0, 2))) == 0.0
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        x, y = rng.random(rng.integers(0, 7)), rng.random(rng.integers(0, 7))
-        z = lambda d: np.c_[np.zeros(len(d)), d]
-        assert abs(topology.bottleneck(z(x), z(y)) - topology.bottleneck_h0(x, y)) < 1e-12
-
-
-def test_subsample_is_bounded_and_stable():
-    pts = np.arange(1500.0).reshape(-1, 1)
-    a = topology.subsample(pts)
-    assert len(a) == 1000 and (np.diff(a[:, 0]) > 0).all() and (a == topology.subsample(pts)).all()
-
-
-def _whole(bars):
-    w = bars.groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("q"))
-    return w.select("instrument", F.lit(0).cast("long").alias("pos"), F.transform("q", lambda v: v["close"]).alias("closes"))
-
-
-def test_shift_is_separated_from_calm(spark):
-    calm = regime.regime_labels(_whole(synthetic_bars(spark, ["A"], n=600, seed=3))).first()
-    shift = regime.regime_labels(_whole(synthetic_bars(spark, ["A"], n=600, seed=3, shift_at=300, shift_mult=6.0))).first()
-    assert (calm.regime_label, shift.regime_label) == ("stable", "shift")
-    assert shift.d_topo > 0.02 and shift.d_topo > 3 * calm.d_topo and 0 < shift.p_shift < 1
+def test_wilder_end_is_a_shift(spark):
+    rows = [(k, [100.0 + (i % 2) * a for i, a in enumerate(steps)]) for k, steps in enumerate(([1.0] * 80 + [5.0] * 20, [5.0] * 80 + [1.0] * 20, [1.0] * 5))]
+    df = spark.createDataFrame(rows, "k int, closes array<double>")
+    assert [r.regime_label for r in regime.volatility_labels(df).orderBy("k").collect()] == ["shift", "stable", "stable"]
 
 
 def test_features(spark):
@@ -99,7 +32,7 @@ def test_windows(spark):
         assert np.allclose(r.closes, close[r.pos - 30 : r.pos]) and r.close == close[r.pos]
     assert [r.is_last for r in rows] == [False] * (len(rows) - 1) + [True]
     with pytest.raises(Exception, match="too short"):
-        regime.regime_labels(regime.decision_windows(bars, warmup=6, step=50)).collect()
+        regime.embedded_windows(regime.decision_windows(bars, warmup=6, step=50)).collect()
 
 
 def test_signal_follows_or_fades(spark):
@@ -110,75 +43,3 @@ def test_signal_follows_or_fades(spark):
     assert (got[1].direction, got[2].direction, got[3].direction) == ("LONG", "SHORT", "LONG")
     assert got[1].stop_loss == 140.75 and got[1].take_profit_1 == 141.62  # one tick of risk; ties to even
     assert got[1].risk_per_contract_usd == 5.0
-
-
-def test_regime_rows(spark):
-    w = regime.decision_windows(synthetic_bars(spark, ["A", "B"], n=130, seed=1), warmup=40, step=40)
-    rows = regime.regime_rows(regime.regime_labels(w), w).collect()
-    assert len({r.id for r in rows}) == len(rows) == 2 * 3
-    assert all(abs(r.posterior["shift"] + r.posterior["stable"] - 1) < 1e-9 and r.features["n_h0"] > 0 for r in rows)
-
-
-@pytest.fixture(scope="module")
-def backtest(spark):
-    bars = synthetic_bars(spark, ["NQ", "GC"], n=400, seed=42, vol=0.002, start_price=100.0, shift_at=200)
-    grid = [replay.ReplayParams("p", warmup=60, step=10), replay.ReplayParams("q", warmup=60, step=20)]
-    return (bars, *replay.run_backtests(bars, grid))
-
-
-def test_replay_invariants(spark, backtest):
-    _, rows, walked = backtest
-    trades = replay.trades_of(rows, walked)
-    fills = replay.executions_of(trades)
-    summary = {r.sleeve_id: r for r in replay.run_summary(walked).collect()}
-    assert set(summary) == {"NQ|p", "NQ|q", "GC|p", "GC|q"}
-    assert summary["NQ|p"].n_decisions == len(range(60, 399, 10)) == summary["NQ|p"].n_executions + summary["NQ|p"].n_vetoed
-    assert trades.count() == rows.count() and fills.count() == sum(r.n_executions for r in summary.values()) > 0
-    assert quality.unfilled_executions(fills, trades).count() == 0
-    day = trades.where("status = 'filled'").groupBy("sleeve_id", F.to_date("ts")).count()
-    assert day.agg(F.max("count")).first()[0] <= 3
-    equity = walked.agg(F.min("drawdown_pct"), F.max("drawdown_pct")).first()
-    assert 0 <= equity[0] <= equity[1] < 1
-    total = walked.groupBy("sleeve_id").agg((50_000 + F.sum("realized_pnl")).alias("e")).collect()
-    for r in total:
-        assert abs(r.e - summary[r.sleeve_id].final_equity) < 0.01
-
-
-def test_replay_matches_a_plain_loop(spark, backtest):
-    """An independent walk over one strategy's collected decisions."""
-    _, rows, walked = backtest
-    dec = rows.where("sleeve_id = 'NQ|p'").orderBy("ts").toPandas()
-    got = walked.where("sleeve_id = 'NQ|p'").orderBy("ts", F.col("kind").desc()).toPandas()
-    eq, peak, pos, day, n, pnl_day = 50_000.0, 0.0, None, None, 0, 0.0
-    for d, g in zip(dec.itertuples(), got[got.kind == "decision"].itertuples()):
-        if d.ts.date() != day:
-            day, n, pnl_day = d.ts.date(), 0, 0.0
-        if pos:
-            pnl = (d.close - pos[0]) * pos[1] * d.point_value * pos[2] - pos[3]
-            eq, pnl_day, pos = eq + pnl, pnl_day + pnl, None
-        peak = max(peak, round(eq, 2))
-        dd = (peak - round(eq, 2)) / peak
-        mult = 0 if dd >= 0.2 else 0.125 if dd >= 0.15 else 0.25 if dd >= 0.1 else 0.5 if dd >= 0.05 else 1
-        size = int(min(2, int(round(eq, 2) * 0.013 / (d.risk_cents / 100) + 1e-9)) * mult)
-        rr = abs(d.take_profit_1 - d.entry_price) / abs(d.entry_price - d.stop_loss)
-        ok = n < 3 and pnl_day / 50_000 * 100 > -5 and rr >= 2 and size > 0
-        assert abs(g.equity - round(eq, 2)) < 0.011 and (g.status == "filled") == ok
-        if ok:
-            cost = d.half_spread * size + d.impact * size**2
-            pos, n = (d.entry_price + d.sign * d.tick_size, d.sign, size, 2 * cost), n + 1
-    assert (got.kind == "close").sum() == (1 if pos else 0)
-
-
-def test_kill_switch_and_veto_stop_all_fills(spark, backtest):
-    bars, rows, _ = backtest
-    off = replay.run_summary(replay.replay(rows, killed=True)).collect()
-    assert all(r.n_executions == 0 and r.final_equity == 50_000 for r in off)
-    block = spark.createDataFrame(
-        [{"id": "b", "ts": None, "rule_type": "instrument_block", "instrument": "NQ", "window": None, "action": "veto",
-          "params": {}, "audit_id": 1, "active": True}], RULES,
-    )
-    dec = replay.decisions(bars, replay.ReplayParams("p", warmup=60, step=20), block)
-    got = {r.sleeve_id: r for r in replay.run_summary(replay.replay(dec)).collect()}
-    assert got["NQ|p"].n_executions == 0 and got["GC|p"].n_decisions > 0
-    none = replay.run_summary(replay.replay(rows, RiskLimits(max_daily_trades=0))).collect()
-    assert all(r.n_executions == 0 for r in none)

@@ -21,11 +21,11 @@ D = Decimal
 SIGNAL = {
     "signal_id": "s", "created_at": NOW, "symbol": "NQ", "direction": "LONG", "setup_type": "SETUP_1",
     "entry_price": D("100"), "stop_loss": D("96"), "take_profit_1": D("110"), "confidence": 0.7,
-    "justification": "long enough text", "target_account": "ZENITHSTONE_LIVE", "suggested_size_contracts": 2,
+    "justification": "long enough text", "target_account": "OWN_LIVE", "suggested_size_contracts": 2,
     "risk_per_contract_usd": D("100"),
 }
 ACCOUNT = {
-    "firm": "ZENITHSTONE_LIVE", "equity_usd": D("50000"), "starting_balance_usd": D("50000"), "daily_pnl_usd": D("0"),
+    "firm": "OWN_LIVE", "equity_usd": D("50000"), "starting_balance_usd": D("50000"), "daily_pnl_usd": D("0"),
     "trades_today": 0, "consecutive_losses": 0, "max_drawdown_threshold_usd": D("2500"), "current_drawdown_usd": D("0"),
     "consistency_pct_today": None,
 }
