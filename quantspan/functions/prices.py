@@ -14,7 +14,7 @@ def risk_reward(entry: Column, stop: Column, target: Column) -> Column:
 
 def daily_pnl_pct(pnl: Column, start: Column) -> Column:
     start, pnl = start.cast("double"), pnl.cast("double")
-    return F.when(start != 0, pnl / start * 100).otherwise(F.lit(0.0))
+    return F.when(start == 0, F.lit(0.0)).otherwise(pnl / start * 100)
 
 
 # From which drawdown a gate level holds, and its size multiplier; below them all is normal.

@@ -453,6 +453,55 @@ v AS (
 SELECT signal_id, verdict, CASE WHEN verdict = 'REJECT' THEN 0 ELSE cut END AS approved_size_contracts,
        verdict = 'APPROVE_PENDING_HUMAN' AS requires_human_confirm,
        11 + CASE WHEN failed = '' THEN coalesce(n_rules, 0) ELSE 0 END AS n_checks FROM v""",
+    "signal_verdicts": f"""WITH {SIGNALS}, {RULES}, {EQUITY},
+snap AS (
+  SELECT account_id, firm, equity_c, pnl_c, trades_today, losses, dd_c, consistency,
+         TIMESTAMP '1993-01-01' + to_days((account_id % 300)::INTEGER) AS snapped FROM acct
+  UNION ALL
+  SELECT account_id, firm, equity_c, CASE WHEN account_id % 7 <> 0 THEN pnl_c END,
+         CASE WHEN account_id % 11 <> 0 THEN (account_id + 1) % 5 END, losses,
+         CASE WHEN account_id % 13 <> 0 THEN dd_c END, consistency,
+         TIMESTAMP '1993-01-01' + to_days((account_id % 300 + 1000)::INTEGER) FROM acct),
+acc AS (
+  SELECT sig.*, firm, equity_c, pnl_c, trades_today, losses, dd_c, consistency,
+         CASE WHEN abs(entry_c - stop_c) > 0
+           THEN (abs(tp_c - entry_c) / 100.0::DOUBLE) / (abs(entry_c - stop_c) / 100.0::DOUBLE) ELSE 0 END AS rr,
+         CASE setup_type WHEN 'SCALP_EMA' THEN 1.5 WHEN 'NEWS_DRIVEN' THEN 2.5 ELSE 2.0 END AS rr_floor,
+         strftime((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%H:%M:%S') AS ny,
+         (sig.account_id % 100)::VARCHAR AS sleeve
+  FROM sig ASOF LEFT JOIN snap ON sig.account_id = snap.account_id AND created_at >= snapped),
+gated AS (
+  SELECT acc.*, gate_level, sizing_mult FROM acc ASOF LEFT JOIN gates ON sleeve = gates.sleeve_id AND created_at >= gates.ts),
+judged AS (
+  SELECT *, list_sort(list_filter([
+    CASE WHEN firm IS NULL OR coalesce(trades_today, 0) >= 3 THEN 'max_daily_trades' END,
+    CASE WHEN firm IS NULL OR losses >= 3 THEN 'max_consecutive_losses' END,
+    CASE WHEN pnl_c IS NULL OR (pnl_c / 100.0::DOUBLE) / 50000.0::DOUBLE * 100 <= -5.0 THEN 'max_daily_loss' END,
+    CASE WHEN firm IS NULL OR coalesce(dd_c, 0) / 100.0::DOUBLE >= 1250.0 THEN 'trailing_dd_buffer' END,
+    CASE WHEN rr < rr_floor THEN 'risk_reward_minimum' END,
+    CASE WHEN k % 29 = 0 OR confidence < 0.55::DOUBLE THEN 'confidence_threshold' END,
+    CASE WHEN firm = 'APEX' AND consistency > 28 THEN 'apex_consistency_30_pct' END,
+    CASE WHEN setup_type = 'SCALP_EMA' AND (firm IS NULL OR firm = 'APEX') THEN 'scalp_only_in_allowed_mode' END,
+    CASE WHEN setup_type = 'SCALP_EMA' AND NOT (ny BETWEEN '08:30:00' AND '11:30:00' OR ny BETWEEN '14:00:00' AND '15:45:00')
+         THEN 'scalp_window' END], lambda x: x IS NOT NULL)) AS failed
+  FROM gated),
+twice AS (SELECT *, CASE WHEN split_part(id, '_', 2)::BIGINT % 20 = 3 THEN 2 ELSE 1 END AS times FROM matches),
+eff AS (
+  SELECT signal_id, count(DISTINCT id) AS n_ids, count_if(action = 'veto') AS n_veto,
+         coalesce(round(product(pow(mult, times)) FILTER (action = 'size_down'), 12), 1) AS m FROM twice GROUP BY 1),
+sized AS (
+  SELECT *, floor(floor(least(size, greatest(0, (equity_c::HUGEINT * CASE WHEN setup_type = 'SCALP_EMA' THEN 7 ELSE 13 END)
+                  // (risk_c::HUGEINT * 1000))) * coalesce(m, 1)) * coalesce(sizing_mult, 1))::BIGINT AS cut
+  FROM judged LEFT JOIN eff USING (signal_id)),
+v AS (
+  SELECT *, CASE WHEN len(failed) > 0 OR coalesce(n_veto, 0) > 0 OR coalesce(cut, 0) = 0 THEN 'REJECT'
+                 WHEN firm = 'APEX' OR cut * risk_c >= 100000 THEN 'APPROVE_PENDING_HUMAN' ELSE 'APPROVE' END AS verdict
+  FROM sized)
+SELECT 'off' AS switch, signal_id, verdict, CASE WHEN verdict = 'REJECT' THEN 0 ELSE cut END AS approved_size_contracts,
+       verdict = 'APPROVE_PENDING_HUMAN' AS requires_human_confirm, array_to_string(failed, ',') AS failed,
+       11 + CASE WHEN len(failed) > 0 THEN 0 ELSE coalesce(n_ids, 0)
+         + CASE WHEN coalesce(n_veto, 0) = 0 AND gate_level IS NOT NULL THEN 1 ELSE 0 END END AS n_checks FROM v
+UNION ALL SELECT 'on', signal_id, 'REJECT', 0, false, 'kill_switch_check', 1 FROM sig""",
     "asof_gates": f"""WITH {TRADES}, {EQUITY}
 SELECT id, t.sleeve_id, strftime(g.ts, '%Y-%m-%d') AS gate_day, gate_level, sizing_mult
 FROM trades t ASOF LEFT JOIN gates g ON t.sleeve_id = g.sleeve_id AND t.ts >= g.ts""",

@@ -545,6 +545,57 @@ def risk_verdicts(spark, folder):
     )
 
 
+def account_snapshots(spark, folder):
+    """Two snapshots of each account, the later one without some of its values."""
+    k, day = c("account_id"), 86_400
+    first = accounts(spark, folder).withColumn("snapshot_at", F.timestamp_seconds(F.lit(725_846_400) + k % 300 * day))
+    later = {
+        "snapshot_at": F.timestamp_seconds(F.lit(725_846_400) + (k % 300 + 1000) * day),
+        "trades_today": F.when(k % 11 != 0, ((k + 1) % 5).cast("int")),
+        "current_drawdown_usd": F.when(k % 13 != 0, c("current_drawdown_usd")),
+        "daily_pnl_usd": F.when(k % 7 != 0, c("daily_pnl_usd")),
+    }
+    return first.unionByName(first.withColumns(later))
+
+
+def main_switch(spark, folder, event_type, command):
+    """State of the main kill switch if each event of this type is such a command."""
+    events = table(spark, folder, "events").where(c("event_type") == event_type)
+    commands = events.select(
+        F.lit(risk.MAIN_SWITCH).alias("switch_id"), c("ts").cast("timestamp").alias("ts"), F.lit(command).alias("command"),
+        c("props").alias("reason"), c("event_id").cast("string").alias("actor"),
+    )
+    return gates.kill_switch_state(commands)
+
+
+@query
+def signal_verdicts(spark, folder):
+    """The whole veto on signals without some values, before any account, under repeated rules: switch off and on."""
+    rows = signals(spark, folder).withColumns(
+        {
+            "confidence": F.when(c("signal_id").cast("long") % 29 != 0, c("confidence")),
+            "sleeve_id": (c("account_id") % 100).cast("string"),
+            "track": F.lit("B"),
+        }
+    )
+    rules_ = injected_rules(spark, folder)
+    rules_ = rules_.union(rules_.where(F.substring("id", 6, 20).cast("long") % 20 == 3))
+    state = materialize(gates.gate_history(equity(spark, folder)), "gates")
+    args = account_snapshots(spark, folder), rules_, state
+    broken = F.filter(F.map_keys(F.map_filter("checks_performed", lambda k, v: ~v)), lambda k: ~k.contains(":"))
+    out = []
+    for switch, kind, command in (("off", "signup", "clear"), ("on", "error", "trigger")):
+        kill = main_switch(spark, folder, kind, command)
+        df = risk.evaluate_signals(rows, *args, kill, RiskLimits(system_mode="C"), seconds=30 * 86_400)
+        out.append(
+            df.select(
+                F.lit(switch).alias("switch"), "signal_id", "verdict", *whole("approved_size_contracts"), "requires_human_confirm",
+                F.array_join(F.array_sort(broken), ",").alias("failed"), F.size("checks_performed").cast("long").alias("n_checks"),
+            )
+        )
+    return out[0].union(out[1])
+
+
 @query
 def rule_matches(spark, folder):
     df = ontology.matching_rules(signals(spark, folder), injected_rules(spark, folder))
