@@ -7,10 +7,10 @@ chance about once in 2**64 pairs). What decides about a window is the smallest `
    the smallest are decided at once; one entry (hash, smallest document) goes on. A window that a third
    of all documents hold therefore leaves a batch once, and no key is hot.
 2. Entries are dealt by hash into parts of bounded size, packed as arrays so that a part is a few rows
-   per batch rather than one row per window. A part finds the smallest document of each hash and tells
-   every other document which of its windows are repeats.
-3. A document gathers its repeated hashes, hashes its windows again, and the repeated ones merge into
-   maximal intervals of words.
+   per batch rather than one row per window. A part finds the smallest document of each hash; every
+   other document has a repeat there.
+3. Repeats are dealt by document into groups of bounded size, packed too, and meet the texts there. A
+   document hashes its windows again, and the repeated ones merge into maximal intervals of words.
 
 Windows are judged on the input. Repeats within one document alone are kept.
 
@@ -25,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspan.llm.text import WORDS, map_batches, parts_for, rolling, spans, text_bytes, text_session
+from quantspan.llm.text import WORDS, parts_for, rolling, spans, text_bytes, text_session
 
 SIZE = 13
 #: Text whose windows one part holds, some 10 bytes per window in shuffle and memory.
 PART_BYTES = 16 << 20
 
 _PACKED = "part int, decided boolean, docs binary, counts binary, hashes binary"
-_REPEATS = "doc_id long, hashes binary"
+_REPEATS = "part int, docs binary, counts binary, hashes binary"
 _RESULT = "doc_id long, n_words long, text string, removed array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -94,48 +95,63 @@ def _windows(docs: DataFrame, size: int, parts: int) -> DataFrame:
     return known.mapInArrow(run, _PACKED)
 
 
-def _compare(group: pa.Table) -> pa.Table:
-    """Repeated hashes by document, of the entries of one part."""
+def _compare(group: pa.Table, parts: int) -> pa.Table:
+    """Repeats among the entries of one part, by the part of their documents."""
     pieces = []
     for decided in (False, True):
         rows = group.filter(pa.compute.equal(group["decided"], decided))
-        read = lambda name, kind, rows=rows: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
-        hashes, docs = read("hashes", np.uint64), np.repeat(read("docs", np.int64), read("counts", np.int32))
+        docs, hashes = _unpack(rows)
         pieces.append((hashes, docs) if decided else _smallest(hashes, docs)[2:])
     hashes, docs = (np.concatenate(x) for x in zip(*pieces, strict=True))
-    ids, counts, own = _by_document(docs, hashes)
-    ends = np.cumsum(counts)
-    data = [own[b - n : b].tobytes() for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "hashes": pa.array(data, pa.binary())})
+    rows = [(part, *arrays) for part, _, *arrays in _deal(hashes, docs, _document_part(docs, parts), parts, True)]
+    schema = pa.schema([f for f in _PACKED_ARROW if f.name != "decided"])
+    return pa.Table.from_batches([_packed(rows, schema)] if rows else [], schema=schema)
+
+
+def _document_part(docs: np.ndarray, parts: int) -> np.ndarray:
+    """What ``pmod(xxhash64(doc_id), parts)`` gives."""
+    ids, place = np.unique(docs, return_inverse=True)
+    hashed = [xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) for i in ids]
+    return (np.array(hashed, np.uint64).view(np.int64) % parts).astype(np.uint64)[place]
+
+
+def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of packed rows, one entry each."""
+    read = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind)
+    return np.repeat(read("docs", np.int64), read("counts", np.int32)), read("hashes", np.uint64)
+
+
+def _cut(rows: pa.Table, repeats: pa.Table, size: int) -> pa.Table:
+    """The result for the documents of one group, by their repeated hashes."""
+    ids, counts_, hashes = _by_document(*_unpack(repeats))
+    ends = dict(zip(ids.tolist(), zip((np.cumsum(counts_) - counts_).tolist(), np.cumsum(counts_).tolist(), strict=True), strict=True))
+    counts, texts, runs = [], [], []
+    for doc, text in zip(rows["doc_id"].to_pylist(), text_bytes(rows["text"].combine_chunks()), strict=True):
+        words = (text or b"").split()
+        covered = np.zeros(len(words), bool)
+        if doc in ends and len(words) >= size:
+            again = np.isin(rolling(WORDS.of(words), size), hashes[slice(*ends[doc])])
+            change = np.zeros(len(words) + 1, np.int64)
+            change[: len(again)] += again
+            change[size : size + len(again)] -= again
+            covered = np.cumsum(change[:-1]) > 0
+            words = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
+        counts.append(len(covered))
+        texts.append(b" ".join(words).decode())
+        runs.append([{"start": a, "end": b} for a, b in spans(covered).tolist()])
+    columns = [rows["doc_id"], pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, _SPANS)]
+    return pa.table(columns, ["doc_id", "n_words", "text", "removed"])
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """Per row: its words, the kept ones joined by one space, and the removed runs of words as [start, end)."""
     text_session(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packed = _windows(rows, size, parts_for(rows, PART_BYTES))
-    repeats = packed.groupBy("part").applyInArrow(_compare, _REPEATS)
-    gathered = repeats.groupBy("doc_id").agg(F.collect_list("hashes").alias("repeated"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, texts, runs = [], [], []
-        for text, repeated in zip(text_bytes(batch.column("text")), batch.column("repeated").to_pylist(), strict=True):
-            words = (text or b"").split()
-            covered = np.zeros(len(words), bool)
-            if repeated:
-                again = np.isin(rolling(WORDS.of(words), size), np.frombuffer(b"".join(repeated), np.uint64))
-                change = np.zeros(len(words) + 1, np.int64)
-                change[: len(again)] += again
-                change[size : size + len(again)] -= again
-                covered = np.cumsum(change[:-1]) > 0
-                words = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
-            counts.append(len(covered))
-            texts.append(b" ".join(words).decode())
-            runs.append([{"start": a, "end": b} for a, b in spans(covered).tolist()])
-        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, _SPANS)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "text", "removed"])
-
-    return map_batches(rows.join(gathered, "doc_id", "left"), cut, _RESULT)
+    parts = parts_for(rows, PART_BYTES)
+    packed = _windows(rows, size, parts)
+    repeats = packed.groupBy("part").applyInArrow(lambda group: _compare(group, parts), _REPEATS)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(lambda texts, found: _cut(texts, found, size), _RESULT)
 
 
 def n_removed(column: str = "removed"):
