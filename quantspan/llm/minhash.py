@@ -244,7 +244,8 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B00
         "firsts",
     )
     keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written before it is joined: only then can the rows of a common key be split among tasks
+    buckets = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = materialize(keyed.join(buckets, "key"), "members")
 
     texts = materialize(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
@@ -256,6 +257,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B00
 
     named = members.where("n > 2").select("key", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
+    named = materialize(named, "named")
     mixed = (
         named.groupBy("key")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("sum"), F.max("n").alias("n"))
@@ -263,7 +265,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B00
         .groupBy("sum", "n")
         .agg(F.min("key").alias("key"))
     )
-    open_members = named.join(mixed.select("key"), "key", "left_semi").dropDuplicates(["key", "doc_id"])
+    open_members = materialize(named.join(mixed.select("key"), "key", "left_semi").dropDuplicates(["key", "doc_id"]), "open")
     second_links = compare_blocks(open_members, texts, near)
     label = grouped.select("node", "component")
     between = second_links

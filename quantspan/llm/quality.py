@@ -10,7 +10,7 @@ The posterior of its pattern labels a document for the scorer, a logistic model
 word shapes, which also judges texts that no labeller votes on. Each task goes over its documents with
 adaptive gradient steps, and the weights are averaged by the number of documents.
 
-Edge cases: null and empty texts have no words; the length labeller calls them bad. A table without rows
+Edge cases: null and empty texts have no words, on which only the length labeller votes, bad. A table without rows
 gives a scorer of 0.5 for all. Documents that repeat count each time. Further columns are kept.
 """
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, language, line_dedup, minhash, quality, substring_dedup, token_output, toxicity
+from quantspan.llm import bpe, decontamination, embedding, language, line_dedup, minhash, quality, substring_dedup, token_output, toxicity
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -217,3 +217,23 @@ def op9_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document: the posterior of its heuristics, and a scorer trained on these."""
     scored = quality.score_quality(table(spark, folder, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "weak_label", c("quality").alias("score"), (c("quality") >= quality.KEEP).cast("int").alias("predicted"))
+
+
+@query
+def op7_embedding_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 and more: how many links each has, and its component."""
+    found = embedding.near_vectors(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (c("vec_id") == c("component_id")).alias("kept"))
+
+
+ORACLE["op7_embedding_graph"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(l.b, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(l.b, v.vec_id)) AS kept
+FROM v LEFT JOIN degree d ON d.a = v.vec_id LEFT JOIN lowest l ON l.a = v.vec_id
+"""
