@@ -82,9 +82,9 @@ def bma_weights(
     )
 
 
-def bma_events(weights: DataFrame, actor: str = "agent:bma") -> DataFrame:
-    """One log event per run holding its weights, sleeves in name order."""
-    pair = F.struct("sleeve_id", "weight")
+def bma_events(weights: DataFrame, actor: str = "agent:signal:bma") -> DataFrame:
+    """One log event per run holding its weights to eight digits, sleeves in name order."""
+    pair = F.struct("sleeve_id", F.round("weight", 8).alias("weight"))
     return weights.groupBy("run_id").agg(F.sort_array(F.collect_list(pair)).alias("w")).select(
         F.lit(actor).alias("actor"),
         F.lit("bma").alias("event_type"),

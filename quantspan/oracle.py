@@ -311,6 +311,19 @@ cards AS (
          CASE WHEN dsr IS NULL OR pbo IS NULL THEN 'PENDING' WHEN dsr > 0 AND pbo < 0.5 THEN 'GO' ELSE 'NO-GO' END AS verdict
   FROM reg FULL JOIN last_bt USING (sleeve_id))"""
 
+WEIGHTS = f"""{RETS},
+s AS (
+  SELECT instrument AS sleeve_id, count(log_ret) AS n_obs, avg(log_ret) AS mu, greatest(var_samp(log_ret), 1e-12) AS v,
+         CASE instrument WHEN 'click' THEN 2 WHEN 'view' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN 4 ELSE 0 END / 8.0::DOUBLE AS prior
+  FROM rets GROUP BY 1),
+p AS (SELECT *, (n_obs * mu / v) / (n_obs / v + 1 / v) AS post_mean, sqrt(1 / (n_obs / v + 1 / v)) AS sd FROM s),
+z AS (SELECT *, post_mean / sd AS post_z, 0.5 * greatest(post_mean / sd, 0) ** 2 AS log_evidence, mu / sqrt(v) AS sharpe FROM p),
+w AS (SELECT *, prior * exp(log_evidence) / sum(prior * exp(log_evidence)) OVER () AS weight FROM z)"""
+
+CSV = """csv AS (
+  SELECT instrument, ts, CASE WHEN hour(ts) % 13 <> 3 THEN open END AS open, high, low, close,
+         volume + CASE WHEN hour(ts) % 5 = 0 THEN 1000 ELSE 0 END AS volume FROM bars)"""
+
 # the same over two tracks, one of which mirrors the other
 TRACK_GATES = (
     EQUITY.replace("AS equity FROM pnl)", """AS equity FROM pnl),
@@ -393,14 +406,12 @@ v AS (
   FROM dsr JOIN p USING (sleeve_id) JOIN pbo USING (sleeve_id) JOIN dd USING (sleeve_id, config_id))
 SELECT sleeve_id, verdict, n_paths, n_combos, candidate_col, n_configs,
        {_r(6, 'sharpe_mean', 'sharpe_std', 'dsr', 'pbo', 'median_logit', 'max_dd_pct', 'calmar')} FROM v""",
-    "bma_posterior": f"""WITH {RETS},
-s AS (
-  SELECT instrument AS sleeve_id, count(log_ret) AS n_obs, avg(log_ret) AS mu, greatest(var_samp(log_ret), 1e-12) AS v,
-         CASE instrument WHEN 'click' THEN 2 WHEN 'view' THEN 1 WHEN 'signup' THEN 1 WHEN 'error' THEN 4 ELSE 0 END / 8.0::DOUBLE AS prior
-  FROM rets GROUP BY 1),
-p AS (SELECT *, (n_obs * mu / v) / (n_obs / v + 1 / v) AS post_mean, sqrt(1 / (n_obs / v + 1 / v)) AS sd FROM s),
-z AS (SELECT *, post_mean / sd AS post_z, 0.5 * greatest(post_mean / sd, 0) ** 2 AS log_evidence, mu / sqrt(v) AS sharpe FROM p),
-w AS (SELECT *, prior * exp(log_evidence) / sum(prior * exp(log_evidence)) OVER () AS weight FROM z)
+    "csv_bars": f"""WITH {BARS}, {{csv}} SELECT instrument, {_TS}, open, high, low, close, volume FROM csv""".replace("{csv}", CSV),
+    "bar_rejects": f"""WITH {BARS} SELECT instrument, {_TS}, 'not_numeric' AS violations FROM bars WHERE hour(ts) % 13 = 3""",
+    "fallback_bars": f"""WITH {BARS}, {{csv}} SELECT instrument, {_TS}, open, high, low, close, volume FROM csv WHERE instrument IN ('click', 'error')
+UNION ALL SELECT instrument, {_TS}, open, high, low, close, volume * 10 FROM bars WHERE instrument NOT IN ('click', 'error')""".replace("{csv}", CSV),
+    "bma_log": f"""WITH {WEIGHTS} SELECT 'agent:signal:bma' AS actor, 'run' AS event_key, sleeve_id, round(weight, 8) AS weight FROM w""",
+    "bma_posterior": f"""WITH {WEIGHTS}
 SELECT sleeve_id, n_obs, {_r(6, 'weight', 'prior', 'log_evidence', 'post_mean', 'post_z', 'sharpe')} FROM w""",
     "cost_calibration": f"""WITH {CAL}
 SELECT instrument, hour_utc, n_samples, {_r(5, 'spread_ticks_mean', 'spread_ticks_p95')},

@@ -8,6 +8,7 @@ the same in SQL. Floats are rounded and timestamps rendered as text at the very
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
 from quantspan.functions.text import query_tokens
-from quantspan.operators import chain, gates, ontology, quality, regime, reports, retrieval, risk, rules
-from quantspan.operators.bars import bar_quality
+from quantspan.operators import bma, chain, gates, ontology, quality, regime, reports, retrieval, risk, rules
+from quantspan.operators.bars import bar_quality, split_valid
 from quantspan.operators.bma import bma_weights
 from quantspan.operators.costs import calibrate, order_cost
 from quantspan.operators.crossval import cpcv_splits, path_sharpes
@@ -26,7 +27,7 @@ from quantspan.operators.sharpe import cell_moments, sharpe_moments
 from quantspan.operators.validation import dsr_table, validate_sleeves
 from quantspan.plans.asof import asof_join
 from quantspan.session import fresh_path, materialize, prepare
-from quantspan.sources.bars import bars_from_events
+from quantspan.sources.bars import bars_from_events, first_source, normalize_bars, read_bars
 from quantspan.sources.logs import append_log, read_log
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes
 from quantspan.sources.tables import insert_absent, latest_per_key, spread, upsert
@@ -365,6 +366,50 @@ def bars_quality(spark, folder):
     return bar_quality(broken)
 
 
+def _bar_files(spark, folder, wanted):
+    """A folder of CSV bars per instrument, as vendors have them: other headers, opens that do not parse
+    (hours 3 and 16), and bars that stand twice (each fifth hour), the later with another volume."""
+    hour = F.hour("ts")
+    rows = bars(spark, folder, staged=False).where(c("instrument").isin(*wanted))
+    again = rows.where(hour % 5 == 0).withColumns({"volume": c("volume") + 1000, "copy": F.lit(1)})
+    rows = rows.withColumn("copy", F.lit(0)).unionByName(again)
+    files = rows.select(
+        "instrument", c("ts").alias("Date"), F.when(hour % 13 == 3, F.lit("n/a")).otherwise(c("open").cast("string")).alias("Open"),
+        c("high").alias("High"), c("low").alias("Low"), c("close").alias("Close"), c("volume").alias("Vol"), "copy",
+    )
+    path, month = fresh_path(spark, "csv"), F.date_trunc("month", "Date")
+    spread_ = files.repartition("instrument", month).sortWithinPartitions("instrument", "Date", "copy").drop("copy")
+    spread_.write.partitionBy("instrument").option("header", True).csv(path)
+    frames = [read_bars(spark, f"{path}/instrument={x}", fmt="csv", instrument=x) for x in wanted]
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+BAR_COLUMNS = ("open", "high", "low", "close", "volume")
+
+
+@query
+def csv_bars(spark, folder):
+    """Bars read back from CSV: aliases, the later of two bars, unreadable prices as NULL."""
+    return _bar_files(spark, folder, INSTRUMENTS).select("instrument", when_text(), *BAR_COLUMNS)
+
+
+@query
+def bar_rejects(spark, folder):
+    """Bars from CSV that a check rejects, with the checks."""
+    _, bad = split_valid(_bar_files(spark, folder, INSTRUMENTS))
+    return bad.select("instrument", when_text(), F.array_join("violations", ",").alias("violations"))
+
+
+@query
+def fallback_bars(spark, folder):
+    """Two instruments from CSV, the others from a Parquet source that has all of them."""
+    path = fresh_path(spark, "bars")
+    bars(spark, folder, staged=False).withColumn("volume", c("volume") * 10).write.parquet(f"{path}/all.parquet")
+    raw = spark.read.parquet(f"{path}/all.parquet")
+    every = normalize_bars(raw, c("instrument"))
+    return first_source([_bar_files(spark, folder, INSTRUMENTS[:2]), every]).select("instrument", when_text(), *BAR_COLUMNS)
+
+
 @query
 def bar_return_series(spark, folder):
     df = bar_returns(bars(spark, folder))
@@ -438,12 +483,24 @@ def sleeve_validation(spark, folder):
     )
 
 
-@query
-def bma_posterior(spark, folder):
+def _posterior(spark, folder):
     returns = bar_returns(bars(spark, folder)).where(c("log_ret").isNotNull()).select(
         c("instrument").alias("sleeve_id"), c("log_ret").alias("ret")
     )
-    df = bma_weights(returns, prior={"click": 2.0, "view": 1.0, "signup": 1.0, "purchase": 0.0, "error": 4.0})
+    return bma_weights(returns, prior={"click": 2.0, "view": 1.0, "signup": 1.0, "purchase": 0.0, "error": 4.0})
+
+
+@query
+def bma_log(spark, folder):
+    """The weights as the log event of their run has them."""
+    events = bma.bma_events(_posterior(spark, folder))
+    weights = F.from_json(F.get_json_object("payload", "$.weights"), "map<string,double>")
+    return events.select("actor", "event_key", F.explode(weights).alias("sleeve_id", "weight"))
+
+
+@query
+def bma_posterior(spark, folder):
+    df = _posterior(spark, folder)
     return df.select(
         "sleeve_id", *whole("n_obs"), *rounded(6, "weight", "prior", "log_evidence", "post_mean", "post_z", "sharpe")
     )
