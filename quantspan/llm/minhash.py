@@ -40,7 +40,7 @@ from quantspan.session import materialize
 c = F.col
 
 #: Members of a block; a task compares two blocks.
-BLOCK = 256
+BLOCK = 1024
 #: How far below the similarity sought (six standard errors and more) a sketch rules a pair out.
 MARGIN = 0.25
 #: Shingles hashed at a time.
@@ -179,6 +179,13 @@ def similar_matrix(left: list[np.ndarray], right: list[np.ndarray], near: Near)
     return near.similar(common, sizes - common)
 
 
+def _distinct(pairs: np.ndarray) -> tuple[list, list]:
+    """The distinct rows whose two values differ, and where each of them stands first."""
+    apart = np.flatnonzero(pairs[:, 0] != pairs[:, 1])
+    values, first = np.unique(pairs[apart], axis=0, return_index=True)
+    return values.tolist(), apart[first].tolist()
+
+
 def _join_blocks(near: Near):
     """Of two blocks, links between members of different components, enough of them to join these."""
 
@@ -199,11 +206,13 @@ def _join_blocks(near: Near):
                     x = parent[x]
                 return x
 
-            for i, j in np.argwhere(similar_matrix(sides[0][2], sides[1][2], near)).tolist():
-                a, b = root(sides[0][1][i]), root(sides[1][1][j])
+            rows, columns = np.nonzero(similar_matrix(sides[0][2], sides[1][2], near))
+            ends = np.column_stack([np.array(sides[0][1])[rows], np.array(sides[1][1])[columns]])
+            for (a, b), k in zip(*_distinct(ends), strict=True):
+                a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-                    found.append((sides[0][0][i], sides[1][0][j]))
+                    found.append((sides[0][0][rows[k]], sides[1][0][columns[k]]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
