@@ -66,7 +66,8 @@ def fingerprints(hashed: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def repeated_windows(prints: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """``doc_id, start``: the windows that stand earlier. ``prints`` is read twice."""
-    often = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    # written before they are joined: only then can a common key be split among tasks
+    often = materialize(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "often")
     start = c("first") + c("k")
     windows = (
         prints.join(often, "fingerprint")
@@ -78,7 +79,7 @@ def repeated_windows(prints: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
         windows.where(c("start") + chosen == c("at")).select("doc_id", "start", F.xxhash64("window").alias("content")), "windows"
     )
     place = F.struct("doc_id", "start")
-    firsts = windows.groupBy("content").agg(F.min(place).alias("earliest"))
+    firsts = materialize(windows.groupBy("content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
     return windows.join(firsts, "content").where(c("earliest") < place).select("doc_id", "start")
 
 
