@@ -248,6 +248,14 @@ links AS (
   SELECT d.chain_id, d.doc_id, d.seq, d.ph, l.chain_hash, sha256(l.chain_hash || d.ph)
   FROM links l JOIN doc d ON d.chain_id = l.chain_id AND d.seq = l.seq + 1)"""
 
+# chains over payloads that hold the hash of a text, and the edits made to their lines
+EDITED = CHAIN.replace(
+    "sha256(text) AS ph", """sha256('{"doc_id":' || doc_id || ',"sha":"' || sha256(text) || '"}') AS ph"""
+) + """,
+edited AS (
+  SELECT *, CASE WHEN doc_id % 131 = 11 THEN 'seq' WHEN doc_id % 113 = 5 THEN 'payload_hash'
+                 WHEN doc_id % 127 = 9 THEN 'prev_hash' END AS bad FROM links)"""
+
 _SRC, _DST = accent_tables()
 _TOKENS = f"regexp_extract_all(translate(lower({{x}}), '{_SRC}', '{_DST}'), '[\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{Co}}}}]+')"
 
@@ -525,6 +533,16 @@ QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY v.ts DESC NULLS LAST
 c AS (SELECT *, CASE WHEN doc_id % 113 = 5 THEN 'payload_hash' WHEN doc_id % 127 = 9 THEN 'prev_hash' END AS bad FROM links)
 SELECT chain_id, count(*) AS n_events, coalesce(min(seq) FILTER (bad IS NOT NULL), -1) AS first_bad, count(bad) = 0 AS ok,
        arg_min(bad, seq) FILTER (bad IS NOT NULL) AS first_failure, arg_max(chain_hash, seq) AS tip FROM c GROUP BY 1""",
+    "log_verify": f"""WITH RECURSIVE {EDITED}
+SELECT chain_id, count(*) AS n_events, coalesce(min(seq) FILTER (bad IS NOT NULL), -1) AS first_bad, count(bad) = 0 AS ok,
+       arg_min(bad, seq) FILTER (bad IS NOT NULL) AS first_failure, arg_max(chain_hash, seq) AS tip FROM edited GROUP BY 1""",
+    "audit_replay": f"""WITH RECURSIVE {EDITED},
+sums AS (
+  SELECT chain_id, count(*) AS n, count(bad) = 0 AS log_ok, arg_max(chain_hash, seq) AS log_tip,
+         arg_max(chain_hash, CASE WHEN bad = 'seq' THEN ('9' || seq)::BIGINT ELSE seq END) AS table_tip,
+         count_if(coalesce(bad IN ('payload_hash', 'prev_hash') OR (bad = 'seq' AND seq < size), false)) = 0 AS table_ok
+  FROM edited JOIN (SELECT chain_id, max(seq) AS size FROM links GROUP BY 1) USING (chain_id) GROUP BY 1)
+SELECT chain_id, n AS log_n, n AS table_n, log_ok, table_ok, log_ok AND table_ok AND log_tip = table_tip AS agree, log_tip FROM sums""",
     "log_round_trip": "SELECT source AS chain_id, count(*) AS n_events, true AS ok FROM documents GROUP BY 1",
     "audit_agreement": """SELECT source AS chain_id, count(*) AS log_n, count(*) AS table_n, true AS log_ok, true AS table_ok, true AS agree
 FROM documents GROUP BY 1""",

@@ -28,7 +28,7 @@ from quantspan.operators.validation import dsr_table, validate_sleeves
 from quantspan.plans.asof import asof_join
 from quantspan.session import fresh_path, materialize, prepare
 from quantspan.sources.bars import bars_from_events, first_source, normalize_bars, read_bars
-from quantspan.sources.logs import append_log, read_log
+from quantspan.sources.logs import append_log, log_lines, read_log, write_lines
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes
 from quantspan.sources.tables import insert_absent, latest_per_key, spread, upsert
 from quantspan.streaming import stateful
@@ -719,6 +719,42 @@ def log_round_trip(spark, folder):
     return chain.verify_log(read_log(spark, root)).select("chain_id", *whole("n_events"), "ok")
 
 
+def _tampered_log(spark, folder):
+    """A log of documents, some of whose lines were edited in the file: a payload, a link, a sequence number."""
+    sha = F.sha2("text", 256)
+    payload = F.concat(F.lit('{"doc_id":'), c("doc_id").cast("string"), F.lit(',"sha":"'), sha, F.lit('"}'))
+    ev = doc_events(spark, folder).select(
+        "chain_id", "doc_id", "ts", F.lit("agent").alias("actor"), F.lit("doc").alias("event_type"), c("lang").alias("event_key"),
+        payload.alias("payload"),
+    )
+    lines = log_lines(chain.append_events(ev, ["doc_id"], "doc_id"))
+    d = F.regexp_extract("line", r'"doc_id":(\d+)', 1).cast("long")
+    edited = (
+        F.when(d % 131 == 11, F.regexp_replace("line", r'"seq":', '"seq":9'))
+        .when(d % 113 == 5, F.regexp_replace("line", r'"sha":"..', '"sha":"zz'))
+        .when(d % 127 == 9, F.regexp_replace("line", r'"prev_hash":"....', '"prev_hash":"ffff'))
+        .otherwise(c("line"))
+    )
+    root = fresh_path(spark, "log")
+    write_lines(lines.withColumn("line", edited), root)
+    return materialize(read_log(spark, root), "log")
+
+
+@query
+def log_verify(spark, folder):
+    """Per chain of an edited log: where and what the first failure is, from hashes of the texts in the file."""
+    df = chain.verify_log(_tampered_log(spark, folder)).fillna({"first_bad": -1})
+    return df.select("chain_id", *whole("n_events", "first_bad"), "ok", "first_failure", "tip")
+
+
+@query
+def audit_replay(spark, folder):
+    """The edited log and the audit table replayed from it, chain by chain."""
+    log = _tampered_log(spark, folder)
+    df = chain.agreement(chain.verify_log(log), chain.verify_table(chain.replay(log)))
+    return df.select("chain_id", *whole("log_n", "table_n"), "log_ok", "table_ok", "agree", "log_tip")
+
+
 @query
 def audit_agreement(spark, folder):
     """The log and the audit table replayed from it agree, chain by chain."""
