@@ -249,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     grams = materialize(gram_counts(words), "grams")
     seen, unseen = gram_ratios(grams)
     model = Model(spark.sparkContext.broadcast((_table(seen, math.nan), _table(unseen, 0.0))))
-    some = labelled(docs, labels, (CALIBRATING,)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    rows = add_features(some, model).select("toxic", *FEATURES).toPandas()
+    some = add_features(labelled(docs, labels, (CALIBRATING,)), model).select("doc_id", "toxic", *FEATURES)
+    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
         model.weights = _logistic(x, y)
