@@ -16,8 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its neighbours and then the label of its label, so
     paths halve; a round is written to the shared folder, and the last one changes nothing.
     """
-    pairs = links.select("a", "b").where("a <> b")
-    both = materialize(pairs.union(pairs.select("b", "a")).distinct(), "links")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(c("b").alias("a"), c("a").alias("b"))))
+    both = materialize(links.where("a <> b").select(ways.alias("way")).select("way.*").distinct(), "links")
     labels = materialize(
         both.groupBy(c("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")),
         "labels",
