@@ -8,9 +8,9 @@ bitmaps differ tell how many samples differ, most precisely where few do.
 2. Representatives that share the key of a band are a bucket. Each is paired with the smallest of its
    bucket, pairs whose sketches differ too much are dropped (far below the similarity sought), and the
    others are compared on their full sets. The links found give components.
-3. A bucket that still spans several components may hide a link between others than the smallest. It is
-   cut into blocks, and each pair of blocks (of different members only once, however many bands they
-   share) is compared exactly within a task, which returns the links that join components.
+3. A bucket that still spans several components may hide a link between others than the smallest. Its
+   members outside its largest component are compared with all of it, block by block and exactly, within
+   tasks that return the links that join components. Buckets of the same members are compared once.
 
 So no bucket meets in one task and no pairs of a group are emitted, yet a link between two components
 is missed only if a pair shares no band: at a similarity of 0.85 that has a probability of 6e-11, at 0.8
@@ -195,10 +195,8 @@ def _join_blocks(near: Near):
             rows = group.filter(pa.compute.equal(group["side"], side))
             texts = [shingles(t, near.shingle) for t in text_bytes(rows["text"].combine_chunks())]
             sides.append((rows["doc_id"].to_pylist(), rows["component"].to_pylist(), texts))
-        if not sides[1][0]:  # a block with itself
-            sides[1] = sides[0]
         found: list[tuple[int, int]] = []
-        if sides[0][0]:
+        if sides[0][0] and sides[1][0]:
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -219,17 +217,24 @@ def _join_blocks(near: Near):
 
 
 def compare_blocks(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Links between the components of each bucket. ``members``: ``key, doc_id, component, n`` (rows of the bucket)."""
-    n_blocks = F.ceil(c("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), n_blocks.cast("long")).cast("int")
-    placed = members.withColumns({"blocks": n_blocks, "block": block})
-    tile = F.explode(
-        F.transform(
-            F.sequence(F.lit(0), c("blocks") - 1),
-            lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"), (c("block") > k).cast("int").alias("side")),
-        )
-    )
-    tiles = placed.select("key", "doc_id", "component", tile.alias("t")).select("key", "doc_id", "component", "t.*")
+    """Links between the components of each bucket. ``members``: ``key, doc_id, component``.
+
+    Those outside a bucket's largest component are compared with all of its members, a block of the
+    former with a block of the latter in a task; members of the largest one are not with each other.
+    """
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"))
+    blocks = sizes.select("key", "main", F.ceil(c("n") / BLOCK).alias("all"), F.ceil((c("n") - c("most")) / BLOCK).alias("rest"))
+    rows = members.join(materialize(blocks, "blocks"), "key")
+
+    def dealt(some: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        """Each row in its block of ``own`` blocks, once for each block of the other side."""
+        block, each = F.pmod(F.xxhash64("doc_id"), c(own)), F.explode(F.sequence(F.lit(0).cast("long"), c(other) - 1))
+        i, j = ("block", "each") if side == 0 else ("each", "block")
+        placed = some.withColumn("block", block).withColumn("each", each)
+        return placed.select("key", "doc_id", "component", c(i).alias("i"), c(j).alias("j"), F.lit(side).alias("side"))
+
+    tiles = dealt(rows, "all", "rest", 0).union(dealt(rows.where("component <> main"), "rest", "all", 1))
     return tiles.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(_join_blocks(near), "a long, b long")
 
 
@@ -273,8 +278,9 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B00
         .where("low < high")
         .groupBy("sum", "n")
         .agg(F.min("key").alias("key"))
+        .select("key")
     )
-    open_members = materialize(named.join(mixed.select("key"), "key", "left_semi").dropDuplicates(["key", "doc_id"]), "open")
+    open_members = materialize(named.join(materialize(mixed, "mixed"), "key", "left_semi").dropDuplicates(["key", "doc_id"]), "open")
     second_links = compare_blocks(open_members, texts, near)
     label = grouped.select("node", "component")
     between = second_links
