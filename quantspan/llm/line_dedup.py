@@ -10,11 +10,15 @@ here, which is nearly all of them. Each other one is extended over the lines aro
 lines that selected it is compared by its content with the first place where that content stands, to
 the left and to the right of the fingerprint, and windows that stand earlier join to maximal runs.
 
-The first place of a window is an aggregate (summed up within tasks before the shuffle) and is joined
+Where ``min_words`` is given, a single line of that many words is a repeat too if the same line stands
+earlier, in a document of any number of lines: a passage written as one paragraph. In scripts without
+spaces each letter counts as a word.
+
+The first place of a window, or of a long line, is an aggregate (summed up within tasks before the shuffle) and is joined
 back, so neither a common line nor a copied document meets in one task, and no pairs are made.
 
 Edge cases: a null text stays null; an empty text is one empty line; blank lines are lines like others;
-documents of fewer than ``min_lines`` lines are left as they are; overlapping repeats (a line many times
+documents of fewer than ``min_lines`` lines lose long lines at most; overlapping repeats (a line many times
 over) keep the first; rows that share a ``doc_id`` are compared as one document whose rows stand one
 above the other, and lose the same lines; rows with a null ``doc_id`` are left as they are.
 """
@@ -28,6 +32,11 @@ from quantspan.llm.text import text_session
 from quantspan.session import materialize
 
 MIN_LINES = 2
+#: Words of a line that is a passage by itself.
+MIN_WORDS = 50
+#: Letters that are counted one by one, since their scripts put no spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
 
 c = F.col
 
@@ -83,21 +92,39 @@ def repeated_windows(prints: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
     return windows.join(firsts, "content").where(c("earliest") < place).select("doc_id", "start")
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def repeated_long_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, start``: the lines of ``min_words`` words and more that stand earlier."""
+    # so many words have as many letters at least: short lines are not searched for words
+    long = lambda x: F.when(F.length(x) >= min_words, F.regexp_count(x, F.lit(WORD))) >= min_words
+    placed = F.transform(lines(c("text")), lambda x, i: F.when(long(x), F.struct(i.alias("start"), F.xxhash64(x).alias("content"))))
+    found = (
+        docs.where("doc_id is not null and text is not null")
+        .select(c("doc_id").cast("long").alias("doc_id"), F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("line"))
+        .select("doc_id", "line.*")
+    )
+    found, place = materialize(found, "long-lines"), F.struct("doc_id", "start")
+    earliest = found.groupBy("content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return found.join(materialize(earliest, "firsts"), "content").where(c("earliest") < place).select("doc_id", "start")
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``doc_id, repeated``: the places (from 0) of the lines to delete, where there are any."""
     text_session(docs.sparkSession)
     prints = materialize(fingerprints(line_hashes(docs), min_lines), "fingerprints")
-    found = repeated_windows(prints, min_lines).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (min_lines - 1))))
+    runs = repeated_windows(prints, min_lines).withColumn("end", c("start") + (min_lines - 1))
+    if min_words is not None:
+        runs = runs.unionByName(repeated_long_lines(docs, min_words).withColumn("end", c("start")))
+    found = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    covered = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["end"])))
     return found.select("doc_id", F.array_distinct(covered).alias("repeated"))
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``docs`` with the columns ``kept`` (the text without later repeats), ``n_lines`` and ``n_removed``."""
     taken = {"kept", "n_lines", "n_removed"} & set(docs.columns)
     if taken:
         raise ValueError(f"there are columns named {sorted(taken)} already")
-    found = repeated_lines(docs, min_lines).withColumnsRenamed({"doc_id": "_of", "repeated": "_repeated"})
+    found = repeated_lines(docs, min_lines, min_words).withColumnsRenamed({"doc_id": "_of", "repeated": "_repeated"})
     rows = docs.join(found, docs["doc_id"].cast("long") == c("_of"), "left")
     own = lines(c("text"))
     left = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), c("_repeated"))
@@ -107,8 +134,9 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFr
     return rows.select(*[docs[x] for x in docs.columns], kept.alias("kept"), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """``docs`` with later repeats deleted from ``text``; documents that lose every line go."""
-    rows = remove_repeated_lines(docs.withColumnsRenamed({x: f"_{k}_{x}" for k, x in enumerate(docs.columns) if x not in ("doc_id", "text")}), min_lines)
+    renamed = docs.withColumnsRenamed({x: f"_{k}_{x}" for k, x in enumerate(docs.columns) if x not in ("doc_id", "text")})
+    rows = remove_repeated_lines(renamed, min_lines, min_words)
     rows = rows.where("n_lines = 0 or n_removed < n_lines").withColumn("text", c("kept")).drop("kept", "n_lines", "n_removed")
     return rows.toDF(*docs.columns)

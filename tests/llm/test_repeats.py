@@ -46,6 +46,38 @@ def test_line_edges(docs, odd):
     assert line_dedup.drop_repeated_lines(docs([])).count() == 0
 
 
+def test_long_lines(docs):
+    """A passage of one line is a repeat wherever it stands, a line of fewer words only within a run."""
+    passage, short, han = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49)), "漢字" * 25
+    rows = [(1, f"a\n{passage}\nb"), (2, passage), (3, f"c\n{passage}\nd\n{passage}"), (4, short), (5, short), (6, han), (7, f"e\n{han}")]
+    out = line_dedup.remove_repeated_lines(docs(rows), min_words=line_dedup.MIN_WORDS)
+    got = {r["doc_id"]: (r["kept"], r["n_removed"]) for r in out.collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 1), 3: ("c\nd", 2), 4: (short, 0), 5: (short, 0), 6: (han, 0), 7: ("e", 1)}
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_long_lines_and_runs(docs, k):
+    r = random.Random(k)
+    pool = [" ".join(r.choice("ab") for _ in range(r.randint(1, 6))) for _ in range(40)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 4)))) for i in range(80)]
+    first, want = {}, {}
+    for i, t in rows:
+        for p, x in enumerate(t.split("\n")):
+            first.setdefault(x, (i, p))
+    runs = _brute_lines(rows, k)
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.remove_repeated_lines(docs(rows), k, 4).collect()}
+    for i, t in rows:
+        own, places = t.split("\n"), {}
+        for j, u in rows[: i + 1]:
+            for p in range(len(u.split("\n")) - k + 1):
+                places.setdefault(tuple(u.split("\n")[p : p + k]), (j, p))
+        gone = {p + q for p in range(len(own) - k + 1) if places[tuple(own[p : p + k])] < (i, p) for q in range(k)}
+        assert len(gone) == runs[i][2]
+        want[i] = len(gone | {p for p, x in enumerate(own) if len(x.split()) >= 4 and first[x] < (i, p)})
+    assert got == want and sum(want.values()) > sum(x[2] for x in runs.values())
+
+
 def test_lines_are_native(docs, odd):
     plan = line_dedup.remove_repeated_lines(docs(odd))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
