@@ -13,8 +13,12 @@ since a few words among many make a long document toxic; a logistic calibration
 
 Counts cover every training document: those with a label whose ``crc32`` of the id modulo 4 is 0 or 1.
 Those with remainder 3 calibrate (at most ``CALIBRATION_ROWS``, taken by the hash of their id); those
-with remainder 2 are never looked at. Ratios of grams and contexts are kept in tables of ``BUCKETS``
-hash buckets, which bounds what is broadcast; ratios that share a bucket are averaged by their counts.
+with remainder 2 are never looked at.
+
+Ratios stay in a table by context, of any size. The distinct words of the documents are spelled out and
+joined with it letter by letter, which gives each word its exact ratio. Contexts and words of which each
+is a ``HOT_CONTEXTS``th or ``HOT_SHARE``th of all are broadcast and looked up; all others are joined. A text's
+features belong to its hash, so that rows meet them again without their text being grouped.
 
 Edge cases: a null or empty text, or one without letters, has ratios of 0; labels other than 0 and 1
 and null labels count as none; a document that repeats, or has several labels, counts for each of
@@ -24,20 +28,20 @@ them; with no labelled document of one class every score is the share of toxic o
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quantspan.llm.text import CACHE_WORDS, LETTERS, crc_bucket, text_session
+from quantspan.llm.text import LETTERS, crc_bucket, text_session
 from quantspan.session import materialize
 
 ORDER = 8
@@ -45,8 +49,14 @@ ORDER = 8
 DISCOUNT, SHARED_DISCOUNT = 0.9, 0.75
 #: A word whose ratio exceeds this speaks for a class by itself.
 CLEAR = 2.0
-#: Hash buckets of each of the two tables of ratios (a power of two).
-BUCKETS = 1 << 21
+#: Words that make up one in so many of all words are broadcast, at most so many words therefore.
+HOT_SHARE = 1_000_000
+#: As ``HOT_SHARE``, of contexts among those of all counted letters.
+HOT_CONTEXTS = 100_000
+#: A longer word goes by its SHA-256.
+KEY_LETTERS = 64
+#: Rows of spelled words that are handed on at a time.
+SPELLED_ROWS = 50_000
 CALIBRATION_ROWS = 20_000
 #: Share of folds; the remainder of the crc32 of the id says what a document is for.
 FOLDS, COUNTED, CALIBRATING, HELD_OUT = 4, (0, 1), 3, 2
@@ -56,8 +66,6 @@ FLUSH_WORDS = 300_000
 
 c = F.col
 
-Ratios = tuple[np.ndarray, np.ndarray]
-
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
     """``text, toxic`` of the labelled documents of these folds."""
@@ -132,8 +140,8 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return out.select(c("gram").alias("suffix"), "p")
 
 
-def gram_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log-likelihood ratios behind contexts that both classes have seen: of grams, and of letters new there."""
+def context_ratios(grams: DataFrame) -> DataFrame:
+    """``context, seen, unseen, n``: log-likelihood ratios behind contexts that both classes have seen, of letters and of letters new there."""
     contexts = grams.groupBy(_context().alias("context")).agg(
         *[F.sum(k).alias(f"{k}_total") for k in ("toxic", "ordinary")],
         *[F.count_if(c(k) > 0).alias(f"{k}_kinds") for k in ("toxic", "ordinary")],
@@ -147,84 +155,182 @@ def gram_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     def probability(k: str):
         return F.greatest(c(k) - DISCOUNT, F.lit(0.0)) / c(f"{k}_total") + c(f"{k}_left") * c("p")
 
-    weight = c("toxic") + c("ordinary")
-    seen = full.select("gram", F.ln(probability("toxic") / probability("ordinary")).alias("ratio"), weight.alias("weight"))
-    weight = c("toxic_total") + c("ordinary_total")
-    unseen = contexts.select(c("context").alias("gram"), F.ln(c("toxic_left") / c("ordinary_left")).alias("ratio"), weight.alias("weight"))
-    return seen, unseen
+    letter = F.struct(F.substring("gram", -1, 1), F.ln(probability("toxic") / probability("ordinary")))
+    # as many letters as there are kinds of them behind a context
+    return full.groupBy("context").agg(
+        F.map_from_entries(F.collect_list(letter)).alias("seen"), F.first(F.ln(c("toxic_left") / c("ordinary_left"))).alias("unseen"), F.first(c("toxic_total") + c("ordinary_total")).alias("n")
+    )
+
+
+def vocabulary(df: DataFrame) -> DataFrame:
+    """``word, n``: how often each word occurs in the texts. Tasks sum up before the shuffle."""
 
+    def counted(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-def _bucket(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram.encode(), 42) & (BUCKETS - 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                counts.update(LETTERS.findall((text or "").lower()))
+            if len(counts) > FLUSH_WORDS:
+                yield counted(counts)
+                counts = Counter()
+        yield counted(counts)
 
+    return df.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def _table(ratios: DataFrame, absent: float) -> np.ndarray:
-    """Ratios by hash bucket: at most ``BUCKETS`` rows come to the driver."""
-    bucket = F.xxhash64("gram").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    rows = ratios.groupBy(bucket.alias("bucket")).agg((F.sum(c("ratio") * c("weight")) / F.sum("weight")).cast("float").alias("ratio"))
-    got = rows.toArrow()
-    out = np.full(BUCKETS, absent, np.float32)
-    out[got["bucket"].to_numpy()] = got["ratio"].to_numpy()
-    return out
 
+def _key(word: str) -> str:
+    return word if len(word) <= KEY_LETTERS else "#" + hashlib.sha256(word.encode()).hexdigest()
 
-class _WordRatios(dict):
-    """From a word to its ratio, remembered."""
 
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray):
-        super().__init__()
-        self.seen, self.unseen = seen, unseen
+def _broadcast_contexts(contexts: DataFrame):
+    """The frequent contexts: to the ratios of letters seen there, under "" that of new ones."""
+    total = contexts.agg(F.sum("n")).first()[0] or 0
+    most = contexts.where(c("n") * HOT_CONTEXTS >= total).select("context", "seen", "unseen").toArrow()
+    columns = [most[x].to_pylist() for x in most.column_names]
+    return contexts.sparkSession.sparkContext.broadcast({x: {**dict(seen), "": unseen} for x, seen, unseen in zip(*columns, strict=True)})
 
-    def __missing__(self, word: str) -> float:
-        marked, total = f"^{word}$", 0.0
-        for i in range(2, len(marked) + 1):
-            gram = marked[max(0, i - ORDER) : i]
-            ratio = self.seen[_bucket(gram)]
-            total += float(self.unseen[_bucket(gram[:-1])] if math.isnan(ratio) else ratio)
-        self[word] = total
-        return total
 
+def _grams(word: str) -> Iterator[str]:
+    marked = f"^{word}$"
+    return (marked[max(0, i - ORDER) : i] for i in range(2, len(marked) + 1))
 
-_loaded: dict[int, _WordRatios] = {}
 
+def spelled(words: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
+    """``id, word, n, base``, whose base is the ratio of the letters behind frequent contexts, and ``id, gram`` of the others."""
 
-def _word_ratios(tables: Broadcast) -> _WordRatios:
-    key = id(tables.value)
-    if key not in _loaded or len(_loaded[key]) > CACHE_WORDS:
-        _loaded.clear()
-        _loaded[key] = _WordRatios(*tables.value)
-    return _loaded[key]
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
+        for batch in batches:
+            base = []
+            for word in batch.column("word").to_pylist():
+                total = 0.0
+                for gram in _grams(word):
+                    if own := known.get(gram[:-1]):
+                        total += own.get(gram[-1], own[""])
+                base.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, pa.float64())], ["word", "n", "base"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
+        ids: list[int] = []
+        grams: list[str] = []
+        for batch in batches:
+            for i, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
+                for gram in _grams(word):
+                    if gram[:-1] not in known:
+                        ids.append(i)
+                        grams.append(gram)
+                        if len(ids) >= SPELLED_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
+                            ids, grams = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.string())], ["id", "gram"])
+
+    # written, so that the ids stay
+    own = words.select("word", "n").mapInArrow(bases, "word string, n long, base double").withColumn("id", F.monotonically_increasing_id())
+    own = materialize(own, "words")
+    return own, own.select("id", "word").mapInArrow(others, "id long, gram string")
+
+
+def word_ratios(words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``key, n, ratio`` of each word: the sum over its letters of what their contexts say, where they are known."""
+    own, rest = spelled(words, _broadcast_contexts(contexts))
+    # a context and its letter are one string until they have met: these are the most rows of all
+    rest = rest.join(contexts.withColumnRenamed("context", "_context").drop("n"), _context() == c("_context"))
+    letter = F.substring("gram", -1, 1)
+    ratios = rest.groupBy("id").agg(F.sum(F.coalesce(F.try_element_at("seen", letter), c("unseen"))).alias("rest"))
+    digest = F.concat(F.lit("#"), F.sha2("word", 256))
+    key = F.when(F.length("word") <= KEY_LETTERS, c("word")).otherwise(digest)
+    return own.join(ratios, "id", "left").select(key.alias("key"), "n", (c("base") + F.coalesce("rest", F.lit(0.0))).alias("ratio"))
 
 
 #: Means of the ratios, of what exceeds ``CLEAR`` and of the positive ones; the largest; log of the sum of excesses.
 FEATURES = ("ratio_mean", "ratio_clear", "ratio_positive", "ratio_top", "ratio_sum")
 
+#: What stands for a text: 96 bits of hashes.
+TEXT_KEYS = {"_text_hash": F.xxhash64, "_text_check": F.hash}
+
 
 @dataclass
 class Model:
-    tables: Broadcast
+    #: As of ``context_ratios``.
+    contexts: DataFrame
+    #: The documents the model was made from, and the features of their texts.
+    docs: DataFrame
+    known: DataFrame
     #: Of 1 and the features.
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + len(FEATURES)))
     #: The score of every document where one class has no labelled document.
     constant: float | None = None
 
 
-def _features(texts: list[str | None], ratios: _WordRatios) -> np.ndarray:
-    out = np.zeros((len(texts), len(FEATURES)))
-    for k, text in enumerate(texts):
-        words = LETTERS.findall(text.lower()) if text else []
-        if words:
-            own = np.fromiter(map(ratios.__getitem__, words), float, len(words))
-            clear = np.maximum(own - CLEAR, 0)
-            out[k] = own.mean(), clear.mean(), np.maximum(own, 0).mean(), own.max(), math.log1p(clear.sum())
-    return out
+def _text_keys(df: DataFrame) -> DataFrame:
+    return df.withColumns({k: f(c("text").cast("string")) for k, f in TEXT_KEYS.items()})
 
 
-def _scores(features: np.ndarray, model: Model) -> np.ndarray:
-    if model.constant is not None:
-        return np.full(len(features), model.constant)
-    z = model.weights[0] + features @ model.weights[1:]
-    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+def _looked_up(rows: DataFrame, hot) -> DataFrame:
+    """For each text with words: sums over the hot ones, and the others with their counts."""
+    sums = ["n", "total", "clear", "positive", "top"]
+    schema = "_text_hash long, _text_check int, n long, total double, clear double, positive double, top double, rare array<string>, times array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = hot.value.get
+        for batch in batches:
+            at, out, rare, times = [], {x: [] for x in sums}, [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                words = LETTERS.findall(text.lower()) if text else []
+                if not words:
+                    continue
+                own = np.array(list(map(get, words)), float)
+                others = Counter(_key(words[i]) for i in np.flatnonzero(np.isnan(own)).tolist())
+                own = own[~np.isnan(own)]
+                long = {x: m for x, m in others.items() if x[0] == "#" and x in hot.value}
+                if long:
+                    own = np.concatenate([own, np.repeat([get(x) for x in long], list(long.values()))])
+                    others = {x: m for x, m in others.items() if x not in long}
+                at.append(k)
+                values = len(words), own.sum(), np.maximum(own - CLEAR, 0).sum(), np.maximum(own, 0).sum(), own.max() if len(own) else None
+                for x, v in zip(sums, values, strict=True):
+                    out[x].append(v)
+                rare.append(list(others))
+                times.append(list(others.values()))
+            keys = [batch.column(x).take(pa.array(at, pa.int64())) for x in TEXT_KEYS]
+            columns = [pa.array(out[x], pa.int64() if x == "n" else pa.float64()) for x in sums]
+            lists = [pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*keys, *columns, *lists], [*TEXT_KEYS, *sums, "rare", "times"])
+
+    return _text_keys(rows.select(c("text").cast("string").alias("text"))).mapInArrow(run, schema)
+
+
+def text_features(df: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``FEATURES`` by ``TEXT_KEYS`` of the texts that have words."""
+    spark = text_session(df.sparkSession)
+    ratios = materialize(word_ratios(vocabulary(df), contexts), "word-ratios")
+    n_words = ratios.agg(F.sum("n")).first()[0] or 0
+    is_hot = c("n") * HOT_SHARE >= n_words
+    most = ratios.where(is_hot).select("key", "ratio").toArrow()
+    hot = spark.sparkContext.broadcast(dict(zip(most["key"].to_pylist(), most["ratio"].to_pylist(), strict=True)))
+    found = materialize(_looked_up(df, hot), "looked-up")
+    each = found.select(*TEXT_KEYS, F.explode(F.arrays_zip("rare", "times")).alias("w")).select(*TEXT_KEYS, c("w.rare").alias("key"), c("w.times").alias("m"))
+    each = each.join(ratios.where(~is_hot).select("key", "ratio"), "key")
+    nothing = F.lit(0).cast("long")
+    rest = each.select(
+        *TEXT_KEYS,
+        nothing.alias("copies"),
+        nothing.alias("n"),
+        (c("m") * c("ratio")).alias("total"),
+        (c("m") * F.greatest(c("ratio") - CLEAR, F.lit(0.0))).alias("clear"),
+        (c("m") * F.greatest(c("ratio"), F.lit(0.0))).alias("positive"),
+        c("ratio").alias("top"),
+    )
+    own = found.select(*TEXT_KEYS, F.lit(1).cast("long").alias("copies"), "n", "total", "clear", "positive", "top")
+    # a text that repeats has all its sums as many times
+    whole = own.unionByName(rest).groupBy(*TEXT_KEYS).agg(*[F.sum(x).alias(x) for x in own.columns[2:-1]], F.max("top").alias("top"))
+    means = [c("total") / c("n"), c("clear") / c("n"), c("positive") / c("n"), c("top"), F.log1p(c("clear") / c("copies"))]
+    # written before it is joined: only then can a common text be split among tasks
+    return materialize(whole.select(*TEXT_KEYS, *[m.alias(x) for m, x in zip(means, FEATURES, strict=True)]), "features")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -244,12 +350,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Count, take ratios, calibrate."""
-    spark = text_session(docs.sparkSession)
+    text_session(docs.sparkSession)
     words = word_counts(labelled(docs, labels, COUNTED))
     grams = materialize(gram_counts(words), "grams")
-    seen, unseen = gram_ratios(grams)
-    model = Model(spark.sparkContext.broadcast((_table(seen, math.nan), _table(unseen, 0.0))))
-    some = add_features(labelled(docs, labels, (CALIBRATING,)), model).select("doc_id", "toxic", *FEATURES)
+    contexts = materialize(context_ratios(grams), "contexts")
+    model = Model(contexts, docs, text_features(docs, contexts))
+    some = add_features(labelled(docs, labels, (CALIBRATING,)), model, model.known).select("doc_id", "toxic", *FEATURES)
     rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
@@ -259,33 +365,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def _with(df: DataFrame, added: str, columns) -> DataFrame:
-    fields = T.StructType.fromDDL(added).fields
-    if {f.name for f in fields} & set(df.columns):
-        raise ValueError(f"there are columns named as in {added} already")
-    schema = T.StructType([*df.schema.fields, *fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns(batch.column("text").to_pylist())], schema.names)
-
-    return df.mapInArrow(run, schema)
+def add_features(df: DataFrame, model: Model, known: DataFrame | None = None) -> DataFrame:
+    """``df`` with the columns ``FEATURES``; ``known`` has those of its texts, if it is given."""
+    if taken := {*FEATURES, *TEXT_KEYS} & set(df.columns):
+        raise ValueError(f"there are columns named {sorted(taken)} already")
+    if known is None:
+        known = model.known if df is model.docs else text_features(df, model.contexts)
+    rows = _text_keys(df).join(known, list(TEXT_KEYS), "left")
+    return rows.select(*df.columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in FEATURES])
 
 
-def add_features(df: DataFrame, model: Model) -> DataFrame:
-    """``df`` with the columns ``FEATURES``."""
-    tables = model.tables
-    return _with(df, ", ".join(f"{x} double" for x in FEATURES), lambda texts: [pa.array(x) for x in _features(texts, _word_ratios(tables)).T])
+def score(model: Model) -> Column:
+    """From 0 to 1, of the columns ``FEATURES``."""
+    if model.constant is not None:
+        return F.lit(model.constant)
+    z = F.lit(float(model.weights[0]))
+    for x, w in zip(FEATURES, model.weights[1:], strict=True):
+        z = z + c(x) * float(w)
+    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
 
 
 def add_scores(df: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     """``df`` with a column ``name``: from 0 to 1, higher the likelier toxic."""
-    tables, weights, constant = model.tables, model.weights, model.constant
-
-    def score(texts: list[str | None]) -> list[pa.Array]:
-        return [pa.array(_scores(_features(texts, _word_ratios(tables)), Model(tables, weights, constant)))]
-
-    return _with(df, f"{name} double", score)
+    if name in df.columns:
+        raise ValueError(f"there is a column named {name} already")
+    if model.constant is not None:
+        return df.withColumn(name, score(model))
+    return add_features(df, model).withColumn(name, score(model)).drop(*FEATURES)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

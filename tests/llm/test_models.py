@@ -1,5 +1,6 @@
 """Scores: toxicity, language and quality, by what they find in texts held out."""
 
+import math
 import random
 
 import pytest
@@ -65,6 +66,71 @@ def test_labels_are_no_input(spark, docs, made):
     assert scores[0] == scores[1]
 
 
+def _exact_ratios(rows):
+    """Ratio of a word by the labelled (text, toxic) rows, as the textbook has it: every gram under its own name."""
+    counts, order = {}, toxicity.ORDER
+    for text, toxic in rows:
+        for word in text.split():
+            marked = f"^{word}$"
+            for i in range(2, len(marked) + 1):
+                counts.setdefault(marked[max(0, i - order) : i], [0, 0])[toxic] += 1
+    levels, longer = {}, []
+    for n in range(order - 1, 0, -1):
+        longer = [g for g in counts if len(g) == n + 1] + longer
+        levels[n] = {}
+        for g in longer:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+        longer = list(levels[n])
+    p = {}
+    for n in range(1, order):
+        own = {}
+        for g, k in levels[n].items():
+            own.setdefault(g[:-1], []).append(k)
+        for g, k in levels[n].items():
+            total, kinds = sum(own[g[:-1]]), len(own[g[:-1]])
+            below = 1 / kinds if n == 1 else p[g[1:]]
+            p[g] = (k - toxicity.SHARED_DISCOUNT) / total + toxicity.SHARED_DISCOUNT * kinds / total * below
+    behind = {}
+    for g, both in counts.items():
+        behind.setdefault(g[:-1], []).append(both)
+
+    def ratio(word):
+        marked, out = f"^{word}$", 0.0
+        for i in range(2, len(marked) + 1):
+            g = marked[max(0, i - order) : i]
+            totals = [sum(x[k] for x in behind.get(g[:-1], [])) for k in (0, 1)]
+            if all(totals):
+                left = [toxicity.DISCOUNT * sum(x[k] > 0 for x in behind[g[:-1]]) / totals[k] for k in (0, 1)]
+                if g in counts:
+                    left = [max(counts[g][k] - toxicity.DISCOUNT, 0) / totals[k] + left[k] * p[g[1:]] for k in (0, 1)]
+                out += math.log(left[1] / left[0])
+        return out
+
+    return ratio
+
+
+@pytest.mark.parametrize("share", [50, 1])
+def test_ratios_are_those_of_their_own_grams(spark, docs, monkeypatch, share):
+    """However many grams there are, and whether words are broadcast or joined."""
+    monkeypatch.setattr(toxicity, "HOT_SHARE", share)
+    monkeypatch.setattr(toxicity, "HOT_CONTEXTS", share)
+    r = random.Random(7)
+    common = ["river", "stone", "x" * 90]
+    rows = [(i, " ".join([*("".join(r.choices("abcdefghijklmnopqrst", k=r.randint(1, 12))) for _ in range(r.randint(1, 40))), *r.choices(common, k=9)])) for i in range(300)]
+    rows += [(300, rows[5][1]), (301, rows[5][1]), (5, "another text of this id"), (302, "1 2"), (303, None), (None, "no id é漢")]
+    df = docs(rows)
+    fold = {x["doc_id"]: x["f"] for x in df.select("doc_id", toxicity.crc_bucket(toxicity.c("doc_id"), toxicity.FOLDS).alias("f")).collect()}
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)]
+    ratio = _exact_ratios([(t, int(i % 3 == 0)) for i, t in rows if i is not None and i < 300 and fold[i] in toxicity.COUNTED])
+    got = toxicity.add_features(df, toxicity.fit(df, _labels(spark, labels))).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        own = [ratio(w) for w in toxicity.LETTERS.findall((x["text"] or "").lower())] or [0.0]
+        clear = [max(v - toxicity.CLEAR, 0) for v in own]
+        want = sum(own) / len(own), sum(clear) / len(own), sum(max(v, 0) for v in own) / len(own), max(own), math.log1p(sum(clear))
+        assert [x[f] for f in toxicity.FEATURES] == pytest.approx(want, abs=1e-9)
+
+
 def test_language(spark, odd):
     r = random.Random(4)
     parts = {"xx": ["the", "an", "ing", "er"], "yy": ["der", "sch", "ung", "ei"], "zz": ["да", "не", "что", "ко"]}
