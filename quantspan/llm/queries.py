@@ -16,7 +16,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import bpe, decontamination, embedding, language, line_dedup, minhash, quality, substring_dedup, token_output, toxicity
+from quantspan.llm import (
+    alignment,
+    bpe,
+    decontamination,
+    embedding,
+    language,
+    line_dedup,
+    minhash,
+    phrases,
+    quality,
+    substring_dedup,
+    token_output,
+    toxicity,
+    variants,
+)
 from quantspan.llm.text import crc_bucket, map_batches, table
 from quantspan.session import fresh_path
 
@@ -237,3 +251,34 @@ SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(l.b, v.ve
   v.vec_id = least(v.vec_id, coalesce(l.b, v.vec_id)) AS kept
 FROM v LEFT JOIN degree d ON d.a = v.vec_id LEFT JOIN lowest l ON l.a = v.vec_id
 """
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+@query
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in each text, and how often its pairs of tokens meet in all texts."""
+    found = alignment.align_corpus(table(spark, folder, "documents"), digest=_sha256).documents
+    counts = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return found.select("doc_id", *counts, c("groups").alias("groups_sha256"))
+
+
+@query
+def op12_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of each text and of an edited form, and how like the edited text and the next one are."""
+    found = phrases.compare_in_order(table(spark, folder, "documents"))
+    digests = [F.lower(F.hex(x)).alias(x) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", *digests, "near_edited", "near_next")
+
+
+#: Of so many occurrences of words about one loses a letter, so that there are misspelled words to find.
+MISSPELLED_ONE_IN = 31
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, how many others are one edit apart, and the frequent word that each is a variant of."""
+    words = variants.count_words(table(spark, folder, "documents"), one_in=MISSPELLED_ONE_IN)
+    return variants.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
