@@ -36,7 +36,7 @@ MIN_LINES = 2
 MIN_WORDS = 50
 #: Letters that are counted one by one, since their scripts put no spaces between words.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[{UNSPACED}]|[^\s{UNSPACED}]+"
+WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 
 c = F.col
 

@@ -4,7 +4,7 @@ A document's set holds the hashes of its distinct word shingles. Its MinHash sam
 ``bands`` bands and an odd sketch: each sample flips one bit of a bitmap, so the bits in which two
 bitmaps differ tell how many samples differ, most precisely where few do.
 
-1. Documents with equal sets are one class, represented by the smallest id; copies end here.
+1. Documents with equal sets are one class, represented by a text of the smallest id; copies end here.
 2. Representatives that share the key of a band are a bucket. Each is paired with the smallest of its
    bucket, pairs whose sketches differ too much are dropped (far below the similarity sought), and the
    others are compared on their full sets. The links found give components.
@@ -17,8 +17,9 @@ is missed only if a pair shares no band: at a similarity of 0.85 that has a prob
 of 5e-8, with 32 bands of 4.
 
 Edge cases: null and empty texts and texts without words have an empty set and are linked with nothing; a
-text of fewer words than a shingle is one shingle; rows that share a ``doc_id`` are one document, which
-has the links of each of them; rows with a null ``doc_id`` are linked with nothing and kept; tables
+text of fewer words than a shingle is one shingle; rows that share a ``doc_id`` are one document in
+``near_groups``, which has the links of each of them, but ``keep_one`` judges each of these rows by its own text, so that no
+text goes without one like it that stays; rows with a null ``doc_id`` are linked with nothing and kept; tables
 without rows give none. Further columns are neither read nor changed.
 """
 
@@ -119,7 +120,7 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
-    """``doc_id, n_shingles, digest, keys, sketch``; the last three null for an empty set."""
+    """``doc_id, text_key, n_shingles, digest, keys, sketch``; the last three null for an empty set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, near.shingle) for t in text_bytes(batch.column("text"))]
@@ -132,9 +133,10 @@ def signatures(docs: DataFrame, near: Near) -> DataFrame:
                 digests[k], keys[k], sketches[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), own, sketch
         longs = pa.list_(pa.int64())
         columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
+        own = [batch.column("doc_id"), batch.column("text_key")]
+        return pa.RecordBatch.from_arrays([*own, *columns], ["doc_id", "text_key", "n_shingles", "digest", "keys", "sketch"])
 
-    schema = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
+    schema = "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
     return map_batches(docs, run, schema)
 
 
@@ -154,7 +156,7 @@ def compare_pairs(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
             keep.append(near.similar(common, len(x) + len(y) - common))
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
-    one, other = (texts.select(c("doc_id").alias(k), c("text").alias(f"text_{k}")) for k in "ab")
+    one, other = (texts.select(c("node").alias(k), c("text").alias(f"text_{k}")) for k in "ab")
     return map_batches(pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
@@ -194,7 +196,7 @@ def _join_blocks(near: Near):
         for side in (0, 1):
             rows = group.filter(pa.compute.equal(group["side"], side))
             texts = [shingles(t, near.shingle) for t in text_bytes(rows["text"].combine_chunks())]
-            sides.append((rows["doc_id"].to_pylist(), rows["component"].to_pylist(), texts))
+            sides.append((rows["node"].to_pylist(), rows["component"].to_pylist(), texts))
         found: list[tuple[int, int]] = []
         if sides[0][0] and sides[1][0]:
             parent: dict[int, int] = {}
@@ -217,7 +219,7 @@ def _join_blocks(near: Near):
 
 
 def compare_blocks(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """Links between the components of each bucket. ``members``: ``key, doc_id, component``.
+    """Links between the components of each bucket. ``members``: ``key, node, component``.
 
     Those outside a bucket's largest component are compared with all of its members, a block of the
     former with a block of the latter in a task; members of the largest one are not with each other.
@@ -229,13 +231,13 @@ def compare_blocks(members: DataFrame, texts: DataFrame, near: Near) -> DataFram
 
     def dealt(some: DataFrame, own: str, other: str, side: int) -> DataFrame:
         """Each row in its block of ``own`` blocks, once for each block of the other side."""
-        block, each = F.pmod(F.xxhash64("doc_id"), c(own)), F.explode(F.sequence(F.lit(0).cast("long"), c(other) - 1))
+        block, each = F.pmod(F.xxhash64("node"), c(own)), F.explode(F.sequence(F.lit(0).cast("long"), c(other) - 1))
         i, j = ("block", "each") if side == 0 else ("each", "block")
         placed = some.withColumn("block", block).withColumn("each", each)
-        return placed.select("key", "doc_id", "component", c(i).alias("i"), c(j).alias("j"), F.lit(side).alias("side"))
+        return placed.select("key", "node", "component", c(i).alias("i"), c(j).alias("j"), F.lit(side).alias("side"))
 
     tiles = dealt(rows, "all", "rest", 0).union(dealt(rows.where("component <> main"), "rest", "all", 1))
-    return tiles.join(texts, "doc_id").groupBy("key", "i", "j").applyInArrow(_join_blocks(near), "a long, b long")
+    return tiles.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_join_blocks(near), "a long, b long")
 
 
 def _relabelled(components_: DataFrame, more: DataFrame) -> DataFrame:
@@ -244,43 +246,52 @@ def _relabelled(components_: DataFrame, more: DataFrame) -> DataFrame:
     return components_.join(again, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
-def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B008
-    """``doc_id, n_shingles, component_id``: per row, the smallest document that links lead to."""
+def _keyed_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with a hash of the text, which tells rows of one id apart."""
+    rows = docs.select(c("doc_id").cast("long").alias("doc_id"), c("text").cast("string").alias("text"))
+    return rows.withColumn("text_key", F.xxhash64("text"))
+
+
+def _same_members(named: DataFrame) -> DataFrame:
+    """One key of each set of members that several components share. Sets are told apart by 128 bits of hashes of their members."""
+    own = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set_{k}") for k in (0, 1)]
+    sums = [F.min("node").alias("first"), F.max("node").alias("last"), F.max("n").alias("n"), *own]
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *sums).where("low < high")
+    return mixed.groupBy("first", "last", "n", "set_0", "set_1").agg(F.min("key").alias("key")).select("key")
+
+
+def text_groups(docs: DataFrame, near: Near, by_id: bool) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id``: per row, the smallest id among the texts that links lead to.
+
+    With ``by_id`` rows that share an id are linked too.
+    """
     text_session(docs.sparkSession)
-    rows = docs.select(c("doc_id").cast("long"), c("text").cast("string"))
+    rows = _keyed_rows(docs)
     signed = materialize(signatures(rows, near), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    classes = materialize(classes, "classes")
-    firsts = materialize(
-        signed.select("doc_id", "digest", "keys", "sketch")
-        .join(classes.select(c("first").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-        .select("doc_id", "keys", "sketch"),
-        "firsts",
-    )
-    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
+    filled = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    # a class has a number of its own: several of them may begin with one id
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first.*"), "classes")
+    firsts = filled.join(classes, ["digest", "doc_id", "text_key"]).select("node", "keys", "sketch")
+    firsts = materialize(firsts.dropDuplicates(["node"]), "firsts")
+    keyed = firsts.select("node", F.explode("keys").alias("key"))
     # written before it is joined: only then can the rows of a common key be split among tasks
-    buckets = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    buckets = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = materialize(keyed.join(buckets, "key"), "members")
 
-    texts = materialize(rows.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
-    sketch = {k: firsts.select(c("doc_id").alias(k), c("sketch").alias(f"sketch_{k}")) for k in "ab"}
-    pairs = members.where("doc_id <> hub").select(c("hub").alias("a"), c("doc_id").alias("b")).distinct()
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_key")
+    texts = rows.join(wanted, ["doc_id", "text_key"]).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    sketch = {k: firsts.select(c("node").alias(k), c("sketch").alias(f"sketch_{k}")) for k in "ab"}
+    pairs = members.where("node <> hub").select(c("hub").alias("a"), c("node").alias("b")).distinct()
     close = pairs.join(sketch["a"], "a").join(sketch["b"], "b").where(differing_bits("sketch_a", "sketch_b", near) <= near.most_bits)
     first_links = compare_pairs(close.select("a", "b").distinct(), texts, near)
     grouped = materialize(components(first_links), "components")
 
-    named = members.where("n > 2").select("key", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    named = materialize(named, "named")
-    mixed = (
-        named.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("doc_id") % (1 << 40)).alias("sum"), F.max("n").alias("n"))
-        .where("low < high")
-        .groupBy("sum", "n")
-        .agg(F.min("key").alias("key"))
-        .select("key")
-    )
-    open_members = materialize(named.join(materialize(mixed, "mixed"), "key", "left_semi").dropDuplicates(["key", "doc_id"]), "open")
+    named = members.where("n > 2").select("key", "node", "n").join(grouped, "node", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "node")), "named")
+    mixed = materialize(_same_members(named), "mixed")
+    open_members = materialize(named.join(mixed, "key", "left_semi").dropDuplicates(["key", "node"]), "open")
     second_links = compare_blocks(open_members, texts, near)
     label = grouped.select("node", "component")
     between = second_links
@@ -292,15 +303,27 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B00
     alone = more.join(label, "node", "left_anti").select("node", c("node").alias("component"))
     final = _relabelled(label.union(alone), more).groupBy("node").agg(F.min("component").alias("component"))
 
-    return (
-        signed.select("doc_id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .join(final.withColumnRenamed("node", "first"), "first", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
-    )
+    placed = signed.select("doc_id", "text_key", "n_shingles", "digest").join(classes.select("digest", "node", c("doc_id").alias("first")), "digest", "left")
+    if by_id:
+        ids = placed.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        shared = materialize(ids.where("low < high").select("doc_id", "low"), "shared-ids")
+        if not shared.isEmpty():
+            joined = placed.join(shared, "doc_id").select(c("low").alias("a"), c("node").alias("b"))
+            final = components(final.select(c("component").alias("a"), c("node").alias("b")).union(joined))
+    names = final.join(classes.select("node", c("doc_id").alias("own")), "node")
+    least = names.groupBy("component").agg(F.min("own").alias("least"))
+    final = materialize(names.join(least, "component").select("node", "least"), "components")
+    component = F.when(c("doc_id").isNotNull(), F.coalesce("least", "first", "doc_id"))
+    return placed.join(final, "node", "left").select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+
+
+def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B008
+    """``doc_id, n_shingles, component_id``: per row, the smallest document that links lead to."""
+    return text_groups(docs, near, by_id=True).drop("text_key")
 
 
 def keep_one(docs: DataFrame, near: Near = Near()) -> DataFrame:  # noqa: B008
-    """``docs`` without documents that belong to the group of one with a smaller id."""
-    gone = near_groups(docs, near).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without texts that belong to the group of one with a smaller id."""
+    gone = text_groups(docs, near, by_id=False).where("component_id < doc_id").select(c("doc_id").alias("_gone"), c("text_key").alias("_text")).distinct()
+    same = (docs["doc_id"].cast("long") == c("_gone")) & (F.xxhash64(docs["text"].cast("string")) == c("_text"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -166,7 +166,8 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each document, how many of them are later repeats, and what is left."""
-    kept = line_dedup.remove_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = line_dedup.remove_repeated_lines(docs, min_words=line_dedup.MIN_WORDS)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -176,15 +177,20 @@ each AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM d),
 pairs AS (
   SELECT doc_id, p, x || chr(10) || lead(x) OVER w AS body FROM each WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 firsts AS (SELECT body, min((doc_id, p)) AS place FROM pairs WHERE body IS NOT NULL GROUP BY body),
+long AS (
+  SELECT doc_id, p, x FROM each WHERE length(x) >= 50
+    AND len(regexp_extract_all(x, '[{unspaced}]|[^\x20\x09-\x0D{unspaced}]+')) >= 50),
+first_long AS (SELECT x, min((doc_id, p)) AS place FROM long GROUP BY x),
 gone AS (
-  SELECT DISTINCT doc_id, p + k AS p
-  FROM (SELECT a.doc_id, a.p FROM pairs a JOIN firsts f ON a.body = f.body WHERE f.place < (a.doc_id, a.p)), range(2) t(k)),
+  SELECT doc_id, p + k AS p
+  FROM (SELECT a.doc_id, a.p FROM pairs a JOIN firsts f ON a.body = f.body WHERE f.place < (a.doc_id, a.p)), range(2) t(k)
+  UNION SELECT l.doc_id, l.p FROM long l JOIN first_long f ON l.x = f.x WHERE f.place < (l.doc_id, l.p)),
 kept AS (
   SELECT e.doc_id, count(*) AS n, string_agg(e.x, chr(10) ORDER BY e.p) AS body
   FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p WHERE g.p IS NULL GROUP BY e.doc_id)
 SELECT d.doc_id, len(d.l) AS n_lines, len(d.l) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
-"""
+""".replace("{unspaced}", r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}")
 
 
 @query

@@ -16,9 +16,9 @@ without rows. Further columns of the documents are not written.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +38,50 @@ SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
 c = F.col
 
 
+#: Characters of joined pieces that the library encodes at a time.
+JOINED_CHARS = 1 << 16
+
+
 @cache
 def library_coder(path: str) -> bpe.PieceCoder:
-    """Pieces split by the pattern, their words coded by the library's merge model."""
+    """Pieces encoded by the library, many at a time.
+
+    Pieces that begin with a space and do not end in white space are joined: a text of them may be cut
+    before each of these spaces (see ``bpe``), so the tokens of one piece end where the next one begins.
+    Others are encoded one by one.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, specials = Tokenizer.from_file(path).model, bpe.special_tokens(path)
-    letters = {b: letter for letter, b in bpe.byte_letters().items()}
+    library, sizes = Tokenizer.from_file(path), bpe.merge_table(path).byte_counts
+    library.no_truncation()
+    library.no_padding()
 
-    def word_ids(word: str) -> list[int]:
-        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+    def ids_of(text: str) -> list[int]:
+        return library.encode(text, add_special_tokens=False).ids
 
     def encode(pieces: list[str]) -> bpe.Coded:
-        known: dict[str, list[int]] = {}
-        rows = []
-        for piece in pieces:
-            row = [specials[piece]] if piece in specials else []
-            for word in () if row else bpe.PATTERN.findall(piece):
-                if word not in known:
-                    known[word] = word_ids(word)
-                row += known[word]
-            rows.append(row)
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter(chain.from_iterable(rows), np.int32, int(lengths.sum())), lengths
-
-    return bpe.PieceCoder(encode, specials)
+        plain = np.fromiter((x[0] == " " and not x[-1].isspace() for x in pieces), bool, len(pieces))
+        first, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        flat, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        groups = np.cumsum([len(pieces[k]) for k in first.tolist()], dtype=np.int64) // JOINED_CHARS
+        for group in np.split(first, np.flatnonzero(np.diff(groups)) + 1):
+            some = [pieces[k] for k in group.tolist()]
+            ids = np.array(ids_of("".join(some)), np.int32)
+            ends, wanted = np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) for x in some], dtype=np.int64)
+            cuts = np.searchsorted(ends, wanted) + 1
+            if len(some) and (cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any()):
+                raise ValueError("tokens of joined pieces do not end where the pieces do")
+            flat.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        for k in other.tolist():
+            flat.append(np.array(ids_of(pieces[k]), np.int32))
+            lengths.append(np.array([len(flat[-1])]))
+        flat, lengths = np.concatenate(flat), np.concatenate(lengths)
+        starts, back = np.cumsum(lengths) - lengths, np.argsort(np.concatenate([first, other]))
+        return bpe.gather(flat, starts[back], lengths[back]), lengths[back]
+
+    return bpe.PieceCoder(encode, bpe.special_tokens(path))
 
 
 def _encoded(rows: DataFrame, path: str, end: int) -> DataFrame:

@@ -56,6 +56,24 @@ def test_groups(docs, monkeypatch, near, block):
     assert got == _brute(rows, near)
 
 
+def test_no_text_goes_with_a_repeated_id(docs):
+    """A row stays unless a text like its own stays under a smaller id, whatever else its id stands for."""
+    a, b, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abd")
+    rows = [(3, a), (8, a), (8, b), (20, b)]
+    assert [tuple(x) for x in minhash.near_groups(docs(rows)).select("doc_id", "component_id").orderBy("doc_id").collect()] == [(3, 3), (8, 3), (8, 3), (20, 3)]
+    assert sorted((x["doc_id"], x["text"]) for x in minhash.keep_one(docs(rows)).collect()) == [(3, a), (8, b)]
+    r = random.Random(8)
+    texts = [a, b, d, a + " x", b.replace("b7 ", "q "), d + " y z", "", None]
+    for seed in range(3):
+        r.seed(seed)
+        rows = [(r.randrange(6), r.choice(texts)) for _ in range(20)]
+        kept = {(x["doc_id"], x["text"]) for x in minhash.keep_one(docs(rows)).collect()}
+        sets = {t: _set(t, 5) for t in texts}
+        for i, t in rows:
+            near = [(j, u) for j, u in rows if u == t or (sets[t] and 100 * len(sets[t] & sets[u]) >= 80 * len(sets[t] | sets[u]))]
+            assert any((j, u) in kept and j <= i for j, u in near)
+
+
 def test_text_edges(docs, odd):
     rows = [*odd, (30, "ONE"), (31, "a b c"), (32, "a  b\nc")]
     got = {}

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from quantspan.llm import line_dedup, substring_dedup
 
 
-def _brute_lines(rows, k):
-    first = {}
+def _brute_lines(rows, k, min_words=None):
+    first, long = {}, {}
     texts = {i: t.split("\n") for i, t in rows}
     for i in sorted(texts):
         for p in range(len(texts[i]) - k + 1):
             first.setdefault(tuple(texts[i][p : p + k]), (i, p))
+        for p, x in enumerate(texts[i]):
+            if min_words and len(x.split()) >= min_words:
+                long.setdefault(x, (i, p))
     out = {}
     for i, own in texts.items():
         gone = {p + j for p in range(len(own) - k + 1) if first[tuple(own[p : p + k])] < (i, p) for j in range(k)}
+        gone |= {p for p, x in enumerate(own) if long.get(x, (i, p)) < (i, p)}
         out[i] = "\n".join(x for p, x in enumerate(own) if p not in gone), len(own), len(gone)
     return out
 

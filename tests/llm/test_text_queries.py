@@ -56,7 +56,7 @@ def test_pipeline(spark, data):
     docs = table(spark, data, "documents")
     scored = {r["doc_id"]: r["toxicity"] for r in toxicity.add_scores(docs, toxicity.fit(docs, table(spark, data, "labels"))).collect()}
     want = {r["doc_id"]: r["text"] for r in docs.collect() if scored[r["doc_id"]] < toxicity.THRESHOLD}
-    lines = _brute_lines(list(want.items()), 2)
+    lines = _brute_lines(list(want.items()), 2, 50)
     want = {i: text for i, (text, n, gone) in lines.items() if gone < n}
     groups = near_groups(list(want.items()), Near())
     want = {i: t for i, t in want.items() if groups[i][1] == i}
