@@ -29,8 +29,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are deleted; documents that lose all their lines go."""
-    return _measured(line_dedup.drop_repeated_lines(docs))
+    """Later repeats of runs of lines, and of single lines of many words, are deleted; documents that lose all their lines go."""
+    return _measured(line_dedup.drop_repeated_lines(docs, min_words=line_dedup.MIN_WORDS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
