@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
 from quantspan.functions.prices import apply_sizing
-from quantspan.operators.ontology import matching_rules, rule_effects
+from quantspan.operators.ontology import signal_effects
 from quantspan.operators.rules import apply_rules
 from quantspan.plans.asof import asof_join
 from quantspan.plans.blocks import DAY
@@ -53,8 +53,8 @@ def attach_gate(signals: DataFrame, gates: DataFrame, seconds: int = DAY) -> Dat
 
 
 def attach_rules(signals: DataFrame, rules: DataFrame, **params) -> DataFrame:
-    """Effects of the injected rules on each signal; only matching pairs are shuffled."""
-    return signals.join(rule_effects(matching_rules(signals, rules, **params)), "signal_id", "left")
+    """Effects of the injected rules on each signal; only matches of rules limited in time are shuffled."""
+    return signals.join(signal_effects(signals, rules, **params).drop("n_size_down"), "signal_id", "left")
 
 
 def attach_kill_switch(signals: DataFrame, kill: DataFrame, switch_id: str = MAIN_SWITCH) -> DataFrame:
@@ -156,6 +156,16 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
     )
 
 
+def attach_state(
+    signals: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, gates: DataFrame | None = None, seconds: int = DAY
+) -> DataFrame:
+    """Signals with account, gate and rules as they stood when each was created."""
+    frame = attach_account(signals, accounts, seconds)
+    if gates is not None:
+        frame = attach_gate(frame, gates, seconds)
+    return frame if rules is None else attach_rules(frame, rules)
+
+
 def evaluate_signals(
     signals: DataFrame,
     accounts: DataFrame,
@@ -166,12 +176,7 @@ def evaluate_signals(
     seconds: int = DAY,
 ) -> DataFrame:
     """Attach account, gate, rules and kill switch to the signals, then give the verdicts."""
-    frame = attach_account(signals, accounts, seconds)
-    if gates is not None:
-        frame = attach_gate(frame, gates, seconds)
-    if rules is not None:
-        frame = attach_rules(frame, rules)
+    frame = attach_state(signals, accounts, rules, gates, seconds)
     if kill is not None:
         frame = attach_kill_switch(frame, kill)
     return risk_verdict(frame, limits)
-

@@ -638,12 +638,12 @@ def signal_verdicts(spark, folder):
     rules_ = injected_rules(spark, folder)
     rules_ = rules_.union(rules_.where(F.substring("id", 6, 20).cast("long") % 20 == 3))
     state = materialize(gates.gate_history(equity(spark, folder)), "gates")
-    args = account_snapshots(spark, folder), rules_, state
+    frame = materialize(risk.attach_state(rows, account_snapshots(spark, folder), rules_, state, seconds=30 * 86_400), "frame")
     broken = F.filter(F.map_keys(F.map_filter("checks_performed", lambda k, v: ~v)), lambda k: ~k.contains(":"))
     out = []
     for switch, kind, command in (("off", "signup", "clear"), ("on", "error", "trigger")):
         kill = main_switch(spark, folder, kind, command)
-        df = risk.evaluate_signals(rows, *args, kill, RiskLimits(system_mode="C"), seconds=30 * 86_400)
+        df = risk.risk_verdict(risk.attach_kill_switch(frame, kill), RiskLimits(system_mode="C"))
         out.append(
             df.select(
                 F.lit(switch).alias("switch"), "signal_id", "verdict", *whole("approved_size_contracts"), "requires_human_confirm",
@@ -661,7 +661,7 @@ def rule_matches(spark, folder):
 
 @query
 def size_multipliers(spark, folder):
-    df = ontology.size_multipliers(ontology.matching_rules(signals(spark, folder), injected_rules(spark, folder)))
+    df = ontology.signal_effects(signals(spark, folder), injected_rules(spark, folder)).where("n_size_down > 0")
     return df.select("signal_id", *rounded(9, "ontology_mult"), *whole("n_size_down"))
 
 

@@ -9,7 +9,7 @@ from quantspan.functions.quantile import exact_percentile
 from quantspan.plans.asof import asof_join
 from quantspan.plans.blocks import array_split_block, array_split_start, with_halo, with_positions
 from quantspan.plans.fold import ordered_fold
-from quantspan.plans.intervals import interval_join
+from quantspan.plans.intervals import dyadic_pieces, interval_join
 
 
 def _series(n=500, seed=1):
@@ -81,6 +81,29 @@ def test_asof_matches_pandas(spark):
     assert np.allclose(a["rv"].dropna(), b["rv"].dropna())
 
 
+def test_dyadic_pieces_cover_once(spark):
+    """Few pieces, which do not overlap, hold the range and little more."""
+    rng = np.random.default_rng(4)
+    ends = [(0, 0), (-1, 0), (-8, 7), (5, 4), (7, 8), (-(2**50), 2**50), (1, 2**40)]
+    ends += [(int(a), int(a + w)) for a, w in zip(rng.integers(-(10**6), 10**6, 300), rng.integers(0, 10 ** rng.integers(1, 7, 300)))]
+    df = spark.createDataFrame(ends, "lo long, hi long")
+    for r in df.select("lo", "hi", dyadic_pieces(F.col("lo"), F.col("hi")).alias("p")).collect():
+        spans = sorted((x.bucket << x.level, (x.bucket + 1) << x.level) for x in r.p)
+        if r.hi < r.lo:
+            assert not spans
+            continue
+        assert len(spans) <= 8 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        assert spans[0][0] <= r.lo and r.hi < spans[-1][1]
+        assert spans[-1][1] - spans[0][0] <= 1.25 * (r.hi - r.lo + 1)
+
+
+def test_interval_join_without_ranges(spark):
+    pts = spark.createDataFrame(_series(5).assign(id=range(5)))
+    none = spark.createDataFrame([], "rid long, rk string, lo timestamp, hi timestamp")
+    got = interval_join(pts, none, point_id="id", point_key="k", point_ts="ts", range_key="rk", lo="lo", hi="hi")
+    assert got.columns == ["id", "rid", "rk", "lo", "hi"] and got.count() == 0
+
+
 @pytest.mark.parametrize("broadcast_rows", [50_000, 0])
 def test_interval_join_matches_brute_force(spark, broadcast_rows):
     pts = _series(200, 5).assign(id=lambda d: range(len(d)))
@@ -99,7 +122,7 @@ def test_interval_join_matches_brute_force(spark, broadcast_rows):
     )
     got = interval_join(
         spark.createDataFrame(pts), ranges, point_id="id", point_key="k", point_ts="ts", range_key="rk",
-        lo="lo", hi="hi", max_buckets=30, broadcast_rows=broadcast_rows,
+        lo="lo", hi="hi", broadcast_rows=broadcast_rows,
     )
     pairs = {(r.id, r.rid) for r in got.collect()}
     assert got.count() == len(pairs)

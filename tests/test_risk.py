@@ -175,6 +175,25 @@ def test_size_down_multiplies_and_clamps(spark):
     assert verdicts(risk.attach_rules(df, _rules(spark, down({"size_mult": "-1"}))))["s0"].verdict == "REJECT"
 
 
+def test_effects_of_rules_with_and_without_limits(spark):
+    """Folding rules that hold at any time gives what all pairs give."""
+    m = lambda n, s: {"created_at": NOW + dt.timedelta(minutes=n), "symbol": s}
+    df = frame(spark, *[m(n, s) for n in (-40, 0, 29, 400) for s in ("NQ", "ES", "GC")])
+    far = {**WINDOW, "event_ts": NOW + dt.timedelta(days=9)}
+    half = {"action": "size_down", "params": {"size_mult": "0.5"}}
+    r = _rules(
+        spark, {"window": WINDOW}, {"instrument": None, **half}, {**half, "instrument": "ES"}, {"window": far, **half},
+        {"rule_type": "instrument_block", "instrument": "GC", "ts": NOW - dt.timedelta(1)}, {"instrument": None, "window": WINDOW, **half},
+        {"instrument": None, "active": False},
+    )
+    each = lambda x: (x.signal_id, sorted(x.rule_ids), x.vetoes, round(x.ontology_mult, 12))
+    want = ontology.rule_effects(ontology.matching_rules(df, r))
+    got = ontology.signal_effects(df, r)
+    assert sorted(map(each, got.collect())) == sorted(map(each, want.collect())) and got.count() == 12
+    down = {x.signal_id: (x.n_size_down, x.ontology_mult) for x in ontology.size_multipliers(ontology.matching_rules(df, r)).collect()}
+    assert {x.signal_id: (x.n_size_down, x.ontology_mult) for x in got.where("n_size_down > 0").collect()} == down
+
+
 def test_slug_and_requests(spark):
     req = spark.createDataFrame(
         [("No NQ at FOMC!", "veto", None), ("¿¡!?", "size_down", None), ("x", "approve", None), ("y", "veto", "mine")],
