@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.prices import drawdown_level, sizing_mult
-from quantspan.plans.blocks import DAY, carry_in, match_keys, time_bucket
+from quantspan.plans.blocks import DAY, PIECE_ROWS, carry_in, match_keys, ordered_pieces, time_bucket
+from quantspan.session import materialize
 from quantspan.sources.tables import latest_per_key
 
 KEYS = ("sleeve_id", "track")
@@ -65,25 +66,27 @@ def drawdown_curve(equity: DataFrame, keys: Sequence[str] = KEYS, seconds: int =
 
 
 def gate_history(
-    equity: DataFrame, keys: Sequence[str] = KEYS, scope: str = "key", seconds: int = 30 * DAY
+    equity: DataFrame, keys: Sequence[str] = KEYS, scope: str = "key", seconds: int = 30 * DAY, piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Gate row per equity row: drawdown, level, multiplier, previous level, whether it tripped.
 
     The previous level is that of the same key, or with ``scope="global"`` of the row written
-    last for any key.
+    last for any key. That order has no key: it is cut into pieces of ``piece_rows`` rows, whose
+    last levels, one row a piece, are carried over.
     """
     curve = drawdown_curve(equity, keys, seconds)
     level = drawdown_level(F.col("dd"))
     if scope == "key":
         rows = curve.withColumn("previous_level", F.when(F.col("prev_dd").isNotNull(), drawdown_level(F.col("prev_dd"))))
     else:
-        rows = curve.withColumn("__b", time_bucket("ts", seconds)).withColumn("__level", level)
-        order = F.struct("ts", *keys)
-        last = rows.groupBy("__b").agg(F.max_by("__level", order).alias("__l"))
-        earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        last = last.select("__b", F.last("__l").over(earlier).alias("__before"))
-        part = Window.partitionBy("__b").orderBy("ts", *keys)
-        rows = rows.withColumn("__lag", F.lag("__level").over(part)).join(last, "__b", "left")
+        order = ["ts", *keys]
+        rows = materialize(curve.select(*order, "dd", level.alias("__level")), "curve")
+        rows = ordered_pieces(rows, order, piece_rows)
+        last = rows.groupBy("__piece").agg(F.max_by("__level", F.struct(*order)).alias("__l"))
+        earlier = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.select("__piece", F.last("__l").over(earlier).alias("__before"))
+        part = Window.partitionBy("__piece").orderBy(*order)
+        rows = match_keys(rows.withColumn("__lag", F.lag("__level").over(part)), last, ["__piece"])
         rows = rows.withColumn("previous_level", F.coalesce("__lag", "__before"))
     return rows.select(
         "ts",

@@ -8,7 +8,8 @@ written over blocks of a key instead:
 * ``with_halo`` gives each block the last rows of the block before it, which is all a ``lag``
   or a rolling frame of bounded length needs;
 * ``carry_in`` reduces each block to totals and prefixes them, which is all a running
-  aggregate (sum, product, maximum, last value) needs.
+  aggregate (sum, product, maximum, last value) needs;
+* ``ordered_pieces`` cuts an order without any key into pieces of about as many rows.
 
 Only the per-block totals are ever windowed per key: one row per block, not per input row.
 """
@@ -20,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantspan.session import materialize
+
 DAY = 86_400
 
 
@@ -111,6 +114,20 @@ def carry_in(
     )
 
 
+#: Rows of a piece of a global order.
+PIECE_ROWS = 1_000_000
+
+
+def ordered_pieces(df: DataFrame, order: Sequence[str], rows: int = PIECE_ROWS, piece: str = "__piece") -> DataFrame:
+    """``df`` with the number of the piece of the global ``order`` that a row falls into, written.
+
+    Ranges of the order hold about ``rows`` rows each, however these spread over time; rows that are equal in ``order``
+    stay together. ``df`` is read three times (count, sample, shuffle), so pass a written table.
+    """
+    n = max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism)
+    return materialize(df.repartitionByRange(n, *order).withColumn(piece, F.spark_partition_id()), "pieces")
+
+
 def array_split_block(pos: Column, n: Column, parts: int) -> Column:
     """Index of the near-equal contiguous part a position falls into.
 

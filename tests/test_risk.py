@@ -175,6 +175,20 @@ def test_size_down_multiplies_and_clamps(spark):
     assert verdicts(risk.attach_rules(df, _rules(spark, down({"size_mult": "-1"}))))["s0"].verdict == "REJECT"
 
 
+def test_global_gates_where_all_rows_are_of_one_month(spark):
+    rng = np.random.default_rng(2)
+    steps = rng.normal(0, 4000, (3, 60)).cumsum(axis=1) + 100_000
+    rows = [(NOW + dt.timedelta(minutes=7 * int(i)), f"s{k}", "B", float(steps[k, i])) for k in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "ts timestamp, sleeve_id string, track string, equity double")
+    levels = {(r.ts, r.sleeve_id): r.gate_level for r in gates.gate_history(df).collect()}
+    got = gates.gate_history(df, scope="global", piece_rows=11)
+    before = None
+    for r in got.orderBy("ts", "sleeve_id").collect():
+        assert (r.previous_level, r.gate_level) == (before, levels[r.ts, r.sleeve_id])
+        before = r.gate_level
+    assert got.count() == 180 and got.where("tripped").count() > 20
+
+
 def test_effects_of_rules_with_and_without_limits(spark):
     """Folding rules that hold at any time gives what all pairs give."""
     m = lambda n, s: {"created_at": NOW + dt.timedelta(minutes=n), "symbol": s}
