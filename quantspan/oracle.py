@@ -575,6 +575,9 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'rule_' || CASE WHEN b = ''
     "bm25_scores": f"WITH {BM25} SELECT query_id, path, {_r(6, 'score')} FROM bm",
     "retrieval_ranked": f"""WITH {RANKED},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, path) AS rank FROM scored)
+SELECT query_id, rank, path, round(s, 6) AS score, reasons FROM r WHERE rank <= 10""",
+    "stored_index_ranked": f"""WITH {RANKED},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, path) AS rank FROM scored)
 SELECT query_id, rank, path, round(s, 6) AS score, reasons FROM r WHERE rank <= 10""",
     "term_frequency": f"WITH {INDEX} SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n_tokens FROM postings GROUP BY 1",
     "query_token_counts": """SELECT role, term, count(*) AS n

@@ -27,6 +27,7 @@ from quantspan.operators.sharpe import cell_moments, sharpe_moments
 from quantspan.operators.validation import dsr_table, validate_sleeves
 from quantspan.plans.asof import asof_join
 from quantspan.session import fresh_path, materialize, prepare
+from quantspan.sources import index
 from quantspan.sources.bars import bars_from_events, first_source, normalize_bars, read_bars
 from quantspan.sources.logs import append_log, log_lines, read_log, write_lines
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes
@@ -440,8 +441,8 @@ def sharpe_stats(spark, folder):
 
 @query
 def cpcv_roles(spark, folder):
-    index = panel(spark, folder).where("config_id = 0").select("sleeve_id", "t", "n_obs")
-    return cpcv_splits(index, purge_pct=0.02).select("sleeve_id", *whole("combo_id", "t"), "role")
+    positions = panel(spark, folder).where("config_id = 0").select("sleeve_id", "t", "n_obs")
+    return cpcv_splits(positions, purge_pct=0.02).select("sleeve_id", *whole("combo_id", "t"), "role")
 
 
 def _moments(spark, folder):
@@ -814,6 +815,18 @@ def retrieval_ranked(spark, folder):
     return df.select("query_id", *whole("rank"), "path", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query
+def stored_index_ranked(spark, folder):
+    """The same from an index that was stored in two segments, the later of which has some notes again, and reopened."""
+    root, rows = fresh_path(spark, "index"), notes(spark, folder)
+    number = F.substring("id_key", 5, 20).cast("long")
+    early = F.when(number % 10 == 3, F.lit("an earlier text of this note")).otherwise(c("body"))
+    index.add_segment(rows.where(number % 2 == 1).withColumn("body", early), root)
+    index.add_segment(rows.where((number % 2 == 0) | (number % 10 == 3)), root)
+    df = retrieval.retrieve(index.open_index(spark, root), search_queries(spark, folder))
+    return df.select("query_id", *whole("rank"), "path", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def term_frequency(spark, folder):
     ix = retrieval.build_index(notes(spark, folder))
@@ -989,24 +1002,33 @@ def stream_bars(spark, folder):
     return df.select("instrument", when_text(), "open", "high", "low", "close", "volume")
 
 
-#: The equity curve comes in files of these spans of time, one after the other.
-SPANS = ("ts < '1994-07-01'", "ts >= '1994-07-01' and ts < '1996-07-01'", "ts >= '1996-07-01'")
+#: Files of the equity curve: their number, of how many days each, and how many days a point comes late at most.
+FILES, FILE_DAYS, LATE_DAYS = 5, 500, 300
+#: When the last point of a stream comes; it only moves the watermark.
+CLOSING = "2100-01-01"
 
 
 def _stream_equity(spark, folder):
-    """The equity curve and its mirror image as a second track, in files of later and later spans of time."""
+    """The equity curve and its mirror image as a second track, in files that each hold points of many months in no order,
+    and a last point by which all others are settled."""
     df = materialize(equity(spark, folder).select("sleeve_id", "track", "ts", "equity"), "equity")
     mirrored = df.select("sleeve_id", F.lit("A").alias("track"), "ts", (F.lit(2 * START_CENTS / 100.0) - c("equity")).alias("equity"))
     both, path = df.union(mirrored), fresh_path(spark, "equity")
-    for span in SPANS:
-        both.where(span).repartition(2, "sleeve_id", "track").write.mode("append").parquet(path)
+    days = F.datediff("ts", F.lit("1992-01-01").cast("date")) + F.pmod(F.xxhash64("sleeve_id", "track", "ts"), F.lit(LATE_DAYS))
+    at_file = F.least(F.floor(days / FILE_DAYS), F.lit(FILES - 1))
+    for k in range(FILES):
+        shuffled = both.where(at_file == k).repartition(2, F.xxhash64("ts", "sleeve_id", "track"))
+        shuffled.sortWithinPartitions(F.xxhash64("track", "sleeve_id", "ts")).write.mode("append").parquet(path)
+    closing = spark.createDataFrame([("", "", 0.0)], "sleeve_id string, track string, equity double")
+    closing.select("sleeve_id", "track", F.lit(CLOSING).cast("timestamp").alias("ts"), "equity").write.mode("append").parquet(path)
     return stateful.file_stream(spark, path, df.schema, per_trigger=2)
 
 
 @query
 def stream_gates(spark, folder):
+    """Gates of points that come up to ten months out of order."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STATE_STORE)
-    path = stateful.run_to_table(stateful.stream_gates(_stream_equity(spark, folder)), "stream_gates")
+    path = stateful.run_to_table(stateful.stream_gates(_stream_equity(spark, folder), f"{LATE_DAYS + FILE_DAYS} days"), "stream_gates")
     df = spark.read.parquet(path)
     return df.select("sleeve_id", "track", when_text(), "current_dd_pct", "gate_level", "sizing_mult", "previous_level", "tripped")
 
@@ -1015,5 +1037,6 @@ def stream_gates(spark, folder):
 def stream_unique(spark, folder):
     """Two copies of every equity point come in, one goes out."""
     stream = _stream_equity(spark, folder)
-    path = stateful.run_to_table(stateful.stream_unique_equity(stream.union(stream), delay="3650 days"), "stream_unique")
-    return spark.read.parquet(path).groupBy("sleeve_id", "track").agg(F.count(F.lit(1)).alias("n_points"))
+    path = stateful.run_to_table(stateful.stream_unique_equity(stream.union(stream), delay=f"{LATE_DAYS + FILE_DAYS} days"), "stream_unique")
+    points = spark.read.parquet(path).where(c("ts") < F.lit(CLOSING).cast("timestamp"))
+    return points.groupBy("sleeve_id", "track").agg(F.count(F.lit(1)).alias("n_points"))

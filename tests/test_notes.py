@@ -1,12 +1,15 @@
 """Notes and retrieval."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantspan.functions.text import doc_tokens, query_tokens
+from quantspan.operators import retrieval
 from quantspan.operators.retrieval import bm25, build_index, link_counts, link_keys, retrieve
+from quantspan.sources.index import add_segment, open_index
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes, read_notes
 
 SCHEMA = (
@@ -56,6 +59,69 @@ def test_links_between_hits(spark):
     assert abs((hits["c.md"][0] - hits["b.md"][0]) - 0.2) < 1e-6
 
 
+def _many(spark, n=150, seed=1):
+    r = random.Random(seed)
+    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)]
+    rows = [
+        {
+            "path": f"p{i}.md", "id_key": f"K{i}", "instrument": r.choice(["NQ", "ES", None]), "regime": r.choice(["a", "b"]), "tags": [r.choice(words)],
+            "links": [f"K{int(r.paretovariate(0.5)) % n}" for _ in range(r.randint(0, 4))], "body": " ".join(r.choices(words, k=r.randint(3, 60))),
+        }
+        for i in range(n)
+    ]
+    asked = [(q, " ".join(r.choices(words, k=k)), "NQ", "a") for q, k in enumerate((1, 2, 3, 8, 30, 1, 2))]
+    return notes(spark, *rows), spark.createDataFrame(asked, "query_id int, text string, instrument string, regime string")
+
+
+def _all_scored(ix, queries, limit):
+    """The best by the scores of all notes."""
+    scores = {(r.query_id, r.path): r.score for r in bm25(ix, queries).collect()}
+    about = {r.path: r for r in ix.notes.collect()}
+    edges = [(r.source, r.target, r.n) for r in ix.edges.collect()]
+    out = []
+    for q in queries.collect():
+        own = {p: s for (i, p), s in scores.items() if i == q.query_id}
+        for path in list(own):
+            n = about[path]
+            own[path] -= 0.5 * (n.instrument == q.instrument) + 0.4 * (n.regime == q.regime) + 0.3 * any(t.lower() in q.text.lower() for t in n.tags)
+            own[path] -= 0.2 * sum(k for s, t, k in edges if t == path and (q.query_id, s) in scores)
+        best = sorted((round(s, 9), p) for p, s in own.items())[:limit]
+        out += [(q.query_id, k + 1, p, round(s, 6)) for k, (s, p) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize(("block", "first", "limit"), [(4, 1, 3), (2, 6, 2), (32, 4, 10), (1, 1, 200)])
+def test_blocks_that_are_not_read_hold_nothing(spark, monkeypatch, block, first, limit):
+    monkeypatch.setattr(retrieval, "BLOCK_NOTES", block)
+    monkeypatch.setattr(retrieval, "FIRST_BLOCKS", first)
+    rows, queries = _many(spark, seed=block)
+    ix = build_index(rows)
+    got = sorted((r.query_id, r["rank"], r.path, r.score) for r in retrieve(ix, queries, limit).collect())
+    assert got == _all_scored(ix, queries, limit)
+    if limit < 5:  # a floor leaves most pairs out
+        terms = retrieval._weighted_terms(ix, queries)
+        assert retrieval.candidates(ix, queries, terms, limit).count() < bm25(ix, queries).count() / 2
+
+
+def test_stored_index(spark, tmp_path):
+    """Segments reopened give what one build gives; later notes replace earlier ones; unfinished segments and missing indexes hold nothing."""
+    root = str(tmp_path / "ix")
+    rows, queries = _many(spark)
+    assert retrieve(open_index(spark, root), queries).count() == 0
+    old = rows.where("path < 'p5'").withColumn("body", F.concat("body", F.lit(" older words")))
+    add_segment(rows.where("path < 'p2'"), root)
+    add_segment(old.where("path >= 'p2'"), root)
+    add_segment(rows.where("path >= 'p2'"), root)
+    (tmp_path / "ix" / "notes" / "segment=00000009-x").mkdir()
+    rows.write.mode("append").parquet(f"{root}/notes/segment=00000009-x")
+    want, got = build_index(rows), open_index(spark, root)
+    assert (got.n_docs, got.avg_len) == (want.n_docs, want.avg_len)
+    each = lambda df: sorted(tuple(r) for r in df.select("term", "path", "tf", "len").collect())
+    assert each(got.postings) == each(want.postings)
+    ranked = lambda ix: sorted((r.query_id, r["rank"], r.path, r.score, r.reasons) for r in retrieve(ix, queries, 5).collect())
+    assert ranked(got) == ranked(want)
+
+
 def test_last_path_wins_a_link_key(spark):
     df = notes(spark, {"path": "a/x.md", "id_key": "K"}, {"path": "b/x.md", "id_key": "K"})
     assert {(r.key, r.target) for r in link_keys(df).collect()} == {("K", "b/x.md"), ("x", "b/x.md")}
