@@ -12,7 +12,7 @@ a window under the ids of both sides, and a text's alignment is put together fro
    highest count of each id of the second vocabulary (bounded by its size) go to every worker; links of
    all other pairs are joined with the table of counts.
 
-Memory: texts are tokenised in parts of about ``PART_CHARS`` characters, cut where one space stands between
+Memory: texts are tokenised in parts of about ``PART_CHARS`` characters or less, cut where one space stands between
 two other characters (no token of either vocabulary holds what is before and after such a place); kept windows are
 given up once they hold ``CACHE_LINKS`` links. A batch and its tokens are held at once.
 
@@ -25,7 +25,6 @@ gives none. Strings of special tokens are plain text. Other columns are not read
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -38,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspan.llm.bpe import byte_letters, gather, list_parts
+from quantspan.llm.bpe import Coded, byte_letters, gather, list_parts
 from quantspan.llm.text import text_session
+from quantspan.llm.token_output import library_coder
 from quantspan.session import materialize
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -60,9 +60,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 @dataclass
 class Vocabulary:
-    """Ids of texts, and the bytes of each id."""
+    """Ids of texts (each end to end, and how many it has), and the bytes of each id."""
 
-    encode: Callable[[str], list[int]]
+    encode: Callable[[list[str]], Coded]
     flat: np.ndarray
     counts: np.ndarray
     starts: np.ndarray = field(init=False)
@@ -78,7 +78,7 @@ class Vocabulary:
         return len(self.counts)
 
     @classmethod
-    def of(cls, encode: Callable[[str], list[int]], tokens: list[bytes]) -> Vocabulary:
+    def of(cls, encode: Callable[[list[str]], Coded], tokens: list[bytes]) -> Vocabulary:
         return cls(encode, np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64))
 
     def text(self, ids: np.ndarray) -> bytes:
@@ -88,21 +88,13 @@ class Vocabulary:
 @cache
 def byte_level(path: str) -> Vocabulary:
     """A vocabulary file of byte-level BPE; a text is encoded with a space before it."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    coder = Tokenizer.from_file(path)
-    coder.no_truncation()
-    coder.no_padding()
-    coder.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         read = json.load(f)
     letters = byte_letters()
     tokens = {i: bytes(letters[x] for x in t) for t, i in read["model"]["vocab"].items()}
     tokens = {t["id"]: t["content"].encode() for t in read["added_tokens"]} | tokens
-    return Vocabulary.of(
-        lambda text: coder.encode(" " + text, add_special_tokens=False).ids, [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-    )
+    coder = library_coder(path, plain_specials=True)
+    return Vocabulary.of(lambda texts: coder.texts([" " + t for t in texts]), [tokens.get(i, b"") for i in range(max(tokens) + 1)])
 
 
 @cache
@@ -116,7 +108,11 @@ def pieces(path: str) -> Vocabulary:
         piece = coder.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if coder.is_byte(i) else piece.replace("▁", " ").encode()
 
-    return Vocabulary.of(coder.encode, [token(i) for i in range(coder.get_piece_size())])
+    def encode(texts: list[str]) -> Coded:
+        rows = [np.concatenate([np.array(coder.encode(part), np.int32) for part in parts(t)]) for t in texts]
+        return np.concatenate([np.empty(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)
+
+    return Vocabulary.of(encode, [token(i) for i in range(coder.get_piece_size())])
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -136,34 +132,56 @@ def parts(text: str, size: int = PART_CHARS) -> list[str]:
     return [*out, text[first:]]
 
 
-def tokenise(text: str | None, vocab: Vocabulary) -> np.ndarray:
-    """Ids of a space and the text; none where they do not make it up."""
-    if not text:
-        return np.empty(0, np.int32)
-    ids = np.concatenate([np.array(vocab.encode(part), np.int32) for part in parts(text)])
-    return ids if vocab.text(ids) == b" " + text.encode() else np.empty(0, np.int32)
-
-
-def align(a: list[int], b: list[int], first: Vocabulary, second: Vocabulary) -> tuple[list[tuple[int, int]], list[str]]:
-    """Links and groups of tokens that cover the same bytes."""
-    links, groups = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = int(first.counts[a[0]]), int(second.counts[b[0]])
-    while True:
-        links.append((a[i], b[j]))
-        shared = end_a == end_b
-        if shared:
-            groups.append(",".join(map(str, a[from_i : i + 1])) + "|" + ",".join(map(str, b[from_j : j + 1])))
-            from_i, from_j = i + 1, j + 1
-            if from_i == len(a):
-                return links, groups
-        step_a = shared or end_a < end_b
-        if shared or end_b < end_a:
-            j += 1
-            end_b += int(second.counts[b[j]])
-        if step_a:
-            i += 1
-            end_a += int(first.counts[a[i]])
+def tokenise(texts: list[str], vocab: Vocabulary) -> list[np.ndarray]:
+    """Ids of a space and each text; none where they do not make it up."""
+    ids, lengths = vocab.encode(texts)
+    data = vocab.text(ids)
+    sizes = _sums(vocab.counts[ids], lengths)
+    rows, at = [], 0
+    for row, text, n in zip(np.split(ids, np.cumsum(lengths)[:-1]), texts, sizes.tolist(), strict=True):
+        rows.append(row if data[at : at + n] == b" " + text.encode() else row[:0])
+        at += n
+    return rows
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    return np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])])
+
+
+def align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, first: Vocabulary, second: Vocabulary):
+    """Alignments of windows whose tokens lie end to end, ``n_a`` and ``n_b`` in each.
+
+    Returns the links as pairs of places in ``a`` and ``b``, how many links and groups each window has, and its groups as text.
+    A link ends where a token of either side ends.
+    """
+    ends_a, ends_b = np.cumsum(first.counts[a]), np.cumsum(second.counts[b])
+    ends = np.union1d(ends_a, ends_b)
+    i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    stops = ends_a[np.cumsum(n_a) - 1]
+    n_links = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+    shared = (ends_a[i] == ends) & (ends_b[j] == ends)
+    groups_upto = np.cumsum(shared)
+    n_groups = np.diff(groups_upto[np.cumsum(n_links) - 1], prepend=0)
+
+    # tokens group by group, those of the first side before those of the second, each behind its mark
+    upto_a, upto_b = i[shared] + 1, j[shared] + 1
+    k_a, k_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+    at_a = np.arange(len(a)) + np.repeat(upto_b - k_b, k_a)
+    at_b = np.arange(len(b)) + np.repeat(upto_a, k_b)
+    opens_a = np.zeros(len(a), np.int64)
+    opens_a[upto_a - k_a] = 1  # a group behind another
+    opens_a[np.cumsum(n_a) - n_a] = 2  # the first group of a window
+    opens_b = np.zeros(len(b), np.int64)
+    opens_b[upto_b - k_b] = 3
+    words = np.empty(len(a) + len(b), object)
+    marks = np.array([",", ";", "", "|"], object)
+    words[at_a] = marks[opens_a] + np.array(list(map(str, a.tolist())), object)
+    words[at_b] = marks[opens_b] + np.array(list(map(str, b.tolist())), object)
+    cuts = [0, *np.cumsum(n_a + n_b).tolist()]
+    flat = words.tolist()
+    return i, j, n_links, n_groups, ["".join(flat[x:y]) for x, y in pairwise(cuts)]
 
 
 class Windows(dict):
@@ -176,9 +194,8 @@ class Windows(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[list[int]] = []
+        self.new: list[bytes] = []
         self.texts: list[str] = []
-        self.new_groups: list[int] = []
         self.flat, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.groups, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -187,25 +204,28 @@ class Windows(dict):
         return len(self.lengths) > CACHE_WINDOWS or len(self.flat) > CACHE_LINKS
 
     def __missing__(self, key: bytes) -> int:
-        ids = np.frombuffer(key, np.int32)
-        gap = int(np.argmin(ids))  # the only negative value
-        links, groups = align(ids[:gap].tolist(), ids[gap + 1 :].tolist(), *self.vocabularies)
-        size = len(self.vocabularies[1])
-        self.new.append([a * size + b for a, b in links])
-        self.new_groups.append(len(groups))
-        self.texts.append(";".join(groups))
-        self[key] = number = len(self.texts) - 1
+        self.new.append(key)
+        self[key] = number = len(self)
         return number
 
     def numbers(self, keys: list[bytes]) -> np.ndarray:
         found = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         if self.new:
-            lengths = np.array([len(x) for x in self.new], np.int64)
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.int64) for x in self.new)])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.groups = np.concatenate([self.groups, np.array(self.new_groups, np.int64)])
-            self.seen = np.concatenate([self.seen, np.zeros(len(lengths), np.int64)])
-            self.new, self.new_groups = [], []
+            ids = np.frombuffer(b"".join(self.new), np.int32)
+            gaps = np.flatnonzero(ids < 0)  # one in each window, between its sides
+            stops = np.cumsum([len(x) for x in self.new]) // 4
+            starts = np.concatenate([[0], stops[:-1]])
+            side = np.zeros(len(ids), bool)
+            side[gaps] = True
+            second = np.cumsum(side) > np.repeat(np.arange(len(stops)), stops - starts)
+            a, b = ids[~second], ids[second & ~side]
+            i, j, n_links, n_groups, texts = align(a, b, gaps - starts, stops - gaps - 1, *self.vocabularies)
+            self.flat = np.concatenate([self.flat, a[i].astype(np.int64) * len(self.vocabularies[1]) + b[j]])
+            self.lengths = np.concatenate([self.lengths, n_links])
+            self.groups = np.concatenate([self.groups, n_groups])
+            self.seen = np.concatenate([self.seen, np.zeros(len(stops), np.int64)])
+            self.texts += texts
+            self.new = []
         self.seen += np.bincount(found, minlength=len(self.seen))
         return found
 
@@ -244,10 +264,11 @@ def cut_windows(a: np.ndarray, b: np.ndarray, first: Vocabulary, second: Vocabul
 def _batch(texts: list[str | None], windows: Windows) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of each text the numbers of ids of both sides and of windows; then all windows in order."""
     first, second = windows.vocabularies
-    rows = []
-    for text in texts:
-        a, b = tokenise(text, first), tokenise(text, second)
-        rows.append((a, b) if len(a) and len(b) else (a[:0], b[:0]))
+    filled = [t for t in texts if t]
+    both = zip(*(tokenise(filled, v) for v in (first, second)), strict=True) if filled else iter(())
+    none = np.empty(0, np.int32)
+    rows = [next(both) if t else (none, none) for t in texts]
+    rows = [(a, b) if len(a) and len(b) else (none, none) for a, b in rows]
     n_a, n_b = (np.array([len(r[k]) for r in rows], np.int64) for k in (0, 1))
     if not n_a.any():
         return [n_a, n_b], np.zeros(len(rows), np.int64), np.empty(0, np.int64)
@@ -258,12 +279,6 @@ def _batch(texts: list[str | None], windows: Windows) -> tuple[list[np.ndarray],
     return [n_a, n_b], np.diff(upto, prepend=0), windows.numbers(keys)
 
 
-def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs."""
-    ends = np.concatenate([[0], np.cumsum(values)])
-    return np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])])
-
-
 def _longs(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))

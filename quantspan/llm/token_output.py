@@ -43,8 +43,8 @@ JOINED_CHARS = 1 << 16
 
 
 @cache
-def library_coder(path: str) -> bpe.PieceCoder:
-    """Pieces encoded by the library, many at a time.
+def library_coder(path: str, plain_specials: bool = False) -> bpe.PieceCoder:
+    """Pieces encoded by the library, many at a time. With ``plain_specials`` special tokens in a text are text.
 
     Pieces that begin with a space and do not end in white space are joined: a text of them may be cut
     before each of these spaces (see ``bpe``), so the tokens of one piece end where the next one begins.
@@ -56,6 +56,7 @@ def library_coder(path: str) -> bpe.PieceCoder:
     library, sizes = Tokenizer.from_file(path), bpe.merge_table(path).byte_counts
     library.no_truncation()
     library.no_padding()
+    library.encode_special_tokens = plain_specials
 
     def ids_of(text: str) -> list[int]:
         return library.encode(text, add_special_tokens=False).ids
@@ -81,7 +82,7 @@ def library_coder(path: str) -> bpe.PieceCoder:
         starts, back = np.cumsum(lengths) - lengths, np.argsort(np.concatenate([first, other]))
         return bpe.gather(flat, starts[back], lengths[back]), lengths[back]
 
-    return bpe.PieceCoder(encode, bpe.special_tokens(path))
+    return bpe.PieceCoder(encode, {} if plain_specials else bpe.special_tokens(path))
 
 
 def _encoded(rows: DataFrame, path: str, end: int) -> DataFrame:

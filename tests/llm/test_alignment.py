@@ -106,10 +106,10 @@ def test_parts_give_the_ids_of_the_whole(monkeypatch):
     r = random.Random(1)
     texts = [" ".join("".join(r.choices("abcé一\n\t'  ", k=r.randint(1, 6))) for _ in range(60)) for _ in range(30)]
     for vocab in map(alignment.vocabulary, map(public_tokenizers.path, (alignment.FIRST, alignment.SECOND))):
-        whole = [alignment.tokenise(t, vocab).tolist() for t in texts]
+        whole = [x.tolist() for x in alignment.tokenise(texts, vocab)]
         with monkeypatch.context() as m:
             m.setattr(alignment.parts, "__defaults__", (20,))
-            assert [alignment.tokenise(t, vocab).tolist() for t in texts] == whole
+            assert [x.tolist() for x in alignment.tokenise(texts, vocab)] == whole
         assert sum(map(bool, whole)) > 10
 
 
