@@ -9,6 +9,10 @@ Strings of symbols are compared by 64-bit polynomial hashes, which numpy finds f
 one length at once from sums of their beginnings. Equal hashes of different strings cost a comparison, not a result. Each
 string comes once: a symbol is deleted only at the start of a run of it, and inserted only before a run.
 
+Most strings of a neighbourhood are no word's. So a bitmap of ``FILTER_BITS`` bits, which the hashes of all
+reduced words set, goes to every worker and lets pass what may be one; that is all the filter does, and the
+join after it is exact, however full the bitmap is.
+
 Words are extracted, counted, joined and verified by DataFrame functions. Neighbourhoods carry the
 number of their word only, and those of a long word come in pieces of ``PIECE`` places. The join has no
 limit; a reduced word that many words share is a key that Spark splits (adaptive skew joins).
@@ -33,6 +37,8 @@ from quantspan.session import materialize
 SYMBOLS = 8
 #: Places of a word whose neighbours are generated at a time, and rows of one Arrow batch about.
 PIECE, ROWS = 1 << 14, 1 << 18
+#: Bits of the bitmap of reduced words, and of a piece of it.
+FILTER_BITS, PIECE_BITS = 1 << 27, 1 << 15
 LEAST_LETTERS, LEAST_COUNT, FORM_TIMES = 7, 2, 10
 LETTERS = r"[A-Za-zÀ-ÿ]"
 
@@ -129,21 +135,41 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _codes(ids, own_codes(symbols))
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, symbols in _by_length(batch):
-            yield _codes(ids, own_codes(symbols))
-            for first in range(0, symbols.shape[1] + 1, PIECE):
-                for rows, codes in neighbour_codes(symbols, first, min(first + PIECE, symbols.shape[1] + 1)):
-                    yield _codes(ids[rows], codes)
+def code_bitmap(own: DataFrame) -> np.ndarray:
+    """Bytes of the bitmap in which the bits that the codes lead to are set."""
+    at = F.pmod("code", F.lit(FILTER_BITS))
+    pieces = own.groupBy((at / PIECE_BITS).cast("long").alias("piece")).agg(F.bitmap_construct_agg(at % PIECE_BITS).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in pieces:
+        first = row["piece"] * PIECE_BITS // 8
+        out[first : first + PIECE_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``id, other`` of words that differ by one edit, both ways. ``words``: ``id, word``, distinct words."""
-    text_session(words.sparkSession)
+    spark = text_session(words.sparkSession)
     schema = "id long, code long"
     own = materialize(words.select("id", "word").mapInArrow(_own, schema), "reduced").select(c("id").alias("other"), "code")
-    met = words.select("id", "word").mapInArrow(_near, schema).join(own, "code").where("id <> other").select("id", "other")
+    bitmap = spark.sparkContext.broadcast(code_bitmap(own))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+
+        def known(ids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+            at = codes % np.uint64(8 * len(bits))
+            kept = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            return _codes(ids[kept], codes[kept])
+
+        for batch in batches:
+            for ids, symbols in _by_length(batch):
+                yield _codes(ids, own_codes(symbols))
+                for first in range(0, symbols.shape[1] + 1, PIECE):
+                    edits = neighbour_codes(symbols, first, min(first + PIECE, symbols.shape[1] + 1))
+                    rows, codes = (np.concatenate(x) for x in zip(*edits, strict=True))
+                    yield known(ids[rows], codes)
+
+    met = words.select("id", "word").mapInArrow(near, schema).join(own, "code").where("id <> other").select("id", "other")
     spelled = {k: words.select(c("id").alias(k), c("word").alias(f"{k}_word")) for k in ("id", "other")}
     both = met.join(spelled["id"], "id").join(spelled["other"], "other")
     return both.where(F.levenshtein("id_word", "other_word", 1) == 1).select("id", "other")

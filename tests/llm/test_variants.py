@@ -67,9 +67,11 @@ def test_neighbourhood_is_whole(monkeypatch, piece):
             assert sorted(codes) == sorted(want + empty)
 
 
-@pytest.mark.parametrize("symbols", [1, 2, 8])
-def test_groups(spark, monkeypatch, symbols):
+@pytest.mark.parametrize(("symbols", "bits"), [(1, 1 << 27), (2, 1 << 15), (8, 1 << 27)])
+def test_groups(spark, monkeypatch, symbols, bits):
+    """Also with few symbols and with a bitmap so small that it is full."""
     monkeypatch.setattr(variants, "SYMBOLS", symbols)
+    monkeypatch.setattr(variants, "FILTER_BITS", bits)
     r = random.Random(symbols)
     counts = {}
     for _ in range(40):
