@@ -5,9 +5,9 @@ character, which makes it a new phrase. A text's fingerprint is the ``SIZE`` sma
 of phrases. The likeness of two fingerprints is the share of the smallest hashes of both together that
 both have, which estimates the Jaccard similarity of the sets of phrases.
 
-All beginnings of a phrase are phrases, so the longest match is sought from the length of the one before,
-up or down. Phrases that end within the part that an edited text shares with its original are the same,
-so the edited text is parsed from there on.
+All beginnings of a phrase are phrases, so they are kept as a tree, in which a character is one step, however
+long the phrases get. Phrases that end within the part that an edited text shares with its original are
+the same, so the edited text is parsed from there on.
 
 ``compare_in_order`` walks through a table in descending order of ids. Rows are dealt by ranges and
 sorted by Spark; a task streams through its rows and holds two of them at a time. The first row of a
@@ -22,52 +22,74 @@ table of one row is the row itself. A table without rows gives none. Other colum
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantspan.llm.text import text_session
+from quantspan.llm.text import mix, text_session
 from quantspan.session import materialize
 
 #: Hashes in a fingerprint, of 32 bits each.
 SIZE = 64
 
+#: Points of a text whose phrases are hashed at a time, and bits of a code point.
+SEGMENT, POINT_BITS = 1 << 16, 21
+_BASE = 0x9E3779B97F4A7C15
+
 c = F.col
 
 
-def parse(text: str, start: int, known: set[str], phrases: list[str]) -> None:
-    """Phrases of ``text`` from ``start`` on; ``known`` holds those met before. Both are added to."""
-    size, at = len(text), start
-    length = 0
-    while at < size:
-        if text[at : at + length] in known:
-            while at + length < size and text[at : at + length + 1] in known:
-                length += 1
-        else:
-            length -= 1
-            while length > 0 and text[at : at + length] not in known:
-                length -= 1
-            length = max(length, 0)
-        stop = at + length + 1
-        if stop > size:  # what is left is a phrase met before
-            return
-        phrase = text[at:stop]
-        known.add(phrase)
-        phrases.append(phrase)
-        at = stop
-
-
-def sketch(phrases: list[str]) -> np.ndarray:
-    """The smallest hashes of distinct phrases, in order."""
-    digest = xxhash.xxh32_intdigest
-    hashes = np.fromiter((digest(p.encode()) for p in phrases), np.uint32, len(phrases))
+def parse(points: list[int], start: int, steps: dict[int, int], ends: list[int]) -> None:
+    """Where the phrases of a text (code points) from ``start`` on end; ``ends`` has those before, and is added to.
+
+    A phrase is a node of a tree, its number the place in ``ends``, from 1 on; ``steps`` leads from a node (its number
+    shifted by ``POINT_BITS``) and a point to a node. It has one step a phrase, in their order. What is left at the end
+    is a phrase met before.
+    """
+    node, new = 0, (len(ends) + 1) << POINT_BITS
+    step = steps.get
+    for at, point in enumerate(points[start:] if start else points, start + 1):
+        key = node | point
+        node = step(key)
+        if node is None:
+            steps[key] = new
+            new += 1 << POINT_BITS
+            node = 0
+            ends.append(at)
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``2 ** bits`` of them."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, x, np.uint64)])) for x in (_BASE, inverse))
+
+
+def phrase_hashes(points: np.ndarray, first: int, ends: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the phrases that lie end to end from ``first`` on."""
+    starts = np.concatenate([[first], ends[:-1]])[: len(ends)]
+    out = [np.empty(0, np.uint32)]
+    for group in np.split(np.arange(len(ends)), np.flatnonzero(np.diff((starts - first) // SEGMENT)) + 1):
+        if not len(group):
+            continue
+        low, high = starts[group[0]], ends[group[-1]]
+        up, down = _powers(max(12, int(high - low).bit_length()))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((points[low:high] + np.uint64(1)) * up[: high - low], dtype=np.uint64)])
+        own = (sums[ends[group] - low] - sums[starts[group] - low]) * down[starts[group] - low]
+        out.append((mix(own) >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate(out)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of the hashes, in order."""
     if len(hashes) > 4 * SIZE:
         hashes = hashes[hashes <= np.partition(hashes, 2 * SIZE)[2 * SIZE]]
     return np.unique(hashes)[:SIZE]
@@ -77,8 +99,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share of the smallest hashes of both fingerprints that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    least = np.union1d(a, b)[:SIZE]
-    return float(np.isin(least, a).astype(int) @ np.isin(least, b)) / len(least)
+    both = np.sort(np.concatenate([a, b]))
+    again = both[1:] == both[:-1]
+    least = both[np.concatenate([[True], ~again])][:SIZE]
+    return float((both[1:][again] <= least[-1]).sum()) / len(least)
 
 
 class Parsed:
@@ -86,26 +110,27 @@ class Parsed:
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self.known: set[str] = {""}
-        self.phrases: list[str] = []
-        parse(self.text, 0, self.known, self.phrases)
-        self.fingerprint = sketch(self.phrases)
+        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        self.steps: dict[int, int] = {}
+        self.ends: list[int] = []
+        parse(points.tolist(), 0, self.steps, self.ends)
+        self.hashes = phrase_hashes(points, 0, np.array(self.ends, np.int64))
+        self.fingerprint = sketch(self.hashes)
 
     def edited(self, keep: int, tail: str) -> tuple[str, np.ndarray]:
         """The first ``keep`` characters and then ``tail``, and the fingerprint of that. Uses up the phrases."""
         new = self.text[:keep] + tail
         if new == self.text:
             return new, self.fingerprint
-        at = same = 0
-        for phrase in self.phrases:
-            if at + len(phrase) > keep:
-                break
-            at += len(phrase)
-            same += 1
-        self.known.difference_update(self.phrases[same:])
-        del self.phrases[same:]
-        parse(new, at, self.known, self.phrases)
-        return new, sketch(self.phrases)
+        same = bisect_right(self.ends, keep)
+        for _ in range(len(self.ends) - same):
+            self.steps.popitem()
+        del self.ends[same:]
+        first = self.ends[-1] if same else 0
+        points = np.frombuffer(new.encode("utf-32-le"), np.uint32)
+        parse(points.tolist(), first, self.steps, self.ends)
+        added = phrase_hashes(points, first, np.array(self.ends[same:], np.int64))
+        return new, sketch(np.concatenate([self.hashes[:same], added]))
 
 
 def fingerprint(text: str | None) -> np.ndarray:
