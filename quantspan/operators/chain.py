@@ -196,23 +196,42 @@ _DECISION = (
 )
 
 
-def replay_decisions(events: DataFrame) -> DataFrame:
-    """Decision table from its events, one aggregation per id.
+#: What is kept of a decision's events: the last of each kind, with what it says.
+DECISION_PARTS = (
+    "chain_id string, id string, made long, accepted long, superseded long, "
+    "c struct<ts: timestamp, title: string, status: string, owner: string, vault_path: string, content_hash: string>, `by` string"
+)
 
-    ``create`` replaces the row, ``accept`` and ``supersede`` change the row that exists, so
-    each counts only after the last ``create``; updates of an unknown id do nothing.
-    """
+
+def decision_parts(events: DataFrame) -> DataFrame:
+    """The last ``create``, ``accept`` and ``supersede`` of each decision, one aggregation per id."""
     rows = events.where("event_type = 'decision'").select(
         "chain_id", "seq", F.timestamp_millis("ts_ms").alias("ts"), F.from_json("payload", _DECISION).alias("p")
     )
     act = F.col("p.action")
-    grouped = rows.groupBy("chain_id", F.col("p.id").alias("id")).agg(
+    made = F.struct("ts", *[F.col(f"p.{x}").alias(x) for x in ("title", "status", "owner", "vault_path", "content_hash")])
+    return rows.groupBy("chain_id", F.col("p.id").alias("id")).agg(
         F.max(F.when(act == "create", F.col("seq"))).alias("made"),
         F.max(F.when(act == "accept", F.col("seq"))).alias("accepted"),
         F.max(F.when(act == "supersede", F.col("seq"))).alias("superseded"),
-        _at(act == "create", F.struct("ts", "p.*")).alias("c"),
+        _at(act == "create", made).alias("c"),
         _at(act == "supersede", F.col("p.superseded_by")).alias("by"),
     )
+
+
+def merge_decisions(parts: DataFrame) -> DataFrame:
+    """Parts of several batches as parts of all of them."""
+    return parts.groupBy("chain_id", "id").agg(
+        *[F.max(x).alias(x) for x in ("made", "accepted", "superseded")], F.max_by("c", "made").alias("c"), F.max_by("by", "superseded").alias("by")
+    )
+
+
+def decision_view(parts: DataFrame) -> DataFrame:
+    """The decision table.
+
+    ``create`` replaces the row, ``accept`` and ``supersede`` change the row that exists, so
+    each counts only after the last ``create``; updates of an unknown id do nothing.
+    """
     made = F.col("made")
     acc, sup = F.when(F.col("accepted") > made, F.col("accepted")), F.when(F.col("superseded") > made, F.col("superseded"))
     status = (
@@ -220,7 +239,7 @@ def replay_decisions(events: DataFrame) -> DataFrame:
         .when(sup.isNotNull(), F.lit("superseded"))
         .otherwise(F.coalesce("c.status", F.lit("proposed")))
     )
-    return grouped.where(made.isNotNull()).select(
+    return parts.where(made.isNotNull()).select(
         "chain_id",
         "id",
         F.col("c.title").alias("title"),
@@ -234,6 +253,11 @@ def replay_decisions(events: DataFrame) -> DataFrame:
     )
 
 
+def replay_decisions(events: DataFrame) -> DataFrame:
+    """Decision table from its events."""
+    return decision_view(decision_parts(events))
+
+
 _RULE = (
     "op STRING, id STRING, rule_type STRING, instrument STRING, "
     "window_spec STRUCT<event: STRING, event_ts: TIMESTAMP, pre_min: DOUBLE, post_min: DOUBLE>, "
@@ -241,25 +265,48 @@ _RULE = (
 )
 
 
-def replay_rules(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rule table, rejected create events) from rule events; a rule may only restrict."""
+#: What is kept of a rule's events.
+RULE_PARTS = (
+    "chain_id string, id string, made long, stopped long, "
+    "c struct<ts: timestamp, rule_type: string, instrument: string, "
+    "window_spec: struct<event: string, event_ts: timestamp, pre_min: double, post_min: double>, "
+    "action: string, params: map<string,string>, active: int>"
+)
+
+
+def _rule_rows(events: DataFrame) -> DataFrame:
     rows = events.where("event_type = 'ontology_rule'").select(
         "chain_id", "seq", F.timestamp_millis("ts_ms").alias("ts"), F.from_json("payload", _RULE).alias("p")
     )
-    op = F.coalesce("p.op", F.lit("create"))
     legal = F.coalesce(F.col("p.action").isin(*DOMAINS["rule_action"]), F.lit(False))
-    rejected = rows.where((op == "create") & ~legal).select("chain_id", "seq", "ts", "p.*")
-    grouped = (
-        rows.where((op == "deactivate") | legal)
+    return rows.withColumns({"op": F.coalesce("p.op", F.lit("create")), "legal": legal})
+
+
+def rule_parts(events: DataFrame) -> DataFrame:
+    """The last legal ``create`` and the last ``deactivate`` of each rule; a rule may only restrict."""
+    made = F.struct("ts", *[F.col(f"p.{x}").alias(x) for x in ("rule_type", "instrument", "window_spec", "action", "params", "active")])
+    op = F.col("op")
+    return (
+        _rule_rows(events)
+        .where((op == "deactivate") | F.col("legal"))
         .groupBy("chain_id", F.col("p.id").alias("id"))
         .agg(
             F.max(F.when(op == "create", F.col("seq"))).alias("made"),
             F.max(F.when(op == "deactivate", F.col("seq"))).alias("stopped"),
-            _at(op == "create", F.struct("ts", "p.*")).alias("c"),
+            _at(op == "create", made).alias("c"),
         )
     )
+
+
+def merge_rules(parts: DataFrame) -> DataFrame:
+    """Parts of several batches as parts of all of them."""
+    return parts.groupBy("chain_id", "id").agg(F.max("made").alias("made"), F.max("stopped").alias("stopped"), F.max_by("c", "made").alias("c"))
+
+
+def rule_view(parts: DataFrame) -> DataFrame:
+    """The rule table."""
     off = F.coalesce(F.col("stopped") > F.col("made"), F.lit(False))
-    table = grouped.where("made is not null").select(
+    return parts.where("made is not null").select(
         "chain_id",
         "id",
         F.col("c.ts").alias("ts"),
@@ -271,7 +318,12 @@ def replay_rules(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(off, F.col("stopped")).otherwise(F.col("made")).alias("audit_id"),
         (~off & (F.coalesce("c.active", F.lit(1)) == 1)).alias("active"),
     )
-    return table, rejected
+
+
+def replay_rules(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule table, rejected create events) from rule events."""
+    rejected = _rule_rows(events).where((F.col("op") == "create") & ~F.col("legal")).select("chain_id", "seq", "ts", "p.*")
+    return rule_view(rule_parts(events)), rejected
 
 
 def trade_events(trades: DataFrame) -> DataFrame:

@@ -647,3 +647,7 @@ SELECT instrument, d AS pos, CASE WHEN sgn = 1 THEN 'LONG' ELSE 'SHORT' END AS d
        coalesce(previous_level, 'normal') <> gate_level AS tripped FROM gates""",
     "stream_unique": "SELECT l_suppkey::VARCHAR AS sleeve_id, track, count(DISTINCT l_shipdate) AS n_points FROM lineitem, (VALUES ('A'), ('B')) t(track) GROUP BY 1, 2",
 }
+
+ORACLE["stored_accounts"] = ORACLE["upserted_accounts"]
+ORACLE["live_projection"] = f"""SELECT 'decision' AS kind, id, status, superseded_by AS detail, audit_id FROM ({ORACLE["decision_replay"]})
+UNION ALL SELECT 'rule', id, action, CASE WHEN active THEN 'active' ELSE 'off' END, audit_id FROM ({ORACLE["rule_replay"]})"""

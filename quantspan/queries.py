@@ -31,8 +31,9 @@ from quantspan.sources import index
 from quantspan.sources.bars import bars_from_events, first_source, normalize_bars, read_bars
 from quantspan.sources.logs import append_log, log_lines, read_log, write_lines
 from quantspan.sources.notes import content_hash, frontmatter_problems, parse_notes
+from quantspan.sources.stored import StoredTable
 from quantspan.sources.tables import insert_absent, latest_per_key, spread, upsert
-from quantspan.streaming import stateful
+from quantspan.streaming import projection, stateful
 
 BASE_PRICE = 1000.0
 START_CENTS = 20_000_000
@@ -784,6 +785,25 @@ def rule_replay(spark, folder):
     )
 
 
+@query
+def live_projection(spark, folder):
+    """Decisions and rules as a stream of log files keeps them, after the whole log has come a second time."""
+    make = lambda df, name: df.select(
+        F.lit(name).alias("chain_id"), c("seq").alias("n"), F.timestamp_millis("ts_ms").alias("ts"), F.lit("agent").alias("actor"), "event_type",
+        F.lit("k").alias("event_key"), "payload",
+    )
+    events = make(decision_events(spark, folder), "decisions").union(make(rule_events(spark, folder), "rules"))
+    root, state = fresh_path(spark, "log"), fresh_path(spark, "state")
+    append_log(chain.append_events(events, ["n"], "n"), root)
+    tables = projection.state_tables(spark, state)
+    for run in ("first", "again"):
+        projection.project_log(projection.stream_log(spark, root, per_trigger=4), tables, f"{state}/{run}-offsets")
+    made = projection.decisions(tables).select(F.lit("decision").alias("kind"), "id", "status", "superseded_by", *whole("audit_id"))
+    state_of = F.when(c("active"), "active").otherwise("off")
+    kept = projection.rules(tables).select(F.lit("rule").alias("kind"), "id", c("action").alias("status"), state_of.alias("superseded_by"), *whole("audit_id"))
+    return made.union(kept).withColumnRenamed("superseded_by", "detail")
+
+
 @query
 def rejected_rules(spark, folder):
     _, bad = chain.replay_rules(rule_events(spark, folder))
@@ -923,6 +943,19 @@ def upserted_accounts(spark, folder):
     return upsert(base, newest, ["id"])
 
 
+@query
+def stored_accounts(spark, folder):
+    """The same in a stored table: customers first, then orders in two batches, the second of which comes twice."""
+    accounts_ = StoredTable(spark, fresh_path(spark, "accounts"), "id long, v double, at long", ("id",))
+    base = table(spark, folder, "customer").select(c("c_custkey").alias("id"), c("c_acctbal").alias("v"), F.lit(-1).cast("long").alias("at"))
+    new = table(spark, folder, "orders").select((c("o_custkey") * 2).alias("id"), c("o_totalprice").alias("v"), c("o_orderkey").alias("at"))
+    accounts_.upsert(base)
+    middle = new.agg(F.expr("percentile_approx(at, 0.5)")).first()[0]
+    for batch, rows in enumerate((new.where(c("at") <= middle), new.where(c("at") > middle), new.where(c("at") > middle))):
+        accounts_.upsert(rows, order=["at"], writer="orders", batch=min(batch, 1))
+    return accounts_.read().select("id", "v")
+
+
 @query
 def absent_customers(spark, folder):
     """Customers that no order has under twice their key."""
