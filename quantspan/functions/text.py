@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The patterns of the note format and of tokens.
 FRONTMATTER = r"(?s)^---\n(.*?)\n---\n"
 LINK = r"\[\[([^\]]+)\]\]"
 QUERY_TOKEN = "([a-z0-9]+)"

@@ -125,6 +125,11 @@ def gate_trip_events(gates: DataFrame) -> DataFrame:
     )
 
 
+def worst_drawdown(curve: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The largest drawdown so far per key of an equity curve with ``dd``."""
+    return curve.groupBy(*keys).agg(F.max("dd").alias("max_dd_pct"))
+
+
 def current_gate(gates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return latest_per_key(gates, keys, ["ts"])
 

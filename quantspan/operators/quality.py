@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,29 @@ def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFr
     return orphans(refs, fk, parent, pk)
 
 
+def registry_problems(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, check, n_bad) of every declared domain, unique key and reference of the tables that are given.
+
+    Domains of a table are counted in one scan; a key that breaks its uniqueness counts once, a reference
+    without a parent row counts each time. Columns that a table lacks are not checked.
+    """
+    out = []
+    for name, checks in table_checks().items():
+        if name in tables:
+            out.append(check_counts(tables[name], checks).withColumn("table", F.lit(name)))
+    count = lambda df, of, label: df.agg(of.alias("n_bad")).select(F.lit(label).alias("check"), "n_bad")
+    for name, keys in UNIQUE_KEYS.items():
+        if name in tables and set(keys) <= set(tables[name].columns):
+            bad = unique_violations(tables[name], keys)
+            out.append(count(bad, F.count(F.lit(1)), f"unique({','.join(keys)})").withColumn("table", F.lit(name)))
+    for child, fk, parent, pk in FOREIGN_KEYS:
+        if child in tables and parent in tables and fk in tables[child].columns:
+            lost = orphan_keys(tables[child], fk, tables[parent], pk)
+            total = F.coalesce(F.sum("n_rows"), F.lit(0))
+            out.append(count(lost, total, f"{fk} in {parent}").withColumn("table", F.lit(child)))
+    return reduce(DataFrame.unionByName, out).select("table", "check", "n_bad")
+
+
 def unfilled_executions(executions: DataFrame, trades: DataFrame) -> DataFrame:
     """Executions whose trade is missing or was not filled."""
     filled = trades.where("status = 'filled'").select(F.col("id").alias("trade_id"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantspan.functions.prices import go_verdict
 from quantspan.sources.tables import latest_per_key
@@ -65,6 +66,9 @@ def sleeve_cards(sleeves: DataFrame, backtests: DataFrame) -> DataFrame:
 
 
 def recent_regimes(regimes: DataFrame, limit: int = RECENT) -> DataFrame:
+    """The latest regime rows. ``features`` is a map, or JSON text; without ``d_topo`` it counts as 0."""
+    as_map = isinstance(regimes.schema["features"].dataType, T.MapType)
+    d_topo = F.col("features")["d_topo"] if as_map else F.get_json_object("features", "$.d_topo").try_cast("double")
     return (
         regimes.orderBy(F.col("ts").desc(), "id")
         .limit(limit)
@@ -72,7 +76,7 @@ def recent_regimes(regimes: DataFrame, limit: int = RECENT) -> DataFrame:
             F.col("id").alias("regime_id"),
             "classifier",
             F.col("regime_label").alias("regime"),
-            F.round(F.coalesce(F.col("features")["d_topo"], F.lit(0.0)), 6).alias("d_topo"),
+            F.round(F.coalesce(d_topo, F.lit(0.0)), 6).alias("d_topo"),
             "ts",
         )
     )

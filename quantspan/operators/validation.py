@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspan.functions.prices import go_verdict
+from quantspan.operators.chain import append_events
 from quantspan.operators.crossval import n_paths, path_sharpes
 from quantspan.operators.pbo import pbo
 from quantspan.operators.returns import DEFAULT_LOOKBACKS, max_drawdown, strategy_returns
 from quantspan.operators.sharpe import cell_moments, config_stats, deflated_sharpe
 from quantspan.plans.blocks import DAY
 from quantspan.session import materialize
+from quantspan.sources.logs import append_log, read_log
 
 
 def best_config(stats: DataFrame) -> DataFrame:
@@ -107,10 +109,32 @@ def validate_sleeves(
     return metrics.withColumn("verdict", go_verdict(F.col("dsr"), F.col("pbo")))
 
 
-def backtest_events(metrics: DataFrame, commit: str | Column = "untracked") -> DataFrame:
-    """The log events that record validation results."""
+def record_backtests(
+    metrics: DataFrame, log: str, ts: Column, commit: str = "untracked", config: Column | None = None, chain_id: str = "backtests"
+) -> DataFrame:
+    """Validation rows as the result table keeps them, each with the log event it was recorded by.
+
+    An event a sleeve, in name order, goes on the end of the chain in ``log``; its number is the row's
+    ``audit_id``. ``config`` (JSON) defaults to the settings of the run.
+    """
+    rows = materialize(metrics.withColumn("ts", ts), "metrics")
+    settings = F.to_json(F.struct("candidate_col", "n_configs", "n_combos", "median_logit", "embargo_pct", "purge_pct"))
+    events = backtest_events(rows, commit, "ts").withColumn("chain_id", F.lit(chain_id))
+    before = read_log(rows.sparkSession, log)
+    linked = materialize(append_events(events, ["event_key"], "event_key", before, canonical=True), "linked")
+    append_log(linked, log)
+    recorded = linked.select(F.col("event_key").alias("sleeve_id"), F.col("seq").alias("audit_id"))
+    return rows.join(recorded, "sleeve_id").select(
+        "sleeve_id", F.lit(commit).alias("git_commit"), "ts", "n_paths", "sharpe_mean", "sharpe_std", "dsr", "pbo", "max_dd_pct", "calmar",
+        "embargo_pct", "purge_pct", (settings if config is None else config).alias("config_json"), "audit_id",
+    )
+
+
+def backtest_events(metrics: DataFrame, commit: str | Column = "untracked", *more: str) -> DataFrame:
+    """The log events that record validation results, with ``more`` columns of theirs."""
     commit = F.lit(commit) if isinstance(commit, str) else commit
     return metrics.select(
+        *more,
         F.lit("agent:research").alias("actor"),
         F.lit("backtest").alias("event_type"),
         F.col("sleeve_id").alias("event_key"),

@@ -543,9 +543,43 @@ sums AS (
          count_if(coalesce(bad IN ('payload_hash', 'prev_hash') OR (bad = 'seq' AND seq < size), false)) = 0 AS table_ok
   FROM edited JOIN (SELECT chain_id, max(seq) AS size FROM links GROUP BY 1) USING (chain_id) GROUP BY 1)
 SELECT chain_id, n AS log_n, n AS table_n, log_ok, table_ok, log_ok AND table_ok AND log_tip = table_tip AS agree, log_tip FROM sums""",
-    "log_round_trip": "SELECT source AS chain_id, count(*) AS n_events, true AS ok FROM documents GROUP BY 1",
-    "audit_agreement": """SELECT source AS chain_id, count(*) AS log_n, count(*) AS table_n, true AS log_ok, true AS table_ok, true AS agree
-FROM documents GROUP BY 1""",
+    "log_round_trip": f"""WITH RECURSIVE {EDITED.replace("ORDER BY doc_id)", "ORDER BY doc_id % 2, doc_id)")}
+SELECT chain_id, count(*) AS n_events, true AS ok, arg_max(chain_hash, seq) AS tip FROM links GROUP BY 1""",
+    "audit_agreement": f"""WITH RECURSIVE {CHAIN}
+SELECT chain_id, count(*) AS log_n, count(*) AS table_n, true AS log_ok, true AS table_ok, true AS agree,
+       arg_max(chain_hash, seq) AS log_tip, arg_max(chain_hash, seq) AS table_tip FROM links GROUP BY 1""",
+    "worst_drawdowns": f"WITH {EQUITY} SELECT sleeve_id, 'B' AS track, round(max(dd), 6) + 0.0::DOUBLE AS max_dd_pct FROM ddc GROUP BY 1",
+    "gate_trip_log": f"""WITH {EQUITY}
+SELECT row_number() OVER (ORDER BY ts, sleeve_id) AS seq, gate_level AS to_level, sleeve_id, coalesce(previous_level, 'normal') AS from_level,
+       current_dd_pct AS drawdown_pct, strftime(ts, '%Y-%m-%d') AS day, true AS ok
+FROM gates WHERE coalesce(previous_level, 'normal') <> gate_level""",
+    "trade_log": f"""WITH {TRADES}
+SELECT sleeve_id AS chain_id, row_number() OVER (PARTITION BY sleeve_id ORDER BY ts, id) AS seq, 'agent:sleeve:' || sleeve_id AS actor, instrument, side,
+       size_target::BIGINT AS size, status, id AS trade_id, CASE WHEN status = 'vetoed' THEN 'REJECT' ELSE 'APPROVE' END AS verdict FROM trades""",
+    "injected_rules_log": f"""WITH {SIGNALS}, {RULES},
+r AS (SELECT *, split_part(id, '_', 2)::BIGINT AS k FROM rules)
+SELECT id, strftime(TIMESTAMP '1970-01-01' + to_seconds(ts_s), '%Y-%m-%d %H:%M:%S') AS ts,
+       CASE WHEN block THEN 'instrument_block' ELSE 'event_window' END AS rule_type, instrument, action,
+       CASE WHEN k % 4 <> 0 THEN ((k % 5) * 0.25)::DOUBLE::VARCHAR END AS size_mult, 'event ' || k AS event, (k % 12 * 720)::DOUBLE AS pre_min,
+       strftime(event_ts, '%Y-%m-%d') AS event_day, row_number() OVER (ORDER BY ts_s, id) AS audit_id FROM r WHERE k % 8 <> 5""",
+    "recent_regime_rows": f"""SELECT event_id AS regime_id, event_type AS classifier,
+       CASE WHEN round(value / 10000, 6) > 0.02 THEN 'shift' ELSE 'stable' END AS regime,
+       CASE WHEN event_id % 3 <> 0 THEN coalesce(round(value / 10000, 6), 0) ELSE 0 END + 0.0::DOUBLE AS d_topo, {_TS}
+FROM (SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 50)""",
+    "registry_counts": f"""WITH {EQUITY}, {CARDS},
+p AS (SELECT count(*) AS n, count_if(day(ts) = 31) AS wrong, count_if(day(ts) = 2) AS twice, count_if(day(ts) = 31 AND day(ts) = 2) AS both FROM eq)
+SELECT 'sleeves' AS "table", 'track' AS "check", 0 AS n_bad UNION ALL SELECT 'sleeves', 'status', 0
+UNION ALL SELECT 'sleeves', 'dsr', count(*) FROM supplier UNION ALL SELECT 'sleeves', 'pbo', 0
+UNION ALL SELECT 'trades', 'track', 0 UNION ALL SELECT 'trades', 'side', 0 UNION ALL SELECT 'trades', 'status', 0
+UNION ALL SELECT 'trades', 'sleeve_id in sleeves', count_if(o_orderkey % 11 = 0 OR o_custkey % 10 + 1 NOT IN (SELECT s_suppkey FROM supplier)) FROM orders
+UNION ALL SELECT 'executions', 'side', count_if(l_linenumber = 7) FROM lineitem
+UNION ALL SELECT 'executions', 'trade_id in trades', count_if(l_orderkey NOT IN (SELECT o_orderkey FROM orders)) FROM lineitem
+UNION ALL SELECT 'equity_curve', 'track', 2 * wrong FROM p UNION ALL SELECT 'equity_curve', 'unique(ts,sleeve_id,track)', 0
+UNION ALL SELECT 'equity_curve', 'sleeve_id in sleeves', n FROM p
+UNION ALL SELECT 'backtest_results', 'n_paths', count_if(n_paths < 10) FROM bt
+UNION ALL SELECT 'backtest_results', 'pbo', count_if(pbo * 100 > 1) FROM bt
+UNION ALL SELECT 'ontology_rules', 'action', count_if(s_suppkey % 10 = 9) FROM supplier
+UNION ALL SELECT 'risk_gates_state', 'gate_level', 0""",
     "decision_replay": """WITH e AS (
   SELECT o_orderkey AS k, 'DEC-' || (o_custkey % 997) AS id, o_orderkey + 1 AS seq,
          ['create', 'accept', 'supersede', 'accept'][o_orderkey % 4 + 1] AS a FROM orders),
@@ -651,3 +685,6 @@ SELECT instrument, d AS pos, CASE WHEN sgn = 1 THEN 'LONG' ELSE 'SHORT' END AS d
 ORACLE["stored_accounts"] = ORACLE["upserted_accounts"]
 ORACLE["live_projection"] = f"""SELECT 'decision' AS kind, id, status, superseded_by AS detail, audit_id FROM ({ORACLE["decision_replay"]})
 UNION ALL SELECT 'rule', id, action, CASE WHEN active THEN 'active' ELSE 'off' END, audit_id FROM ({ORACLE["rule_replay"]})"""
+ORACLE["backtest_rows"] = f"""SELECT sleeve_id, 'abc123' AS git_commit, '2026-01-02 03:04:05' AS ts, n_paths,
+  row_number() OVER (ORDER BY sleeve_id) AS audit_id, sharpe_mean, sharpe_std, dsr, pbo, max_dd_pct, calmar, candidate_col, sleeve_id AS logged
+FROM ({ORACLE["sleeve_validation"]})"""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
+from quantspan.functions.prices import regime_label, shift_posterior
 from quantspan.functions.text import query_tokens
 from quantspan.operators import bma, chain, gates, ontology, quality, regime, reports, retrieval, risk, rules
 from quantspan.operators.bars import bar_quality, split_valid
@@ -24,7 +25,7 @@ from quantspan.operators.crossval import cpcv_splits, path_sharpes
 from quantspan.operators.pbo import cscv_logits, pbo
 from quantspan.operators.returns import bar_returns, max_drawdown, rolling_features, strategy_returns
 from quantspan.operators.sharpe import cell_moments, sharpe_moments
-from quantspan.operators.validation import dsr_table, validate_sleeves
+from quantspan.operators.validation import dsr_table, record_backtests, validate_sleeves
 from quantspan.plans.asof import asof_join
 from quantspan.session import fresh_path, materialize, prepare
 from quantspan.sources import index
@@ -555,6 +556,107 @@ def global_gate_trips(spark, folder):
     return df.select("sleeve_id", when_text(), "previous_level", "gate_level")
 
 
+@query
+def worst_drawdowns(spark, folder):
+    df = gates.worst_drawdown(gates.drawdown_curve(equity(spark, folder)))
+    return df.select("sleeve_id", "track", *rounded(6, "max_dd_pct"))
+
+
+def _logged(events, order, row_key):
+    """Events appended to a log of their own and read back, their payloads as written."""
+    root = fresh_path(events.sparkSession, "log")
+    append_log(chain.append_events(events, order, row_key, canonical=True), root)
+    return materialize(read_log(events.sparkSession, root), "read-back")
+
+
+@query
+def gate_trip_log(spark, folder):
+    """Level changes as the log has them: numbered in time order, and whether the payload has its hash."""
+    state = materialize(gates.gate_history(equity(spark, folder)), "gates")
+    events = gates.gate_trip_events(state).withColumn("sleeve_id", F.get_json_object("payload", "$.sleeve_id"))
+    events = events.withColumns({"chain_id": F.lit("gates"), "key": F.concat_ws("|", "ts", "sleeve_id")})
+    log = _logged(events, ["ts", "sleeve_id"], "key")
+    field = lambda x: F.get_json_object("payload", f"$.{x}")
+    return log.select(
+        *whole("seq"), c("event_key").alias("to_level"), field("sleeve_id").alias("sleeve_id"), field("from_level").alias("from_level"),
+        field("drawdown_pct").cast("double").alias("drawdown_pct"), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd").alias("day"),
+        (c("computed_hash") == c("payload_hash")).alias("ok"),
+    )
+
+
+@query
+def trade_log(spark, folder):
+    """Trades as the logs of their sleeves have them, in time order."""
+    rows = trades(spark, folder).withColumn("verdict", F.when(c("status") == "vetoed", "REJECT").otherwise("APPROVE"))
+    events = chain.trade_events(rows).withColumn("id", F.get_json_object("payload", "$.trade_id").cast("long"))
+    log = _logged(events.withColumn("chain_id", c("event_key")), ["ts", "id"], "id")
+    p = F.from_json("payload", "instrument string, side string, size int, status string, trade_id long, verdict string")
+    return log.select("chain_id", *whole("seq"), "actor", p.alias("p")).select("chain_id", "seq", "actor", "p.instrument", "p.side", c("p.size").cast("long").alias("size"), "p.status", "p.trade_id", "p.verdict")
+
+
+@query
+def injected_rules_log(spark, folder):
+    """Rule requests through the log: rejected ones are not in it, accepted ones come back as rules, in time order."""
+    rows = injected_rules(spark, folder)
+    number = F.substring("id", 6, 20).cast("long")
+    requests = rows.select(
+        c("id").alias("rule_id"), "ts", "rule_type", "instrument", "window", F.when(number % 8 == 5, "approve").otherwise(c("action")).alias("action"),
+        "params", F.concat(F.lit("about \"event\" "), number.cast("string")).alias("description"), F.lit("desk").alias("owner"),
+    )
+    accepted, _ = ontology.split_requests(requests)
+    events = ontology.injection_events(accepted).withColumn("chain_id", F.lit("rules"))
+    table_, _ = chain.replay_rules(_logged(events, ["ts", "event_key"], "event_key"))
+    df = ontology.active_rules(table_)
+    return df.select(
+        "id", when_text(), "rule_type", "instrument", "action", c("params")["size_mult"].alias("size_mult"), c("window.event").alias("event"),
+        c("window.pre_min").alias("pre_min"), F.date_format("window.event_ts", "yyyy-MM-dd").alias("event_day"), *whole("audit_id"),
+    )
+
+
+@query
+def backtest_rows(spark, folder):
+    """Validation results as stored: with time, commit, settings and the number of the event that recorded them."""
+    metrics, log = validate_sleeves(bars(spark, folder)), fresh_path(spark, "log")
+    df = record_backtests(metrics.drop("verdict"), log, F.lit("2026-01-02 03:04:05").cast("timestamp"), "abc123")
+    event = read_log(spark, log).select(c("seq").alias("audit_id"), F.get_json_object("payload", "$.sleeve_id").alias("logged"))
+    return df.join(event, "audit_id").select(
+        "sleeve_id", "git_commit", when_text(), *whole("n_paths", "audit_id"), *rounded(6, "sharpe_mean", "sharpe_std", "dsr", "pbo", "max_dd_pct", "calmar"),
+        F.get_json_object("config_json", "$.candidate_col").cast("long").alias("candidate_col"), "logged",
+    )
+
+
+@query
+def recent_regime_rows(spark, folder):
+    """The latest regimes, labelled by a distance that is kept as JSON."""
+    d = F.round(c("value") / 10_000, 6)
+    rows = table(spark, folder, "events").select(
+        c("event_id").alias("id"), c("ts").cast("timestamp").alias("ts"), c("event_type").alias("classifier"), regime_label(d).alias("regime_label"),
+        F.when(c("event_id") % 3 != 0, F.to_json(F.struct(d.alias("d_topo"), shift_posterior(d).alias("posterior")))).alias("features"),
+    )
+    return reports.recent_regimes(rows).select("regime_id", "classifier", "regime", "d_topo", when_text())
+
+
+@query
+def registry_counts(spark, folder):
+    """Every declared domain, key and reference over seven tables, in which some rows are wrong."""
+    line = table(spark, folder, "lineitem")
+    fills = line.select(
+        c("l_orderkey").alias("trade_id"), F.when(c("l_linenumber") == 7, "flat").when(c("l_linenumber") == 1, "long").otherwise("short").alias("side")
+    )
+    points = equity(spark, folder).withColumn("track", F.when(F.day("ts") == 31, "C").otherwise(c("track")))
+    moved = F.when(c("id") % 11 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("sleeve_"), c("sleeve_id").cast("int") % 10 + 1))
+    tables = {
+        "sleeves": sleeves(spark, folder).withColumns({"dsr": F.lit(-11.0), "pbo": F.lit(0.5)}),
+        "trades": trades(spark, folder).withColumn("sleeve_id", moved),
+        "executions": fills,
+        "equity_curve": points.union(points.where(F.day("ts") == 2)).withColumn("sleeve_id", F.lit(None).cast("string")).unionByName(points),
+        "backtest_results": backtests(spark, folder).withColumn("pbo", c("pbo") * 100),
+        "ontology_rules": injected_rules(spark, folder).withColumn("action", F.when(c("active"), c("action"))),
+        "risk_gates_state": gates.gate_history(equity(spark, folder)),
+    }
+    return quality.registry_problems(tables)
+
+
 @query
 def current_gates(spark, folder):
     df = gates.current_gate(gates.gate_history(equity(spark, folder)))
@@ -712,13 +814,13 @@ def log_round_trip(spark, folder):
     """Documents appended as log lines, read back and verified, twice: the log continues."""
     ev = doc_events(spark, folder).select(
         "chain_id", "doc_id", "ts", F.lit("agent").alias("actor"), F.lit("doc").alias("event_type"),
-        c("lang").alias("event_key"), F.to_json(F.struct("doc_id", "text")).alias("payload"),
+        c("lang").alias("event_key"), F.to_json(F.struct("doc_id", F.sha2("text", 256).alias("sha"))).alias("payload"),
     )
     root = fresh_path(spark, "log")
     half = c("doc_id") % 2 == 0
     append_log(chain.append_events(ev.where(half), ["doc_id"], "doc_id"), root)
     append_log(chain.append_events(ev.where(~half), ["doc_id"], "doc_id", read_log(spark, root)), root)
-    return chain.verify_log(read_log(spark, root)).select("chain_id", *whole("n_events"), "ok")
+    return chain.verify_log(read_log(spark, root)).select("chain_id", *whole("n_events"), "ok", "tip")
 
 
 def _tampered_log(spark, folder):
@@ -767,7 +869,7 @@ def audit_agreement(spark, folder):
     log = materialize(chain.append_events(ev, ["doc_id"], "doc_id"), "events")
     checked = chain.verify_log(log.withColumn("computed_hash", F.sha2("payload", 256)), "seq")
     df = chain.agreement(checked, chain.verify_table(chain.replay(log)))
-    return df.select("chain_id", *whole("log_n", "table_n"), "log_ok", "table_ok", "agree")
+    return df.select("chain_id", *whole("log_n", "table_n"), "log_ok", "table_ok", "agree", "log_tip", "table_tip")
 
 
 @query
