@@ -6,18 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantspan.operators.sharpe import sharpe_of
-
-MAX_PARTITIONS = 20
-
-
-def half_masks(n_partitions: int) -> F.Column:
-    """Every choice of half the blocks, as bit masks."""
-    if n_partitions % 2 or not 2 <= n_partitions <= MAX_PARTITIONS:
-        raise ValueError(f"n_partitions must be even and at most {MAX_PARTITIONS}")
-    return F.filter(
-        F.sequence(F.lit(0), F.lit(2**n_partitions - 1)), lambda x: F.bit_count(x) == n_partitions // 2
-    )
-
+from quantspan.plans.combinations import with_masks
 
 def _block_arrays(moments: DataFrame, n_partitions: int) -> DataFrame:
     """Cells merged to arrays n, mean and m2 with one entry per block."""
@@ -36,18 +25,19 @@ def _block_arrays(moments: DataFrame, n_partitions: int) -> DataFrame:
 def _is_oos(moments: DataFrame, n_partitions: int) -> DataFrame:
     """In-sample and out-of-sample Sharpe per (sleeve, config, mask).
 
-    Cells are merged to one (n, mean, m2) per block first. A mask then adds up its blocks' terms,
-    written out one by one so that they compile into plain arithmetic.
+    Cells are merged to one (n, mean, m2) per block first. A mask (every choice of half the blocks, by its
+    rank) then adds up its blocks' terms, written out one by one so that they compile into plain arithmetic.
     """
+    if n_partitions % 2 or not 2 <= n_partitions <= 62:
+        raise ValueError("n_partitions must be even and fit a mask")
     rows = _block_arrays(moments, n_partitions)
     at = lambda name, b: F.get(F.col(name), F.lit(b))
     flat = rows.select(
         "sleeve_id",
         "config_id",
         *[at(name, b).alias(f"{name}{b}") for name in ("bn", "bm", "b2") for b in range(n_partitions)],
-        F.explode(half_masks(n_partitions)).alias("mask"),
     )
-    out = flat
+    out = with_masks(flat, n_partitions, n_partitions // 2)
     for side in ("is", "oos"):
         wanted = 0 if side == "oos" else 1
 

@@ -1,5 +1,7 @@
 """Blocked windows, as-of and interval joins, exact percentiles against plain pandas/numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quantspan.functions.quantile import exact_percentile
 from quantspan.plans.asof import asof_join
 from quantspan.plans.blocks import array_split_block, array_split_start, with_halo, with_positions
+from quantspan.plans.combinations import mask_at, with_masks
 from quantspan.plans.fold import ordered_fold
 from quantspan.plans.intervals import dyadic_pieces, interval_join
 
@@ -81,6 +84,21 @@ def test_asof_matches_pandas(spark):
     assert np.allclose(a["rv"].dropna(), b["rv"].dropna())
 
 
+@pytest.mark.parametrize(("n", "k"), [(1, 1), (4, 0), (5, 2), (6, 3), (8, 8), (10, 4)])
+def test_combinations_by_rank(spark, n, k):
+    got = [r.m for r in spark.range(math.comb(n, k)).select("id", mask_at(F.col("id"), n, k).alias("m")).orderBy("id").collect()]
+    assert got == [m for m in range(2**n) if m.bit_count() == k]
+
+
+def test_many_combinations_are_spread(spark):
+    """Half of 24 items: each once, by no task alone."""
+    rows = with_masks(spark.createDataFrame([("a",)], "x string"), 24, 12)
+    parts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.bit_count("mask") != 12).alias("bad"))
+    found = parts.collect()
+    assert sum(r.n for r in found) == math.comb(24, 12) and not any(r.bad for r in found) and len(found) > 1
+    assert rows.agg(F.count_distinct("mask")).first()[0] == math.comb(24, 12)
+
+
 def test_dyadic_pieces_cover_once(spark):
     """Few pieces, which do not overlap, hold the range and little more."""
     rng = np.random.default_rng(4)
