@@ -1138,7 +1138,7 @@ def stream_bars(spark, folder):
 
 
 #: Files of the equity curve: their number, of how many days each, and how many days a point comes late at most.
-FILES, FILE_DAYS, LATE_DAYS = 5, 500, 300
+FILES, FILE_DAYS, LATE_DAYS = 3, 850, 300
 #: When the last point of a stream comes; it only moves the watermark.
 CLOSING = "2100-01-01"
 
