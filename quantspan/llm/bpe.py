@@ -61,10 +61,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class PieceCoder:
-    """Ids of texts from ids of their pieces. ``encode`` codes pieces not seen before."""
+    """Ids of texts from ids of their pieces. ``encode`` codes pieces not seen before; ``kept`` is how many it remembers."""
 
-    def __init__(self, encode: Callable[[list[str]], Coded], specials: dict[str, int]):
-        self.encode, self.specials = encode, specials
+    def __init__(self, encode: Callable[[list[str]], Coded], specials: dict[str, int], kept: int = CACHE_WORDS):
+        self.encode, self.specials, self.kept = encode, specials, kept
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.clear()
 
@@ -87,7 +87,7 @@ class PieceCoder:
 
     def texts(self, texts: list[str | None]) -> Coded:
         """Ids of all texts end to end, and how many each has."""
-        if self.size > CACHE_WORDS:
+        if self.size > self.kept:
             self.clear()
         rows = []
         for text in texts:

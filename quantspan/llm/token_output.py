@@ -40,10 +40,12 @@ c = F.col
 
 #: Characters of joined pieces that the library encodes at a time.
 JOINED_CHARS = 1 << 16
+#: Pieces whose ids a worker that writes files remembers (some 250 bytes each).
+KEPT_PIECES = 600_000
 
 
 @cache
-def library_coder(path: str, plain_specials: bool = False) -> bpe.PieceCoder:
+def library_coder(path: str, plain_specials: bool = False, kept: int = bpe.CACHE_WORDS) -> bpe.PieceCoder:
     """Pieces encoded by the library, many at a time. With ``plain_specials`` special tokens in a text are text.
 
     Pieces that begin with a space and do not end in white space are joined: a text of them may be cut
@@ -82,7 +84,7 @@ def library_coder(path: str, plain_specials: bool = False) -> bpe.PieceCoder:
         starts, back = np.cumsum(lengths) - lengths, np.argsort(np.concatenate([first, other]))
         return bpe.gather(flat, starts[back], lengths[back]), lengths[back]
 
-    return bpe.PieceCoder(encode, {} if plain_specials else bpe.special_tokens(path))
+    return bpe.PieceCoder(encode, {} if plain_specials else bpe.special_tokens(path), kept)
 
 
 def _encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
@@ -91,7 +93,7 @@ def _encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = 0
         for batch in batches:
-            ids, lengths = library_coder(path).texts(batch.column("text").to_pylist())
+            ids, lengths = library_coder(path, kept=KEPT_PIECES).texts(batch.column("text").to_pylist())
             ids, lengths = np.insert(ids, np.cumsum(lengths), end), lengths + 1
             ends = first + np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
