@@ -17,13 +17,15 @@ with remainder 2 are never looked at.
 
 Ratios stay in a table by context, of any size. The distinct words of the documents are spelled out and
 joined with it letter by letter, which gives each word its exact ratio. Contexts and words of which each
-is a ``HOT_CONTEXTS``th or ``HOT_SHARE``th of all are broadcast and looked up; all others are joined. A text's
+is a ``HOT_CONTEXTS``th or ``HOT_SHARE``th of all are broadcast and looked up; all others are joined. Before that join
+letters go whose context is not in the table, most of them by a bitmap of hashes of its contexts. A text's
 features belong to its hash, so that rows meet them again without their text being grouped.
 
 Edge cases: a null or empty text, or one without letters, has ratios of 0; labels other than 0 and 1
 and null labels count as none; a document that repeats, or has several labels, counts for each of
-them; with no labelled document of one class every score is the share of toxic ones among the labels
-(0 without labels). Further columns are kept.
+them; where one class has no labels among those that calibrate, but both have among those counted, the score goes
+by the sign and size of the mean ratio; with no labelled document of one class among these every score is the share of toxic ones
+among the labels (0 without labels). Further columns are kept.
 """
 
 from __future__ import annotations
@@ -36,12 +38,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quantspan.llm.text import LETTERS, crc_bucket, text_session
+from quantspan.llm.variants import code_bitmap
 from quantspan.session import materialize
 
 ORDER = 8
@@ -198,8 +202,16 @@ def _grams(word: str) -> Iterator[str]:
     return (marked[max(0, i - ORDER) : i] for i in range(2, len(marked) + 1))
 
 
-def spelled(words: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
-    """``id, word, n, base``, whose base is the ratio of the letters behind frequent contexts, and ``id, gram`` of the others."""
+def _bitmap(contexts: DataFrame):
+    """Bits that Spark's hashes of the contexts lead to: a context whose bit is not set is not in the table."""
+    return contexts.sparkSession.sparkContext.broadcast(code_bitmap(contexts.select(F.xxhash64("context").alias("code"))))
+
+
+def spelled(words: DataFrame, hot, bitmap) -> tuple[DataFrame, DataFrame]:
+    """``id, word, n, base``, whose base is the ratio of the letters behind frequent contexts, and ``id, gram`` of the others.
+
+    The latter are without most grams whose context is in no table.
+    """
 
     def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
@@ -214,13 +226,17 @@ def spelled(words: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, pa.float64())], ["word", "n", "base"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
+        known, bits = hot.value, bitmap.value.tobytes()
+        mask = 8 * len(bits) - 1
         ids: list[int] = []
         grams: list[str] = []
         for batch in batches:
             for i, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist(), strict=True):
                 for gram in _grams(word):
-                    if gram[:-1] not in known:
+                    if (context := gram[:-1]) not in known:
+                        at = xxhash.xxh64_intdigest(context.encode(), 42) & mask
+                        if not bits[at >> 3] >> (at & 7) & 1:
+                            continue
                         ids.append(i)
                         grams.append(gram)
                         if len(ids) >= SPELLED_ROWS:
@@ -236,7 +252,7 @@ def spelled(words: DataFrame, hot) -> tuple[DataFrame, DataFrame]:
 
 def word_ratios(words: DataFrame, contexts: DataFrame) -> DataFrame:
     """``key, n, ratio`` of each word: the sum over its letters of what their contexts say, where they are known."""
-    own, rest = spelled(words, _broadcast_contexts(contexts))
+    own, rest = spelled(words, _broadcast_contexts(contexts), _bitmap(contexts))
     # a context and its letter are one string until they have met: these are the most rows of all
     rest = rest.join(contexts.withColumnRenamed("context", "_context").drop("n"), _context() == c("_context"))
     letter = F.substring("gram", -1, 1)
@@ -360,8 +376,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
         model.weights = _logistic(x, y)
+        return model
+    counted = words.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if all(counted):
+        model.weights[:2] = math.log(THRESHOLD / (1 - THRESHOLD)), 1.0
     else:
-        model.constant = float(y.mean()) if len(y) else 0.0
+        share = labelled(docs, labels, (*COUNTED, CALIBRATING)).agg(F.avg("toxic")).first()[0]
+        model.constant = float(share or 0.0)
     return model
 
 
