@@ -2,7 +2,9 @@
 
 import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 
 from quantspan.llm import language, quality, toxicity
@@ -201,3 +203,81 @@ def test_expectation_maximisation_finds_accuracies():
     assert abs(found.good - 0.6) < 0.05
     assert all(abs(a - b) < 0.05 for a, b in zip(found.accuracy(), rates, strict=True))
     assert all(quality.pattern(quality.votes_of(x)) == x for x in list(counts)[:50])
+
+
+def _plain_votes(text):
+    """The labellers, one text at a time, by the words of their rules."""
+    text = text or ""
+    words, letters = text.split(), [x for x in text if x.isalnum() and not x.isdecimal()]
+    rows = [x for x in text.split("\n") if x.strip()]
+    n = len(words)
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    ends = sum(x in ".!?…" and (k + 1 == len(text) or text[k + 1].isspace()) for k, x in enumerate(text))
+    plain = sum(w.isalpha() or w[:-1].isalpha() for w in words)
+    return [
+        -(sum(x in r"#$%&*<>|~^_=\@+{}[]" for x in text) > 0.03 * len(text)),
+        -(bool(letters) and sum(map(str.isupper, text)) > 0.35 * len(letters)),
+        -(text.count("!") > 0.15 * n),
+        -(len(rows) > 2 and len(set(rows)) < 0.7 * len(rows)),
+        -(sum(not any(map(str.isalnum, w)) for w in words) > 0.1 * n),
+        0 if n < 20 else 1 if 1 / 60 <= ends / n <= 1 / 3 else -1,
+        int(n >= 8 and same <= 0.15 * n and plain > 0.97 * n),
+        -(sum(map(str.isdigit, text)) > 0.15 * len(text)),
+        -(same > 0.15 * n),
+        -(n > 0 and not 2.5 <= sum(map(len, words)) / n <= 14),
+        -(n < 8),
+    ]
+
+
+def test_votes_against_their_rules(odd):
+    r = random.Random(4)
+    kinds = ["abc", "ABC", "a.b", "!!", "--", "12", "a1", "é", "漢", "x#", "…", "end."]
+    texts = [t for _, t in odd] + ["".join(r.choice(kinds) + r.choice([" ", " ", "\n", "\u3000", "\x1c"]) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    for k in range(0, len(texts), 30):
+        got = [quality.votes_of(x) for x in quality.vote(quality.Texts(texts[k : k + 30])).tolist()]
+        assert got == [_plain_votes(t) for t in texts[k : k + 30]]
+
+
+def test_scorer_against_plain_sums(spark, docs):
+    """Gradient and scores by dictionaries of hashed words; the same scores however the documents are dealt."""
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choices(["Fine", "words", "here.", "##", "!!", "123", "zz" * 40], k=r.randint(0, 40)))) for k in range(60)]
+    known = quality.described(docs(rows))
+    labels = quality.weak_labels(known)
+    weights = np.sin(np.arange(quality.SLOTS + 1))
+    got_loss, got = quality._loss_and_gradient(known, labels, weights)
+    want, loss = np.zeros(quality.SLOTS + 1), 0.0
+    for _, text in rows:
+        counts = {}
+        for word in text.split():
+            for slot in divmod(quality._slots[word], quality.SLOTS):
+                counts[slot] = counts.get(slot, 0) + 1
+        x = {s: (n / 2 / len(text.split())) ** 0.5 for s, n in counts.items()} | {quality.SLOTS: 1.0}
+        z = sum(weights[s] * v for s, v in x.items())
+        y = labels.posterior[int(quality.vote(quality.Texts([text]))[0])]
+        loss += np.logaddexp(0, z) - y * z
+        for s, v in x.items():
+            want[s] += v * (1 / (1 + np.exp(-z)) - y)
+    assert abs(got_loss - loss) < 1e-3 and np.abs(got - want).max() < 1e-6
+    one, many = ({x["doc_id"]: x["quality"] for x in quality.score_quality(docs(rows).repartition(n)).collect()} for n in (1, 40))
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-9
+    for _ in range(2000):
+        word = "".join(r.choices("abAB1é漢.-ǅ", k=r.randint(1, 7)))
+        general = quality._MARKS.sub(r"\1\1\1", quality._SAME.sub(r"\1", word.translate(quality._shapes)))
+        assert quality._shape(word) == general
+    assert quality._shape("AAbb12--....!") == "Aa0--...!" and quality._shape("é" * 99 + "X") == "aA"
+
+
+def test_toxicity_without_one_class_to_calibrate(spark, docs):
+    """Scores go by the mean ratio then, and are the same constant for all only if one class has no label at all."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS
+    ids = [i for i in range(200) if fold(i) in (*toxicity.COUNTED, toxicity.CALIBRATING)]
+    bad = [i for i in ids if fold(i) in toxicity.COUNTED][:9]
+    rows = [(i, "grok blarg snarl " * 3 if i in bad else "the quiet river runs on") for i in ids]
+    rows += [(900, "blarg snarl"), (901, "the river"), (902, None)]
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], "doc_id long, quality int, toxic int")
+    table = docs(rows)
+    got = {x["doc_id"]: x["toxicity"] for x in toxicity.add_scores(table, toxicity.fit(table, labels)).collect()}
+    assert got[900] > toxicity.THRESHOLD > got[901] and abs(got[902] - toxicity.THRESHOLD) < 1e-12
+    none = toxicity.add_scores(table, toxicity.fit(table, labels.where("toxic = 0"))).collect()
+    assert {x["toxicity"] for x in none} == {0.0}
