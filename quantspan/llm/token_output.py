@@ -38,8 +38,9 @@ SCHEMA = "doc_id long, first long, n_tokens long, ids array<int>"
 c = F.col
 
 
-#: Characters of joined pieces that the library encodes at a time.
-JOINED_CHARS = 1 << 16
+#: Characters of joined pieces in one text for the library, and such texts in one call.
+JOINED_CHARS = 1 << 10
+CALL_TEXTS = 64
 #: Pieces whose ids a worker that writes files remembers (some 250 bytes each).
 KEPT_PIECES = 600_000
 
@@ -60,27 +61,26 @@ def library_coder(path: str, plain_specials: bool = False, kept: int = bpe.CACHE
     library.no_padding()
     library.encode_special_tokens = plain_specials
 
-    def ids_of(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        out = [np.empty(0, np.int32)]
+        for k in range(0, len(texts), CALL_TEXTS):  # without offsets, which nobody reads
+            out += [np.array(x.ids, np.int32) for x in library.encode_batch_fast(texts[k : k + CALL_TEXTS], add_special_tokens=False)]
+        return out
 
     def encode(pieces: list[str]) -> bpe.Coded:
         plain = np.fromiter((x[0] == " " and not x[-1].isspace() for x in pieces), bool, len(pieces))
         first, other = np.flatnonzero(plain), np.flatnonzero(~plain)
-        flat, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        groups = np.cumsum([len(pieces[k]) for k in first.tolist()], dtype=np.int64) // JOINED_CHARS
-        for group in np.split(first, np.flatnonzero(np.diff(groups)) + 1):
-            some = [pieces[k] for k in group.tolist()]
-            ids = np.array(ids_of("".join(some)), np.int32)
-            ends, wanted = np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) for x in some], dtype=np.int64)
-            cuts = np.searchsorted(ends, wanted) + 1
-            if len(some) and (cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any()):
-                raise ValueError("tokens of joined pieces do not end where the pieces do")
-            flat.append(ids)
-            lengths.append(np.diff(cuts, prepend=0))
-        for k in other.tolist():
-            flat.append(np.array(ids_of(pieces[k]), np.int32))
-            lengths.append(np.array([len(flat[-1])]))
-        flat, lengths = np.concatenate(flat), np.concatenate(lengths)
+        some = [pieces[k] for k in first.tolist()]
+        groups = np.cumsum(np.fromiter(map(len, some), np.int64, len(some))) // JOINED_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(some)]
+        ids = np.concatenate(ids_of(["".join(some[a:b]) for a, b in zip(edges, edges[1:])]))
+        ends, wanted = np.cumsum(sizes[ids]), np.cumsum(np.fromiter((len(x.encode()) for x in some), np.int64, len(some)))
+        cuts = np.searchsorted(ends, wanted) + 1
+        if len(some) and (cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any()):
+            raise ValueError("tokens of joined pieces do not end where the pieces do")
+        own = ids_of([pieces[k] for k in other.tolist()])[1:]
+        flat = np.concatenate([ids, *own])
+        lengths = np.concatenate([np.diff(cuts, prepend=0), np.fromiter(map(len, own), np.int64, len(own))])
         starts, back = np.cumsum(lengths) - lengths, np.argsort(np.concatenate([first, other]))
         return bpe.gather(flat, starts[back], lengths[back]), lengths[back]
 
