@@ -31,6 +31,12 @@ def spec_columns(
     return out[0], out[1]
 
 
+def spread_ticks(specs: Mapping[str, tuple[float, float]] = INSTRUMENT_SPECS) -> Column:
+    """The spread that a bar's range stands for, in ticks, one at least."""
+    tick, _ = spec_columns(F.col("instrument"), specs)
+    return F.greatest(F.lit(1.0), SPREAD_SHARE * ((F.col("high") - F.col("low")) / tick))
+
+
 def calibrate(
     bars: DataFrame,
     specs: Mapping[str, tuple[float, float]] = INSTRUMENT_SPECS,
@@ -43,10 +49,7 @@ def calibrate(
     the spread is exact (see ``exact_percentile``).
     """
     keys = ["instrument", "hour_utc"]
-    tick, tick_value = spec_columns(F.col("instrument"), specs)
-    rows = bar_returns(bars.withColumn("hour_utc", F.hour("ts")), keys, seconds).withColumn(
-        "spread", F.greatest(F.lit(1.0), SPREAD_SHARE * ((F.col("high") - F.col("low")) / tick))
-    )
+    rows = bar_returns(bars.withColumn("hour_utc", F.hour("ts")), keys, seconds).withColumn("spread", spread_ticks(specs))
     stats = rows.groupBy(*keys).agg(
         F.avg("spread").alias("spread_ticks_mean"),
         F.var_pop("spread").alias("slippage_var"),
@@ -56,8 +59,13 @@ def calibrate(
         F.count(F.lit(1)).alias("n_samples"),
     )
     p95 = exact_percentile(rows, keys, "spread", 0.95, "spread_ticks_p95")
+    return calibration_rows(stats.join(p95, keys), specs, calibrated_at)
+
+
+def calibration_rows(stats: DataFrame, specs: Mapping[str, tuple[float, float]], calibrated_at: Column | None = None) -> DataFrame:
+    """Parameters from the statistics of an instrument and hour."""
     impact = F.col("sigma") * F.col("price") / F.col("liquidity")
-    return stats.join(p95, keys).select(
+    return stats.select(
         "instrument",
         "hour_utc",
         (calibrated_at if calibrated_at is not None else F.lit(None).cast("timestamp")).alias("ts"),
@@ -67,7 +75,7 @@ def calibrate(
         (GAMMA_COEF * impact).alias("impact_gamma"),
         "slippage_var",
         "n_samples",
-        tick_value.alias("tick_value"),
+        spec_columns(F.col("instrument"), specs)[1].alias("tick_value"),
     )
 
 

@@ -422,6 +422,10 @@ UNION ALL SELECT instrument, {_TS}, open, high, low, close, volume * 10 FROM bar
     "bma_posterior": f"""WITH {WEIGHTS}
 SELECT sleeve_id, n_obs, {_r(6, 'weight', 'prior', 'log_evidence', 'post_mean', 'post_z', 'sharpe')} FROM w""",
     "cost_calibration": f"""WITH {CAL}
+SELECT instrument, hour_utc, n_samples, {_r(5, 'spread_ticks_mean', 'spread_ticks_p95')},
+       round(impact, 5) + 0.0::DOUBLE AS impact_eta, round(impact, 5) + 0.0::DOUBLE AS impact_gamma, {_r(5, 'slippage_var')},
+       1.0::DOUBLE AS tick_value FROM cal""",
+    "calibration_increments": f"""WITH {CAL}
 SELECT instrument, hour_utc, n_samples, {_r(5, 'spread_ticks_mean', 'spread_ticks_p95')},
        round(impact, 5) + 0.0::DOUBLE AS impact_eta, round(impact, 5) + 0.0::DOUBLE AS impact_gamma, {_r(5, 'slippage_var')},
        1.0::DOUBLE AS tick_value FROM cal""",
@@ -536,6 +540,15 @@ SELECT chain_id, count(*) AS n_events, coalesce(min(seq) FILTER (bad IS NOT NULL
     "log_verify": f"""WITH RECURSIVE {EDITED}
 SELECT chain_id, count(*) AS n_events, coalesce(min(seq) FILTER (bad IS NOT NULL), -1) AS first_bad, count(bad) = 0 AS ok,
        arg_min(bad, seq) FILTER (bad IS NOT NULL) AS first_failure, arg_max(chain_hash, seq) AS tip FROM edited GROUP BY 1""",
+    "log_digests": f"""WITH RECURSIVE {CHAIN},
+hashed AS (
+  SELECT chain_id, seq, sha256(length(seq::VARCHAR) || ':' || seq || '64:' || ph || '64:' || prev_hash || '64:' || chain_hash) AS h FROM links),
+lv AS (SELECT k AS level, (4 ** k)::BIGINT AS wide FROM range(0, 20) r(k) WHERE k = 0 OR (SELECT max(seq) // 16 FROM links) // (4 ** (k - 1))::BIGINT > 0)
+SELECT chain_id, level, seq // 16 // wide AS node, count(*) AS n_events, {" || '-' || ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT)::VARCHAR" for k in range(4))} AS digest
+FROM hashed, lv GROUP BY 1, 2, 3""",
+    "differing_log_ranges": f"""WITH RECURSIVE {EDITED}
+SELECT chain_id, seq // 16 * 16 AS first, seq // 16 * 16 + 15 AS last, count(*) AS n_left, count(*) AS n_right
+FROM edited GROUP BY chain_id, seq // 16 HAVING count(bad) > 0""",
     "audit_replay": f"""WITH RECURSIVE {EDITED},
 sums AS (
   SELECT chain_id, count(*) AS n, count(bad) = 0 AS log_ok, arg_max(chain_hash, seq) AS log_tip,

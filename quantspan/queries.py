@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quantspan.config import RiskLimits
 from quantspan.functions.prices import regime_label, shift_posterior
 from quantspan.functions.text import query_tokens
-from quantspan.operators import bma, chain, gates, ontology, quality, regime, reports, retrieval, risk, rules
+from quantspan.operators import bma, calibrations, chain, digests, gates, ontology, quality, regime, reports, retrieval, risk, rules
 from quantspan.operators.bars import bar_quality, split_valid
 from quantspan.operators.bma import bma_weights
 from quantspan.operators.costs import calibrate, order_cost
@@ -519,6 +519,20 @@ def cost_calibration(spark, folder):
     )
 
 
+@query
+def calibration_increments(spark, folder):
+    """The calibration kept up to date: bars filed by month in two increments, the second of which comes twice."""
+    path, rows = fresh_path(spark, "calibrations"), bars(spark, folder)
+    late = F.dayofmonth("ts") > 15
+    for part in (rows.where(~late), rows.where(late), rows.where(late)):
+        calibrations.add_bars(path, part, "month")
+    return calibrations.calibration(spark, path).select(
+        "instrument",
+        *whole("hour_utc", "n_samples"),
+        *rounded(5, "spread_ticks_mean", "spread_ticks_p95", "impact_eta", "impact_gamma", "slippage_var", "tick_value"),
+    )
+
+
 @query
 def order_costs(spark, folder):
     k = c("o_orderkey")
@@ -823,15 +837,29 @@ def log_round_trip(spark, folder):
     return chain.verify_log(read_log(spark, root)).select("chain_id", *whole("n_events"), "ok", "tip")
 
 
-def _tampered_log(spark, folder):
-    """A log of documents, some of whose lines were edited in the file: a payload, a link, a sequence number."""
+def _document_lines(spark, folder):
+    """The lines of a log of documents, as they are written."""
     sha = F.sha2("text", 256)
     payload = F.concat(F.lit('{"doc_id":'), c("doc_id").cast("string"), F.lit(',"sha":"'), sha, F.lit('"}'))
     ev = doc_events(spark, folder).select(
         "chain_id", "doc_id", "ts", F.lit("agent").alias("actor"), F.lit("doc").alias("event_type"), c("lang").alias("event_key"),
         payload.alias("payload"),
     )
-    lines = log_lines(chain.append_events(ev, ["doc_id"], "doc_id"))
+    return log_lines(chain.append_events(ev, ["doc_id"], "doc_id"))
+
+
+def _read_back(spark, lines):
+    root = fresh_path(spark, "log")
+    write_lines(lines, root)
+    return materialize(read_log(spark, root), "log")
+
+
+def _document_log(spark, folder):
+    return _read_back(spark, _document_lines(spark, folder))
+
+
+def _tampered_log(spark, folder):
+    """A log of documents, some of whose lines were edited in the file: a payload, a link, a sequence number."""
     d = F.regexp_extract("line", r'"doc_id":(\d+)', 1).cast("long")
     edited = (
         F.when(d % 131 == 11, F.regexp_replace("line", r'"seq":', '"seq":9'))
@@ -839,9 +867,7 @@ def _tampered_log(spark, folder):
         .when(d % 127 == 9, F.regexp_replace("line", r'"prev_hash":"....', '"prev_hash":"ffff'))
         .otherwise(c("line"))
     )
-    root = fresh_path(spark, "log")
-    write_lines(lines.withColumn("line", edited), root)
-    return materialize(read_log(spark, root), "log")
+    return _read_back(spark, _document_lines(spark, folder).withColumn("line", edited))
 
 
 @query
@@ -851,6 +877,27 @@ def log_verify(spark, folder):
     return df.select("chain_id", *whole("n_events", "first_bad"), "ok", "first_failure", "tip")
 
 
+@query
+def log_digests(spark, folder):
+    """Digests of ranges of a document log on all levels, from the leaves of two increments."""
+    ev = doc_events(spark, folder).select("chain_id", "doc_id", c("text").alias("payload"))
+    links = materialize(chain.link_events(ev, ["doc_id"], "doc_id"), "links")
+    half, parts = c("seq") <= 100, ("payload_hash", "prev_hash", "chain_hash")
+    leaves = [digests.leaf_digests(links.where(x), "seq", parts, leaf=16) for x in (half, ~half)]
+    tree = digests.digest_tree(digests.merge_leaves(*leaves), fanout=4)
+    lanes = F.concat_ws("-", *[c(f"lane{k}").cast("string") for k in range(digests.LANES)])
+    return tree.select("chain_id", *whole("level", "node", "n_events"), lanes.alias("digest"))
+
+
+@query
+def differing_log_ranges(spark, folder):
+    """The ranges in which the edited log differs from the one that was written."""
+    edited = _tampered_log(spark, folder)
+    plain = _document_log(spark, folder)
+    trees = [digests.digest_tree(digests.leaf_digests(x, "line_no", leaf=16), fanout=4) for x in (plain, edited)]
+    return digests.differing_ranges(*trees, leaf=16, fanout=4).select("chain_id", *whole("first", "last", "n_left", "n_right"))
+
+
 @query
 def audit_replay(spark, folder):
     """The edited log and the audit table replayed from it, chain by chain."""
