@@ -174,10 +174,11 @@ def _automaton(items: Items, window: int) -> Automaton:
 
 
 def _blocks(items: DataFrame) -> Iterator[Items]:
-    """The items in blocks of about ``BLOCK_BYTES``, each small enough for the driver and a worker."""
+    """The distinct items in blocks of about ``BLOCK_BYTES``, each small enough for the driver and a worker."""
     rows = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")
     ).where("text is not null")
+    rows = materialize(rows.distinct(), "items")  # rows that repeat would all fall into one block
     n = max(1, -(-byte_total(rows) // BLOCK_BYTES))
     for k in range(n):
         block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
