@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
 from quantspan.functions.prices import apply_sizing
-from quantspan.operators.ontology import signal_effects
+from quantspan.operators.ontology import signal_effects, with_rule_counts
 from quantspan.operators.rules import apply_rules
 from quantspan.plans.asof import asof_join
 from quantspan.plans.blocks import DAY
@@ -52,8 +52,14 @@ def attach_gate(signals: DataFrame, gates: DataFrame, seconds: int = DAY) -> Dat
     return asof_join(signals, cols, ["sleeve_id", "track"], "created_at", "gate_ts", seconds)
 
 
-def attach_rules(signals: DataFrame, rules: DataFrame, **params) -> DataFrame:
-    """Effects of the injected rules on each signal; only matches of rules limited in time are shuffled."""
+def attach_rules(signals: DataFrame, rules: DataFrame, lists: bool = True, **params) -> DataFrame:
+    """Effects of the injected rules on each signal; only matches of rules limited in time are shuffled.
+
+    The lists of ids and messages grow as signals times rules. Without ``lists`` the effects are numbers
+    (``with_rule_counts``), and verdicts and sizes are the same.
+    """
+    if not lists:
+        return with_rule_counts(signals, rules)
     return signals.join(signal_effects(signals, rules, **params).drop("n_size_down"), "signal_id", "left")
 
 
@@ -68,6 +74,8 @@ _OPTIONAL = {
     "kill_reason": "string",
     "rule_ids": "array<string>",
     "vetoes": "array<string>",
+    "n_ids": "long",
+    "n_vetoes": "long",
     "ontology_mult": "double",
     "gate_level": "string",
     "sizing_mult": "double",
@@ -80,7 +88,8 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
 
     In order: kill switch, hard rules, injected vetoes, size after the equity share, injected
     multipliers and gate (zero rejects), then human confirmation or approval. One projection;
-    attached columns that are missing mean "not restricted".
+    attached columns that are missing mean "not restricted". Where rules are attached as numbers only, their single
+    checks are counted (``n_checks``) but not listed.
     """
     for name, kind in _OPTIONAL.items():
         if name not in frame.columns:
@@ -95,7 +104,7 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
     rows = (
         rows.withColumn("size_", apply_sizing(cut, c("sizing_mult")))
         .withColumn("hard_failed", F.size("failures") > 0)
-        .withColumn("vetoed", F.size(vetoes) > 0)
+        .withColumn("vetoed", (F.size(vetoes) > 0) | (F.coalesce("n_vetoes", F.lit(0)) > 0))
     )
     killed = F.coalesce("killed", F.lit(False))
     reason = human_reason(limits, c("size_"))
@@ -121,13 +130,16 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
         .when(c("vetoed"), after_rules)
         .otherwise(after_gate)
     )
+    n_after_rules = F.size(c("checks")) + F.coalesce("n_ids", F.size(ids).cast("long"))
+    n_after_gate = n_after_rules + F.when(gated, 1).otherwise(0)
+    n_checks = F.when(killed, 1).when(c("hard_failed"), F.size("checks")).when(c("vetoed"), n_after_rules).otherwise(n_after_gate)
     zero = F.when(
         c("gate_level") == "halt",
         F.format_string("DD-gate HALT: drawdown %.1f%%", c("current_dd_pct") * 100),
     ).otherwise(F.lit("size cut to zero: one contract risks more than the allowed share of equity"))
     approvals = F.array_compact(
         F.array(
-            F.format_string("passed %d rules", F.size(after_gate)),
+            F.format_string("passed %d rules", n_after_gate),
             F.format_string("approved size: %d contracts", c("size_")),
             F.when(
                 gated & (c("sizing_mult") < 1.0),
@@ -138,7 +150,8 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
     reasons = (
         F.when(killed, F.array(F.concat(F.lit("KILL_SWITCH: "), F.coalesce("kill_reason", F.lit("active")))))
         .when(c("hard_failed"), c("failures"))
-        .when(c("vetoed"), vetoes)
+        .when(F.size(vetoes) > 0, vetoes)
+        .when(c("vetoed"), F.array(F.format_string("ONTOLOGY: vetoes of %d rules", c("n_vetoes"))))
         .when(c("size_") == 0, F.array(zero))
         .otherwise(approvals)
     )
@@ -150,6 +163,7 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
         reasons.alias("reasons"),
         F.when(approved, c("size_")).otherwise(0).alias("approved_size_contracts"),
         checks.alias("checks_performed"),
+        n_checks.cast("long").alias("n_checks"),
         "consecutive_losses",
         (approved & reason.isNotNull()).alias("requires_human_confirm"),
         F.when(approved, reason).alias("human_confirm_reason"),
@@ -157,13 +171,13 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
 
 
 def attach_state(
-    signals: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, gates: DataFrame | None = None, seconds: int = DAY
+    signals: DataFrame, accounts: DataFrame, rules: DataFrame | None = None, gates: DataFrame | None = None, seconds: int = DAY, lists: bool = True
 ) -> DataFrame:
-    """Signals with account, gate and rules as they stood when each was created."""
+    """Signals with account, gate and rules (``attach_rules``) as they stood when each was created."""
     frame = attach_account(signals, accounts, seconds)
     if gates is not None:
         frame = attach_gate(frame, gates, seconds)
-    return frame if rules is None else attach_rules(frame, rules)
+    return frame if rules is None else attach_rules(frame, rules, lists)
 
 
 def evaluate_signals(

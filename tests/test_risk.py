@@ -208,6 +208,38 @@ def test_effects_of_rules_with_and_without_limits(spark):
     assert {x.signal_id: (x.n_size_down, x.ontology_mult) for x in got.where("n_size_down > 0").collect()} == down
 
 
+def test_rule_counts_are_those_of_the_lists(spark):
+    """Steps of time give the numbers of the lists: touching and overlapping windows, repeated ids, any instrument, any time."""
+    m = lambda n, s: {"created_at": NOW + dt.timedelta(minutes=n), "symbol": s, "suggested_size_contracts": 10, "risk_per_contract_usd": D("10")}
+    df = frame(spark, *[m(n, s) for n in (-90_000, -41, -30, 0, 29, 30, 31, 400, 90_000) for s in ("NQ", "ES", "GC", "XX", None)])
+    at = lambda n, pre, post: {"window": {"event": "E", "event_ts": NOW + dt.timedelta(minutes=n), "pre_min": pre, "post_min": post}}
+    down = lambda x: {"action": "size_down", "params": {"size_mult": x}}
+    r = _rules(
+        spark, at(0, 30.0, 30.0), {**at(0, 30.0, 30.0), **down("0.7"), "id": "twice"}, {**at(20, 40.0, 90.0), **down("0.5"), "id": "twice"},
+        {**at(200, 0.0, 300.0), **down("0"), "id": "twice"}, {"instrument": None, **down("0.5")}, {"instrument": None, **at(0, 30.0, 0.0), **down("0.7")},
+        {"instrument": "ES", **down("0.9")}, {"instrument": "ES", **at(0, -5.0, -5.0)}, {"instrument": "GC", "rule_type": "instrument_block"},
+        {"instrument": None, "active": False},
+    )
+    lists = {x.signal_id: (len(set(x.rule_ids)), len(x.vetoes), x.n_size_down, round(x.ontology_mult, 12)) for x in ontology.signal_effects(df, r).collect()}
+    got = ontology.with_rule_counts(df, r).where("n_rules > 0")
+    assert {x.signal_id: (x.n_ids, x.n_vetoes, x.n_size_down, round(x.ontology_mult, 12)) for x in got.collect()} == lists
+    assert len(lists) == 45 and {x[0] for x in lists.values()} == {1, 2, 3, 4}
+    long, short = (verdicts(risk.attach_rules(df, r, lists=x)) for x in (True, False))
+    told = lambda v: (v.verdict, v.approved_size_contracts, v.n_checks, v.requires_human_confirm)
+    assert {k: told(v) for k, v in long.items()} == {k: told(v) for k, v in short.items()}
+    assert all(v.n_checks == len(v.checks_performed) for v in long.values())
+
+
+def test_rule_counts_without_pairs(spark):
+    """Rows of the steps follow the rules, not signals times rules."""
+    df = spark.range(2000).select(F.col("id").cast("string").alias("signal_id"), F.lit(NOW).alias("created_at"), F.lit("NQ").alias("symbol"))
+    r = _rules(spark, *[{"window": WINDOW, "action": "size_down", "params": {"size_mult": "0.999"}} for _ in range(300)])
+    assert ontology.rule_steps(r).count() == 4
+    got = ontology.with_rule_counts(df, r).select("n_ids", F.round("ontology_mult", 12).alias("m")).distinct().collect()
+    assert [(x.n_ids, x.m) for x in got] == [(300, round(0.999**300, 12))]
+    assert ontology.with_rule_counts(df, r.limit(0)).where("n_rules is null").count() == 2000
+
+
 def test_slug_and_requests(spark):
     req = spark.createDataFrame(
         [("No NQ at FOMC!", "veto", None), ("¿¡!?", "size_down", None), ("x", "approve", None), ("y", "veto", "mine")],
