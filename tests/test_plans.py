@@ -171,3 +171,18 @@ def test_ordered_fold_keeps_state_across_batches(spark):
     for _, g in out.groupby("k"):
         g = g.sort_values("o")
         assert list(g["run"]) == list(g["o"].cumsum())
+
+
+def test_ordered_fold_after_a_join_keeps_each_key_in_one_task(spark):
+    """A join on the key that turns out small is broadcast, and what it has not shuffled must not count as shuffled."""
+    small = spark.range(3_000_000).groupBy((F.col("id") % 7).alias("k")).agg(F.lit(1).alias("one"))
+    df = spark.range(0, 20_000, 1, 8).select((F.col("id") % 5).alias("k"), F.col("id").alias("o")).join(small, "k", "left")
+
+    def step(state, rows):
+        runs = range(state[0], state[0] + len(rows))
+        state[0] += len(rows)
+        return rows[["k", "o"]].assign(run=runs)
+
+    out = ordered_fold(df, ["k"], ["o"], lambda _: [0], step, "k long, o long, run long")
+    assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.o, r.run) for r in out.collect()) == [(k, 5 * n + k, n) for k in range(5) for n in range(4000)]
