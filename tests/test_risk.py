@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantspan.config import RiskLimits
-from quantspan.functions.prices import apply_sizing, drawdown_level, go_verdict, shift_posterior, sizing_mult
+from quantspan.functions.prices import apply_sizing, drawdown_level, drawdown_pct, go_verdict, shift_posterior, sizing_mult
 from quantspan.operators import gates, ontology, quality, risk, rules
 from quantspan.operators.costs import calibrate, order_cost
 from quantspan.schemas import ACCOUNT_STATE, CALIBRATIONS, RULES
@@ -175,6 +175,13 @@ def test_size_down_multiplies_and_clamps(spark):
     assert verdicts(risk.attach_rules(df, _rules(spark, down({"size_mult": "-1"}))))["s0"].verdict == "REJECT"
 
 
+def test_drawdowns_are_rounded_as_the_statement_rounds_them(spark):
+    """Seven decimals that end in 5: the halves go by the product in binary."""
+    cases = [(1.0418275, 1.041827), (1.0437115, 1.043711), (1.0418275, 1.041827)]
+    got = spark.createDataFrame([(x,) for x, _ in cases], "dd double").select("dd", drawdown_pct(F.col("dd")).alias("r")).collect()
+    assert [(x.dd, x.r) for x in got] == cases and len(cases) == 3
+
+
 def test_global_gates_where_all_rows_are_of_one_month(spark):
     rng = np.random.default_rng(2)
     steps = rng.normal(0, 4000, (3, 60)).cumsum(axis=1) + 100_000
