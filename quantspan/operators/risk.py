@@ -103,7 +103,7 @@ def risk_verdict(frame: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFra
     cut = F.floor(approved_size() * F.coalesce(F.round("ontology_mult", 12).cast("decimal(20,12)"), F.lit(1).cast("decimal(20,12)"))).cast("int")
     rows = (
         rows.withColumn("size_", apply_sizing(cut, c("sizing_mult")))
-        .withColumn("hard_failed", F.size("failures") > 0)
+        .withColumn("hard_failed", F.exists(F.map_values("checks"), lambda ok: ~ok))  # not of the messages, which may not be asked for
         .withColumn("vetoed", (F.size(vetoes) > 0) | (F.coalesce("n_vetoes", F.lit(0)) > 0))
     )
     killed = F.coalesce("killed", F.lit(False))
