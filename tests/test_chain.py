@@ -115,6 +115,19 @@ def test_canonical_json(spark):
     assert df.select(canonical_json("s").alias("x")).first().x == '{"a":"\\u00f1","b":1e-05}'
 
 
+def test_log_lines_are_parsed_once(spark, tmp_path):
+    append_log(chain.append_events(_events(spark), ["i"], "i"), str(tmp_path))
+    plan = read_log(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_payloads_are_made_canonical_once(spark):
+    loose = [json.dumps(json.loads(p), indent=1) for p in PAYLOADS]
+    events = chain.append_events(_events(spark, loose), ["i"], "i", canonical=True)
+    assert [r.payload for r in events.orderBy("seq").collect()] == [json.dumps(json.loads(p), sort_keys=True, separators=(",", ":")) for p in PAYLOADS]
+    assert "canonical_json(" not in events._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_table_replay_and_agreement(spark):
     log = chain.append_events(_events(spark), ["i"], "i")
     table = chain.replay(log)
