@@ -37,6 +37,8 @@ MIN_WORDS = 50
 #: Letters that are counted one by one, since their scripts put no spaces between words.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+#: The same, with letters of no such script named first: what a script a letter has is looked up is most of the work.
+_SPACED = rf"[\x21-\x7E\u00A1-\u058F[^\x20\x09-\x0D{UNSPACED}]]"
 
 c = F.col
 
@@ -94,8 +96,9 @@ def repeated_windows(prints: DataFrame, min_lines: int = MIN_LINES) -> DataFrame
 
 def repeated_long_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, start``: the lines of ``min_words`` words and more that stand earlier."""
-    # so many words have as many letters at least: short lines are not searched for words
-    long = lambda x: F.when(F.length(x) >= min_words, F.regexp_count(x, F.lit(WORD))) >= min_words
+    # so many words have as many letters at least: short lines are not searched for words, others only up to that number
+    words = rf"^[\x20\x09-\x0D]*+(?:(?:{_SPACED}++|[{UNSPACED}])[\x20\x09-\x0D]*+){{{min_words}}}"
+    long = lambda x: F.when(F.length(x) >= min_words, x.rlike(words))
     placed = F.transform(lines(c("text")), lambda x, i: F.when(long(x), F.struct(i.alias("start"), F.xxhash64(x).alias("content"))))
     found = (
         docs.where("doc_id is not null and text is not null")

@@ -128,3 +128,24 @@ def test_document_part_is_what_spark_says(spark):
     ids = np.array([-5, 0, 3, 2**62], np.int64)
     rows = spark.createDataFrame([(int(i),) for i in ids], "i long").select(F.pmod(F.xxhash64("i"), F.lit(7))).collect()
     assert substring_dedup._document_part(ids, 7).tolist() == [r[0] for r in rows]
+
+
+def test_long_lines_are_told_without_listing_their_words(spark):
+    rng = random.Random(3)
+    letters = "ab é漢ひカไກខမ\t\x0b\x00\x7f 　Жع😀𠀀 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(2000)] + ["ع" * 50_000, "漢" * 50_000]
+    docs = spark.createDataFrame([(2 * i + k, x) for i, x in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    found = line_dedup.repeated_long_lines(docs, 12)
+    seen, want = set(), set()
+    for i, x in docs.orderBy("doc_id").collect():
+        want |= {(i, 0)} if x in seen else set()
+        seen |= {x}
+    long = docs.where(F.regexp_count("text", F.lit(line_dedup.WORD)) >= 12)
+    assert {tuple(r) for r in found.collect()} == want & {(r.doc_id, 0) for r in long.collect()}
+
+
+def test_long_lines_are_searched_up_to_the_number_of_words(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    line_dedup.repeated_long_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 12)
+    assert not any("regexp_extract_all" in x for x in plans)
