@@ -1,5 +1,6 @@
 """Blocked windows, as-of and interval joins, exact percentiles against plain pandas/numpy."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -186,3 +187,17 @@ def test_ordered_fold_after_a_join_keeps_each_key_in_one_task(spark):
     out = ordered_fold(df, ["k"], ["o"], lambda _: [0], step, "k long, o long, run long")
     assert "REPARTITION_BY_COL" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.k, r.o, r.run) for r in out.collect()) == [(k, 5 * n + k, n) for k in range(5) for n in range(4000)]
+
+
+def test_ranges_without_limits_are_broadcast_by_a_count_of_their_own(spark):
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    points = [(i, "ab"[i % 2], at(i % 50)) for i in range(200)]
+    timed = [(100 + i, (None, "a", "b")[i % 3], at(i), at(i + 5)) for i in range(40)]
+    always = [(1, "a", None, None), (2, None, None, None), (3, "b", None, None)]
+    p = spark.createDataFrame(points, "id int, k string, t timestamp")
+    r = spark.createDataFrame([*timed, *always], "rid int, rk string, lo timestamp, hi timestamp")
+    want = sorted((i, rid) for i, k, t in points for rid, rk, lo, hi in [*timed, *always] if rk in (None, k) and (lo is None or lo <= t <= hi))
+    for limit, broadcasts in ((100_000, 1), (10, 1), (0, 0)):
+        got = interval_join(p, r, point_id="id", point_key="k", point_ts="t", range_key="rk", lo="lo", hi="hi", broadcast_rows=limit)
+        assert sorted((x.id, x.rid) for x in got.collect()) == want
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == broadcasts
