@@ -33,8 +33,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from quantspan.llm.text import LETTERS, crc_bucket, text_session
-from quantspan.llm.variants import code_bitmap
-from quantspan.session import materialize
+from quantspan.llm.variants import FILTER_BITS, PIECE_BITS, code_bitmap
+from quantspan.session import materialize as written
 
 ORDER = 8
 #: Of the class models and of the shared one.
@@ -71,11 +72,30 @@ FLUSH_WORDS = 300_000
 c = F.col
 
 
-def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...]) -> DataFrame:
-    """``text, toxic`` of the labelled documents of these folds."""
-    rows = docs.select("doc_id", c("text").cast("string").alias("text")).where(crc_bucket(c("doc_id"), FOLDS).isin(*folds))
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Written, as words and grams take up much less room with this codec."""
+    return written(df, name, "zstd")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], columns: Sequence[str] = ("text",)) -> DataFrame:
+    """``doc_id``, the columns and ``toxic`` of the labelled documents of these folds.
+
+    Texts are long, so documents that no label can be of are left out before they are joined.
+    """
+    rows = docs.withColumn("text", c("text").cast("string")).select("doc_id", *columns).where(crc_bucket(c("doc_id"), FOLDS).isin(*folds))
     known = labels.where("toxic in (0, 1)").where(crc_bucket(c("doc_id"), FOLDS).isin(*folds)).select("doc_id", c("toxic").cast("int"))
-    return rows.join(known, "doc_id").select("doc_id", "text", "toxic")
+    rows = _maybe_in(rows, known) if "text" in columns else rows
+    return rows.join(known, "doc_id").select("doc_id", *columns, "toxic")
+
+
+def _maybe_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is not among the known ones, by a bitmap of hashes."""
+    at = F.pmod(F.xxhash64(c("doc_id").cast("string")), F.lit(FILTER_BITS))
+    piece, bit = (at / PIECE_BITS).cast("long"), at % PIECE_BITS
+    pieces = known.groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    found = rows.withColumns({"_piece": piece, "_bit": bit}).join(F.broadcast(pieces), "_piece")
+    byte = F.conv(F.hex(F.substring("_bits", (c("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (c("_bit") % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -125,7 +145,8 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
         longer = grams.where(F.length("gram") == n + 1).select("gram")
         if n + 1 in levels:
             longer = longer.union(levels[n + 1].select("gram"))
-        levels[n] = longer.groupBy(F.substring("gram", F.lit(2), F.lit(n)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        # written: each level below and each model above would count it anew, with all the longer ones
+        levels[n] = materialize(longer.groupBy(F.substring("gram", F.lit(2), F.lit(n)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "level")
     out, shorter = None, None
     for n in range(1, ORDER):
         own = W.partitionBy("context")
@@ -287,7 +308,7 @@ def _text_keys(df: DataFrame) -> DataFrame:
 
 
 def _looked_up(rows: DataFrame, hot) -> DataFrame:
-    """For each text with words: sums over the hot ones, and the others with their counts."""
+    """For each row whose text has words: sums over the hot ones, and the others with their counts."""
     sums = ["n", "total", "clear", "positive", "top"]
     schema = "_text_hash long, _text_check int, n long, total double, clear double, positive double, top double, rare array<string>, times array<long>"
 
@@ -299,9 +320,10 @@ def _looked_up(rows: DataFrame, hot) -> DataFrame:
                 words = LETTERS.findall(text.lower()) if text else []
                 if not words:
                     continue
-                own = np.array(list(map(get, words)), float)
-                others = Counter(_key(words[i]) for i in np.flatnonzero(np.isnan(own)).tolist())
-                own = own[~np.isnan(own)]
+                own = np.fromiter(map(get, words, repeat(np.nan)), float, len(words))
+                new = np.isnan(own)
+                others = Counter([_key(words[i]) for i in np.flatnonzero(new).tolist()])
+                own = own[~new]
                 long = {x: m for x, m in others.items() if x[0] == "#" and x in hot.value}
                 if long:
                     own = np.concatenate([own, np.repeat([get(x) for x in long], list(long.values()))])
@@ -328,25 +350,19 @@ def text_features(df: DataFrame, contexts: DataFrame) -> DataFrame:
     is_hot = c("n") * HOT_SHARE >= n_words
     most = ratios.where(is_hot).select("key", "ratio").toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(most["key"].to_pylist(), most["ratio"].to_pylist(), strict=True)))
-    found = materialize(_looked_up(df, hot), "looked-up")
-    each = found.select(*TEXT_KEYS, F.explode(F.arrays_zip("rare", "times")).alias("w")).select(*TEXT_KEYS, c("w.rare").alias("key"), c("w.times").alias("m"))
+    # a row goes by a number, which is shorter than its text's hashes where each of its words has it
+    found = materialize(_looked_up(df, hot).withColumn("_row", F.monotonically_increasing_id()), "looked-up")
+    each = found.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", c("w.rare").alias("key"), c("w.times").alias("m"))
     each = each.join(ratios.where(~is_hot).select("key", "ratio"), "key")
-    nothing = F.lit(0).cast("long")
-    rest = each.select(
-        *TEXT_KEYS,
-        nothing.alias("copies"),
-        nothing.alias("n"),
-        (c("m") * c("ratio")).alias("total"),
-        (c("m") * F.greatest(c("ratio") - CLEAR, F.lit(0.0))).alias("clear"),
-        (c("m") * F.greatest(c("ratio"), F.lit(0.0))).alias("positive"),
-        c("ratio").alias("top"),
-    )
-    own = found.select(*TEXT_KEYS, F.lit(1).cast("long").alias("copies"), "n", "total", "clear", "positive", "top")
-    # a text that repeats has all its sums as many times
-    whole = own.unionByName(rest).groupBy(*TEXT_KEYS).agg(*[F.sum(x).alias(x) for x in own.columns[2:-1]], F.max("top").alias("top"))
-    means = [c("total") / c("n"), c("clear") / c("n"), c("positive") / c("n"), c("top"), F.log1p(c("clear") / c("copies"))]
+    parts = {"total": c("ratio"), "clear": F.greatest(c("ratio") - CLEAR, F.lit(0.0)), "positive": F.greatest(c("ratio"), F.lit(0.0))}
+    rest = each.groupBy("_row").agg(*[F.sum(c("m") * x).alias(f"_{k}") for k, x in parts.items()], F.max("ratio").alias("_top"))
+    whole = found.drop("rare", "times").join(rest, "_row", "left")
+    whole = whole.withColumns({k: c(k) + F.coalesce(f"_{k}", F.lit(0.0)) for k in parts}).withColumn("top", F.greatest("top", "_top"))
+    means = [c("total") / c("n"), c("clear") / c("n"), c("positive") / c("n"), c("top"), F.log1p("clear")]
+    # rows of one text differ by the order of their sums at most
+    whole = whole.groupBy(*TEXT_KEYS).agg(*[F.max(m).alias(x) for m, x in zip(means, FEATURES, strict=True)])
     # written before it is joined: only then can a common text be split among tasks
-    return materialize(whole.select(*TEXT_KEYS, *[m.alias(x) for m, x in zip(means, FEATURES, strict=True)]), "features")
+    return materialize(whole, "features")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -371,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     grams = materialize(gram_counts(words), "grams")
     contexts = materialize(context_ratios(grams), "contexts")
     model = Model(contexts, docs, text_features(docs, contexts))
-    some = add_features(labelled(docs, labels, (CALIBRATING,)), model, model.known).select("doc_id", "toxic", *FEATURES)
+    some = _joined(labelled(_text_keys(docs), labels, (CALIBRATING,), list(TEXT_KEYS)), model.known, ["doc_id", "toxic"])
     rows = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
     x, y = rows[list(FEATURES)].to_numpy(), rows["toxic"].to_numpy(float)
     if len(y) and 0 < y.mean() < 1:
@@ -392,8 +408,12 @@ def add_features(df: DataFrame, model: Model, known: DataFrame | None = None) ->
         raise ValueError(f"there are columns named {sorted(taken)} already")
     if known is None:
         known = model.known if df is model.docs else text_features(df, model.contexts)
-    rows = _text_keys(df).join(known, list(TEXT_KEYS), "left")
-    return rows.select(*df.columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in FEATURES])
+    return _joined(_text_keys(df), known, df.columns)
+
+
+def _joined(rows: DataFrame, known: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns of the rows, which have ``TEXT_KEYS``, and the features of their texts."""
+    return rows.join(known, list(TEXT_KEYS), "left").select(*columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in FEATURES])
 
 
 def score(model: Model) -> Column:

@@ -133,6 +133,28 @@ def test_ratios_are_those_of_their_own_grams(spark, docs, monkeypatch, share):
         assert [x[f] for f in toxicity.FEATURES] == pytest.approx(want, abs=1e-9)
 
 
+def test_toxicity_moves_no_more_than_it_needs(spark, docs, made, monkeypatch):
+    """Texts without labels stay where they are, and no level of grams is counted again for each level below."""
+    rows, labels = made
+    df = docs([*rows, (None, "no id"), (3, "another text of this id")])
+    known = _labels(spark, [*labels[:40], (None, 1, 0), (3, 1, 0)])
+    got = toxicity.labelled(df, known, toxicity.COUNTED)
+    plain = df.where(toxicity.crc_bucket(toxicity.c("doc_id"), toxicity.FOLDS).isin(*toxicity.COUNTED)).join(known, "doc_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select("doc_id", "text", "toxic").collect())) and got.count() > 10
+    few = toxicity._maybe_in(df.select("doc_id", "text"), known.select("doc_id"))
+    assert few.where("doc_id is not null").count() == 41 and few.columns == ["doc_id", "text"]
+    written, plans = toxicity.materialize, []
+
+    def seen(frame, name):
+        plans.extend([frame._jdf.queryExecution().executedPlan().toString()] if name == "backoff" else [])
+        return written(frame, name)
+
+    monkeypatch.setattr(toxicity, "materialize", seen)
+    grams = written(toxicity.gram_counts(toxicity.word_counts(got)), "grams")
+    assert toxicity.shared_backoff(grams).count() > 100
+    assert len(plans) == toxicity.ORDER - 1 and max(x.count("HashAggregate") for x in plans) <= 2
+
+
 def test_language(spark, odd):
     r = random.Random(4)
     parts = {"xx": ["the", "an", "ing", "er"], "yy": ["der", "sch", "ung", "ei"], "zz": ["да", "не", "что", "ко"]}
