@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.prices import drawdown_level, drawdown_pct, sizing_mult
-from quantspan.plans.blocks import DAY, PIECE_ROWS, carry_in, match_keys, ordered_pieces, time_bucket
+from quantspan.plans.blocks import DAY, PIECE_ROWS, carry_in, match_keys, previous_in_order, time_bucket
 from quantspan.session import materialize
 from quantspan.sources.tables import latest_per_key
 
@@ -29,9 +29,15 @@ def _restored(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def equity_from_pnl(
-    pnl: DataFrame, start: float | Column, keys: Sequence[str] = KEYS, seconds: int = 30 * DAY
+    pnl: DataFrame, start: float | Column, keys: Sequence[str] = KEYS, seconds: int | None = 30 * DAY
 ) -> DataFrame:
-    """Equity per (keys, ts) row: ``start`` plus the running sum of ``pnl``."""
+    """Equity per (keys, ts) row: ``start`` plus the running sum of ``pnl``.
+
+    Without ``seconds`` a key stays whole in a task (see ``by_length``).
+    """
+    if seconds is None:
+        whole = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        return pnl.withColumn("equity", (start if isinstance(start, Column) else F.lit(start)) + F.sum("pnl").over(whole))
     rows = _filled(pnl, keys).withColumn("__b", time_bucket("ts", seconds))
     carried = carry_in(rows, keys, "__b", {"__s": F.sum("pnl")}, {"__s0": F.sum("__s")})
     inside = Window.partitionBy(*keys, "__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -41,12 +47,18 @@ def equity_from_pnl(
     return _restored(out.drop("__b", "__run", "__s0"), keys)
 
 
-def drawdown_curve(equity: DataFrame, keys: Sequence[str] = KEYS, seconds: int = 30 * DAY) -> DataFrame:
+def drawdown_curve(equity: DataFrame, keys: Sequence[str] = KEYS, seconds: int | None = 30 * DAY) -> DataFrame:
     """Equity rows with running ``peak_equity``, ``dd`` and the drawdown before the row.
 
     Time buckets of a key are scanned in parallel; the peak so far and the last equity before a
     bucket come from the buckets' totals. ``prev_dd`` is NULL on the first row of a key.
+    Without ``seconds`` a key stays whole in a task (see ``by_length``).
     """
+    if seconds is None:
+        whole = Window.partitionBy(*keys).orderBy("ts")
+        out = equity.withColumn("peak_equity", F.max("equity").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("dd", _drawdown(F.col("peak_equity"), F.col("equity")))
+        return out.withColumn("prev_dd", F.lag("dd").over(whole))
     rows = _filled(equity, keys).withColumn("__b", time_bucket("ts", seconds))
     carried = carry_in(
         rows,
@@ -67,6 +79,13 @@ def drawdown_curve(equity: DataFrame, keys: Sequence[str] = KEYS, seconds: int =
 
 def gate_history(
     equity: DataFrame, keys: Sequence[str] = KEYS, scope: str = "key", seconds: int = 30 * DAY, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
+    """``gates_of_curve`` of the drawdown curve of ``equity``."""
+    return gates_of_curve(drawdown_curve(equity, keys, seconds), keys, scope, piece_rows)
+
+
+def gates_of_curve(
+    curve: DataFrame, keys: Sequence[str] = KEYS, scope: str = "key", piece_rows: int = PIECE_ROWS
 ) -> DataFrame:
     """Gate row per equity row: drawdown, level, multiplier, previous level, whether it tripped.
 
@@ -74,20 +93,13 @@ def gate_history(
     last for any key. That order has no key: it is cut into pieces of ``piece_rows`` rows, whose
     last levels, one row a piece, are carried over.
     """
-    curve = drawdown_curve(equity, keys, seconds)
     level = drawdown_level(F.col("dd"))
     if scope == "key":
         rows = curve.withColumn("previous_level", F.when(F.col("prev_dd").isNotNull(), drawdown_level(F.col("prev_dd"))))
     else:
         order = ["ts", *keys]
         rows = materialize(curve.select(*order, "dd", level.alias("__level")), "curve")
-        rows = ordered_pieces(rows, order, piece_rows)
-        last = rows.groupBy("__piece").agg(F.max_by("__level", F.struct(*order)).alias("__l"))
-        earlier = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-        last = last.select("__piece", F.last("__l").over(earlier).alias("__before"))
-        part = Window.partitionBy("__piece").orderBy(*order)
-        rows = match_keys(rows.withColumn("__lag", F.lag("__level").over(part)), last, ["__piece"])
-        rows = rows.withColumn("previous_level", F.coalesce("__lag", "__before"))
+        rows = previous_in_order(rows, order, "__level", "previous_level", piece_rows)
     return rows.select(
         "ts",
         *keys,

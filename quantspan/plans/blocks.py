@@ -9,6 +9,7 @@ written over blocks of a key instead:
   or a rolling frame of bounded length needs;
 * ``carry_in`` reduces each block to totals and prefixes them, which is all a running
   aggregate (sum, product, maximum, last value) needs;
+* ``by_length`` keeps keys of few rows whole, which needs no blocks, and cuts the others only;
 * ``ordered_pieces`` cuts an order without any key into pieces of about as many rows.
 
 Only the per-block totals are ever windowed per key: one row per block, not per input row.
@@ -16,10 +17,13 @@ Only the per-block totals are ever windowed per key: one row per block, not per
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantspan.session import materialize
 
@@ -114,18 +118,63 @@ def carry_in(
     )
 
 
-#: Rows of a piece of a global order.
+#: Rows of a piece of a global order, and of a key that one task may hold whole.
 PIECE_ROWS = 1_000_000
 
 
+def by_length(df: DataFrame, keys: Sequence[str], run: Callable[[DataFrame, bool], DataFrame], rows: int = PIECE_ROWS) -> DataFrame:
+    """``run(part, whole)`` over the rows of keys with at most ``rows`` rows (``whole``) and over those of longer keys.
+
+    There is at most one longer key per ``rows`` rows of ``df``, so these are broadcast. ``df`` is read up to three times.
+    """
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    long = materialize(long.select(*[F.col(k).alias(f"__{k}") for k in keys]), "long-keys")
+    if long.isEmpty():
+        return run(df, True)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    few = F.broadcast(long)
+    return run(df.join(few, same, "left_anti"), True).unionByName(run(df.join(few, same, "left_semi"), False))
+
+
 def ordered_pieces(df: DataFrame, order: Sequence[str], rows: int = PIECE_ROWS, piece: str = "__piece") -> DataFrame:
-    """``df`` with the number of the piece of the global ``order`` that a row falls into, written.
+    """``df`` sorted in pieces of the global ``order``, with the number of the piece that a row falls into.
 
     Ranges of the order hold about ``rows`` rows each, however these spread over time; rows that are equal in ``order``
     stay together. ``df`` is read three times (count, sample, shuffle), so pass a written table.
     """
     n = max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism)
-    return materialize(df.repartitionByRange(n, *order).withColumn(piece, F.spark_partition_id()), "pieces")
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(piece, F.spark_partition_id())
+
+
+def previous_in_order(df: DataFrame, order: Sequence[str], value: str, name: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """``df`` with the string ``value``, never null, of the row before in the global ``order`` as ``name``; pass a written table.
+
+    A piece is read once, in its order, where the range shuffle has put it; the last values, one row a piece, are carried over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = pa.array([None], pa.string()), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield held
+            own = batch.column(value).cast(pa.string())
+            lag = pa.concat_arrays([before, own[:-1]])
+            before = own[-1:]
+            none = pa.nulls(batch.num_rows, pa.bool_())
+            held = pa.RecordBatch.from_arrays([*batch.columns, lag, none], [*batch.schema.names, name, "__last"])
+        if held is not None:  # the batch with the piece's last row, which is marked
+            last = pa.array([None] * (held.num_rows - 1) + [True], pa.bool_())
+            yield held.set_column(held.num_columns - 1, "__last", last)
+
+    pieces = ordered_pieces(df, order, rows)
+    schema = T.StructType([*pieces.schema, T.StructField(name, T.StringType()), T.StructField("__last", T.BooleanType())])
+    found = materialize(pieces.mapInArrow(run, schema), "pieces")
+    ends = found.where("__last").select("__piece", F.col(value).alias("__value"))
+    before = ends.select("__piece", F.lag("__value").over(Window.orderBy("__piece")).alias("__before"))
+    firsts = found.join(F.broadcast(before), "__piece", "left")
+    return firsts.withColumn(name, F.coalesce(name, "__before")).drop("__piece", "__last", "__before")
 
 
 def array_split_block(pos: Column, n: Column, parts: int) -> Column:
