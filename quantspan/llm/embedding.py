@@ -7,9 +7,10 @@
 3. Each slice builds a graph: a node's nearest ones and some others, pruned robustly (a candidate stays
    unless one kept before is nearer to it by ``ALPHA``), with edges in both directions. The lists of a
    node from all its shards are united.
-4. Every node is a query in its shards, against each slice of them: a greedy search with a beam from the
-   slice's medoid, then from every node within range to its neighbours, until no more are within range.
-   Both directions of a pair of slices run in one task, so links are symmetric.
+4. Every node is a query in its shards, against each slice of them. In its own slice it starts from where it is in the
+   graph: to its neighbours and on from every one within range, until no more are within range. In other slices of a shard
+   a greedy search with a beam starts from the slice's medoid and goes on like that.
+   Links count in both directions, and those of a pair of slices run in one task, so they are symmetric.
 5. Every candidate is verified by its cosine in double precision. Links give numbers and components.
 
 ``audit_recall`` holds the links against brute force for every 20th vector.
@@ -37,7 +38,9 @@ SAMPLE_ROWS = 20_000
 #: Nodes for each centre, as far as the sample has ``MIN_SAMPLE`` rows for each.
 SHARD, MIN_SAMPLE, CENTRE_ROUNDS = 400, 8, 6
 OVERLAP, MARGIN = 2, 0.06
-SLICE = 1500
+SLICE = 3000
+#: Rows that are compared at a time while a graph is built or searched, and pairs whose vectors are held.
+BLOCK, PAIRS = 256, 100_000
 #: Nearest and other candidates of a node; kept ones of each; how much nearer a kept one must be to prune.
 NEAREST, OTHERS, KEPT, KEPT_OTHERS, ALPHA = 40, 16, 16, 6, 1.2
 BEAM = 40
@@ -106,32 +109,38 @@ def assign(nodes: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return nodes.select("node", "vector", "copies").mapInArrow(run, "shard string, node long, vector array<double>, copies long")
 
 
-def prune(distances: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
-    """Which candidates (columns, nearest first) stay, row by row; entries of -1 are none."""
-    kept = np.zeros(candidates.shape, bool)
-    rows = np.arange(len(candidates))
-    for t in range(candidates.shape[1]):
-        own = candidates[:, t]
-        stays = (own >= 0) & (own != rows) & (kept.sum(1) < most)
-        for s in range(t):
-            nearer = ALPHA * distances[candidates[:, s], own] <= distances[rows, own]
-            stays &= ~(kept[:, s] & nearer)
+def prune(near: np.ndarray, between: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """Which candidates (columns, nearest first) stay, row by row.
+
+    ``near`` has their distances from the row, ``between`` those from each other, ``own`` says which of them are the row itself.
+    """
+    kept = np.zeros(near.shape, bool)
+    for t in range(near.shape[1]):
+        stays = ~own[:, t] & (kept.sum(1) < most)
+        stays &= ~(kept[:, :t] & (ALPHA * between[:, :t, t] <= near[:, t, None])).any(1)
         kept[:, t] = stays
     return kept
 
 
 def build_graph(x: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each row of unit vectors."""
+    """Neighbours of each row of unit vectors. Distances are held for ``BLOCK`` rows at a time."""
     n = len(x)
-    distances = np.maximum(2 - 2 * (x @ x.T), 0)
-    near = np.argsort(distances, 1)[:, : NEAREST + 1]
-    draw = mix(ids.astype(np.uint64)[:, None] * np.uint64(64) + np.arange(OTHERS, dtype=np.uint64)) % np.uint64(max(n, 1))
-    others = draw.astype(np.int64)
-    others = np.take_along_axis(others, np.argsort(np.take_along_axis(distances, others, 1), 1), 1)
-    edges = [
-        np.column_stack([np.broadcast_to(np.arange(n)[:, None], found.shape)[kept], found[kept]])
-        for found, kept in ((near, prune(distances, near, KEPT)), (others, prune(distances, others, KEPT_OTHERS)))
-    ]
+    edges = [np.empty((0, 2), np.int64)]
+    for start in range(0, n, BLOCK):
+        rows = np.arange(start, min(start + BLOCK, n))
+        distances = np.maximum(2 - 2 * (x[rows] @ x.T), 0)
+        near = np.arange(n)[None].repeat(len(rows), 0)
+        if n > NEAREST + 1:
+            near = np.argpartition(distances, NEAREST, 1)[:, : NEAREST + 1]
+        draw = mix(ids[rows].astype(np.uint64)[:, None] * np.uint64(64) + np.arange(OTHERS, dtype=np.uint64)) % np.uint64(n)
+        for found, most in ((near, KEPT), (draw.astype(np.int64), KEPT_OTHERS)):
+            far = np.take_along_axis(distances, found, 1)
+            order = np.argsort(far, 1, kind="stable")
+            found, far = np.take_along_axis(found, order, 1), np.take_along_axis(far, order, 1)
+            y = x[found]
+            between = np.maximum(2 - 2 * (y @ y.transpose(0, 2, 1)), 0)
+            i, k = np.nonzero(prune(far, between, found == rows[:, None], most))
+            edges.append(np.column_stack([rows[i], found[i, k]]))
     pairs = np.concatenate(edges)
     pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
     return np.split(pairs[:, 1], np.cumsum(np.bincount(pairs[:, 0], minlength=n))[:-1]) if n else []
@@ -169,8 +178,48 @@ def search(x: np.ndarray, near: list[np.ndarray], medoid: int, query: np.ndarray
     return found[scores >= cosine]
 
 
-def _local(near: list, place: dict[int, int]) -> list[np.ndarray]:
-    return [np.array([place[i] for i in own if i in place], np.int64) for own in near]
+def _edges(rows: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours that are among ``rows`` too: where each row's begin (and end), and their places."""
+    column, n = rows["near"].combine_chunks(), len(ids)
+    order = np.argsort(ids, kind="stable")
+    to = column.flatten().to_numpy()
+    own = np.repeat(np.arange(n), np.diff(column.offsets.to_numpy()))
+    place = order[np.minimum(np.searchsorted(ids[order], to), n - 1)]
+    here = ids[place] == to
+    return np.concatenate([[0], np.cumsum(np.bincount(own[here], minlength=n))]), place[here]
+
+
+def spread(x: np.ndarray, ends: np.ndarray, to: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``x`` within range, each row searched from where it is itself in the graph.
+
+    From a row to its neighbours, and on from those within range or nearly so (``ALPHA``), until no more are: what pruning has
+    taken off a row's list it has left on the list of one that is nearer to it. All rows of a block go on together.
+    """
+    n, reach = len(x), 1 - ALPHA * (1 - cosine)
+    found = [np.empty((0, 2), np.int64)]
+    for start in range(0, n, BLOCK):
+        asks = np.arange(start, min(start + BLOCK, n))
+        seen = np.zeros((len(asks), n), bool)
+        seen[np.arange(len(asks)), asks] = True
+        asking, at = np.arange(len(asks)), asks
+        while len(at):
+            going = [(asking[:0], at[:0])]
+            for k in range(0, len(at), PAIRS // 32):
+                q, v = asking[k : k + PAIRS // 32], at[k : k + PAIRS // 32]
+                degree = ends[v + 1] - ends[v]
+                q = np.repeat(q, degree)
+                v = to[np.repeat(ends[v] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())]
+                new = np.unique((q * n + v)[~seen[q, v]])
+                q, v = np.divmod(new, n)
+                seen[q, v] = True
+                for j in range(0, len(q), PAIRS):
+                    a, b = q[j : j + PAIRS], v[j : j + PAIRS]
+                    score = np.einsum("ij,ij->i", x[asks[a]], x[b])
+                    found.append(np.column_stack([asks[a], b])[score >= cosine])
+                    going.append((a[score >= reach], b[score >= reach]))
+            asking, at = (np.concatenate(y) for y in zip(*going, strict=True))
+    pairs = np.concatenate(found)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _search_slices(cosine: float):
@@ -180,24 +229,35 @@ def _search_slices(cosine: float):
         sides = [group.filter(pa.compute.equal(group["side"], s)) for s in (0, 1)]
         x = [_vectors(s) for s in sides]
         ids = [s["node"].to_numpy() for s in sides]
-        copies = [s["copies"].to_numpy() for s in sides]
-        links: dict[int, dict[int, int]] = {}
-        jobs = [(0, 1), (1, 0)] if len(ids[1]) else [(0, 0)]
-        for index, asking in jobs:
-            if not len(ids[index]) or not len(ids[asking]):
-                continue
-            near = _local(sides[index]["near"].to_pylist(), {int(i): k for k, i in enumerate(ids[index])})
-            medoid = int((x[index] @ x[index].mean(0)).argmax())
-            for k, query in enumerate(x[asking]):
-                for j in search(x[index], near, medoid, query, cosine).tolist():
-                    a, b = int(ids[asking][k]), int(ids[index][j])
-                    if a != b:
-                        links.setdefault(a, {})[b] = int(copies[index][j])
-                        links.setdefault(b, {})[a] = int(copies[asking][k])
-        rows = sorted(links)
-        pairs = [[{"node": b, "copies": n} for b, n in sorted(links[a].items())] for a in rows]
-        kind = pa.list_(pa.struct([("node", pa.int64()), ("copies", pa.int64())]))
-        return pa.table({"node": pa.array(rows, pa.int64()), "links": pa.array(pairs, kind)})
+        a, b, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def link(left: int, i: np.ndarray, right: int, j: np.ndarray) -> None:
+            for p, r, q, s in ((left, i, right, j), (right, j, left, i)):
+                a.append(ids[p][r])
+                b.append(ids[q][s])
+                n.append(sides[q]["copies"].to_numpy()[s])
+
+        if not len(ids[1]) and len(ids[0]):
+            i, j = spread(x[0], *_edges(sides[0], ids[0]), cosine)
+            link(0, i, 0, j)
+        elif len(ids[0]) and len(ids[1]):
+            for index, asking in ((0, 1), (1, 0)):
+                ends, to = _edges(sides[index], ids[index])
+                near = np.split(to, ends[1:-1])
+                medoid = int((x[index] @ x[index].mean(0)).argmax())
+                for k, query in enumerate(x[asking]):
+                    j = search(x[index], near, medoid, query, cosine)
+                    link(asking, np.full(len(j), k), index, j)
+        a, b, n = (np.concatenate(y) for y in (a, b, n))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        once = a != b
+        once[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, n = a[once], b[once], n[once]
+        nodes, begins = np.unique(a, return_index=True)
+        links = pa.StructArray.from_arrays([pa.array(b), pa.array(n)], ["node", "copies"])
+        ends = pa.array(np.append(begins, len(a)), pa.int32())
+        return pa.table({"node": pa.array(nodes, pa.int64()), "links": pa.ListArray.from_arrays(ends, links)})
 
     return run
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantspan.llm import embedding, minhash
@@ -145,6 +146,22 @@ def test_vectors(spark, monkeypatch, size):
     assert sum(got[i] == want[i] for i in ids) >= 0.99 * len(ids) and all(got[i][0] <= want[i][0] for i in ids)
 
 
+def test_vectors_of_a_slice_start_from_themselves(monkeypatch):
+    monkeypatch.setattr(embedding, "search", None)  # from the medoid: for other slices only
+    r = np.random.default_rng(8)
+    centre = r.normal(size=24)
+    x = embedding.unit(np.concatenate([centre + s * r.normal(size=(300, 24)) for s in (0.1, 0.22, 0.3, 2.0)]))
+    ids = r.permutation(10_000)[: len(x)].astype(np.int64)
+    near = [np.append(ids[at], -1) for at in embedding.build_graph(x, ids)]  # -1 is in no slice
+    group = pa.table({"side": np.zeros(len(x), int), "node": ids, "vector": list(x), "copies": ids % 3 + 1, "near": near})
+    got = embedding._search_slices(embedding.COSINE)(group).to_pylist()
+    true = (x @ x.T >= embedding.COSINE) & ~np.eye(len(x), dtype=bool)
+    want = {int(ids[i]): {(int(ids[j]), int(ids[j] % 3 + 1)) for j in np.flatnonzero(row)} for i, row in enumerate(true)}
+    found = {g["node"]: {(k["node"], k["copies"]) for k in g["links"]} for g in got}
+    assert all(own <= want[i] for i, own in found.items())
+    assert sum(map(len, found.values())) >= 0.999 * true.sum()
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, None]), (7, [1.0, 2.0]), (8, [2.0, 4.0])]
